@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of words.  Word hashes fall into a fixed number of features, weighted by the document
-frequencies of all documents.  One pass over all passages gives the sketch A'(A W) of the TF-IDF matrix A for random
-W, summed within tasks and then by Spark; its Nystrom form is the randomised SVD (directions and singular values),
-of fixed size, on the driver.  Benchmark items, in blocks of stated size, are projected into the whitened latent
+frequencies of all documents.  One pass over the passages of a bounded sample of documents (``SAMPLE``, by the order
+of a hash) gives the sketch A'(A W) of the TF-IDF matrix A for random W, summed within tasks and then by Spark; its
+Nystrom form is the randomised SVD (directions and singular values), of fixed size, on the driver.  Benchmark items, in blocks of stated size, are projected into the whitened latent
 space and broadcast; every window of every document is projected and compared by cosine, and what is near is
 verified on the words themselves: the longest common subsequence with the item over a stretch of about the item's
 length, and that of the item's answer, its last quarter.  An item is found where the whole agrees, or where most
@@ -29,8 +29,10 @@ from wardline.llm.arrowtext import Piece, pieces
 FEATURES = 1 << 14
 RANK = 64
 #: Words in a step, and steps in a window.
-STEP, STEPS = 12, 2
-NEAR = 0.5
+STEP, STEPS = 6, 4
+NEAR = 0.7
+#: Documents whose passages the SVD is fitted on, about; frequencies, search and verification cover all of them.
+SAMPLE = 20_000
 #: Least weighted share of an item's words that a stretch must hold to be aligned at all.
 HOLDS = 0.4
 #: LCS shares: of the whole; or of the whole together with the answer.
@@ -70,40 +72,54 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 @dataclass
 class Steps:
-    """The steps of a piece: where each begins among the words, whose it is, and whether a window starts there."""
+    """The steps of a piece: where each begins among the words, whose it is, and the words in one."""
 
     starts: np.ndarray
     doc: np.ndarray
-    last: np.ndarray  # the last step of its document
+    width: int
 
     @staticmethod
-    def of(bounds: np.ndarray) -> Steps:
-        n = -(-np.diff(bounds) // STEP)
+    def of(bounds: np.ndarray, width: int = STEP) -> Steps:
+        n = -(-np.diff(bounds) // width)
         doc = np.repeat(np.arange(len(n)), n)
         first = np.cumsum(n) - n
         at = np.arange(n.sum()) - first[doc]
-        return Steps(bounds[:-1][doc] + at * STEP, doc, at == n[doc] - 1)
+        return Steps(bounds[:-1][doc] + at * width, doc, width)
 
 
 def windows(vectors: np.ndarray, s: Steps) -> tuple[np.ndarray, np.ndarray]:
     """Sums over STEPS steps of one document (fewer at its end), as unit vectors; and the step that each begins at.
 
-    A document's last step begins a window of its own only where the document has no other.
+    A document's last steps begin a window only where it has no full one.
     """
     total = vectors.copy()
     for k in range(1, STEPS):
-        same = s.doc[k:] == s.doc[:-k]
-        total[:-k][same] += vectors[k:][same]
-    lone = s.last.copy()
-    lone[1:] &= s.doc[1:] != s.doc[:-1]
-    at = np.flatnonzero(~s.last | lone)
+        total[:-k] += vectors[k:] * (s.doc[k:] == s.doc[:-k]).astype(np.float32)[:, None]
+    keep = np.ones(len(s.doc), bool)
+    keep[-STEPS + 1 :] = False
+    keep[: -STEPS + 1] = s.doc[STEPS - 1 :] == s.doc[: -STEPS + 1] if len(s.doc) >= STEPS else True
+    keep |= np.r_[True, s.doc[1:] != s.doc[:-1]]
+    at = np.flatnonzero(keep)
     w = total[at]
     w /= np.sqrt(np.einsum("ij,ij->i", w, w))[:, None] + 1e-12
     return w, at
 
 
-def step_sums(p: Piece, weights: np.ndarray, s: Steps) -> np.ndarray:
-    return np.add.reduceat(weights[features(p.hashes)], s.starts, axis=0)
+def step_sums(f: np.ndarray, weights: np.ndarray, s: Steps) -> np.ndarray:
+    """Sum of the weights (whose last row is zero) of each step's words."""
+    size = np.diff(np.r_[s.starts, len(f)])
+    f = np.r_[f.astype(np.int32), np.zeros(s.width, np.int32)]
+    total = np.zeros((len(s.starts), weights.shape[1]), np.float32)
+    row = np.empty_like(total)
+    for j in range(s.width):
+        at = np.where(size > j, f[s.starts + j], FEATURES)
+        np.take(weights, at, axis=0, out=row, mode="clip")
+        total += row
+    return total
+
+
+def padded(weights: np.ndarray) -> np.ndarray:
+    return np.r_[weights, np.zeros((1, weights.shape[1]), np.float32)]
 
 
 def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -116,16 +132,15 @@ def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, seed = shared.value
-        w = np.random.RandomState(seed).standard_normal((FEATURES, RANK)).astype(np.float32) * idf[:, None]
+        w = padded(np.random.RandomState(seed).standard_normal((FEATURES, RANK)).astype(np.float32) * idf[:, None])
         z = np.zeros((FEATURES, RANK))
         for b in batches:
             for p in pieces(b.column(0), APART):
                 if not len(p.hashes):
                     continue
-                s = Steps.of(p.bounds)
-                y = step_sums(p, w, s)
+                f, s = features(p.hashes), Steps.of(p.bounds, STEP * STEPS)
+                y = step_sums(f, w, s)
                 y /= np.einsum("ij,ij->i", y, y)[:, None] / RANK + 1e-9  # squared length of the row, from its sketch
-                f = features(p.hashes)
                 order = np.argsort(f, kind="stable")
                 cut = np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]])
                 step = np.repeat(np.arange(len(s.starts)), np.diff(np.r_[s.starts, len(f)]))
@@ -135,7 +150,8 @@ def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(z[:, j].astype(np.float32)) for j in range(RANK))], ["f", *(f"z{j}" for j in range(RANK))])
 
     schema = "f int, " + ", ".join(f"z{j} float" for j in range(RANK))
-    rows = docs.select("text").mapInArrow(run, schema).groupBy("f").agg(*(F.sum(f"z{j}").alias(f"z{j}") for j in range(RANK))).toPandas()
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(n, 1))) < SAMPLE) if n > SAMPLE else docs
+    rows = some.select("text").mapInArrow(run, schema).groupBy("f").agg(*(F.sum(f"z{j}").alias(f"z{j}") for j in range(RANK))).toPandas()
     z = np.zeros((FEATURES, RANK))
     z[rows["f"].to_numpy(int)] = rows.drop(columns="f").to_numpy(float)
     g = omega.T.astype(float) @ z
@@ -153,7 +169,7 @@ def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     ids: list
     words: list[np.ndarray]
-    item: np.ndarray  # item of each query vector
+    item: np.ndarray  # of each query vector
     vectors: np.ndarray
 
 
@@ -233,7 +249,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, idf, projection = shared.value
-            verifier = Verifier(items, idf)
+            verifier, wide = Verifier(items, idf), padded(projection)
             longest = np.array([len(w) for w in items.words], np.int64)
             for b in batches:
                 ids = b.column("doc_id")
@@ -242,7 +258,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     if not len(p.hashes) or not len(items.ids):
                         continue
                     s = Steps.of(p.bounds)
-                    w, at = windows(step_sums(p, projection, s), s)
+                    w, at = windows(step_sums(features(p.hashes), wide, s), s)
                     best: dict[tuple[int, int], tuple] = {}
                     done: dict[tuple[int, int], int] = {}
                     for lo in range(0, len(w), 4096):
