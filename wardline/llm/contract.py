@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.llm import bpe, latent, pii, quality, toxicity
+from wardline.llm import bpe, latent, lines, pii, quality, toxicity
 from wardline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that loses lines: the blocks as first:last:other document, and what is left."""
+    out = lines.dedup(table(spark, sf_dir, "documents"), changed_only=True)
+    cut = F.transform("_wl_cut", lambda c: F.concat_ws(":", c["first_line"].cast("string"), c["last_line"].cast("string"), c["of_doc_id"].cast("string")))
+    n = F.aggregate("_wl_cut", F.lit(0).cast("bigint"), lambda a, c: a + c["last_line"] - c["first_line"] + 1)
+    return out.select("doc_id", F.size("_wl_cut").cast("bigint").alias("n_blocks"), n.alias("n_lines"), F.array_join(cut, ",").alias("blocks"), F.length("text").cast("bigint").alias("n_chars_left"), F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
