@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, latent, lines, pii, quality, toxicity
+from wardline.llm import bpe, latent, lines, near, pii, quality, toxicity
 from wardline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.transform("_wl_cut", lambda c: F.concat_ws(":", c["first_line"].cast("string"), c["last_line"].cast("string"), c["of_doc_id"].cast("string")))
     n = F.aggregate("_wl_cut", F.lit(0).cast("bigint"), lambda a, c: a + c["last_line"] - c["first_line"] + 1)
     return out.select("doc_id", F.size("_wl_cut").cast("bigint").alias("n_blocks"), n.alias("n_lines"), F.array_join(cut, ",").alias("blocks"), F.length("text").cast("bigint").alias("n_chars_left"), F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+
+
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.join(table(spark, sf_dir, "documents"), words=3, percent=90)
