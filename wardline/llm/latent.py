@@ -259,18 +259,21 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         continue
                     s = Steps.of(p.bounds)
                     w, at = windows(step_sums(features(p.hashes), wide, s), s)
-                    best: dict[tuple[int, int], tuple] = {}
-                    done: dict[tuple[int, int], int] = {}
+                    stretches: dict[tuple[int, int], list[list[int]]] = {}
                     for lo in range(0, len(w), 4096):
                         near = np.argwhere(w[lo : lo + 4096] @ items.vectors.T >= NEAR)
-                        for x, q in near.tolist():
-                            step, k = at[lo + x], int(items.item[q])
-                            d, n = int(s.doc[step]), int(longest[k])
-                            first = max(int(p.bounds[d]), int(s.starts[step]) - n)
-                            last = min(int(p.bounds[d + 1]), int(s.starts[step]) + STEP * STEPS + n)
-                            if done.get((d, k)) == (first, last):
-                                continue
-                            done[d, k] = (first, last)
+                        step, k = at[lo + near[:, 0]], items.item[near[:, 1]]
+                        d, n = s.doc[step], longest[k]
+                        first, last = np.maximum(p.bounds[d], s.starts[step] - n), np.minimum(p.bounds[d + 1], s.starts[step] + STEP * STEPS + n)
+                        for d_, k_, x, y in zip(d.tolist(), k.tolist(), first.tolist(), last.tolist()):
+                            held = stretches.setdefault((d_, k_), [])
+                            if held and x <= held[-1][1]:
+                                held[-1][1] = max(y, held[-1][1])
+                            else:
+                                held.append([x, y])
+                    best: dict[tuple[int, int], tuple] = {}
+                    for (d, k), held in stretches.items():
+                        for first, last in held:
                             got = verifier.check(k, p.hashes[first:last])
                             if got and ((d, k) not in best or got[0] > best[d, k][0]):
                                 off = first - int(p.bounds[d])
