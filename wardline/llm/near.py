@@ -9,8 +9,8 @@ link share a key in their prefixes, which are about as long as the share of keys
    whose keys are shared most: for a crowd of near copies mostly what they were made from.
 3. Groups of one leader form a crowd, expanded to their classes and cut into blocks of bounded size; every pair of
    blocks is one task's row group, which compares all its sets at once and emits a spanning forest of its links.
-4. Groups of different leaders that share a key are filtered by size and by a parity sketch (both never lose a link),
-   expanded, and verified one by one.
+4. Groups of different leaders that share a key are filtered by size and by a small parity sketch, expanded to their
+   classes, filtered by a larger one (no filter ever loses a link), and verified one by one.
 5. Components of the links are found by contraction, and carried back to documents.
 
 So copies are never expanded into pairs, no link between different texts is lost, and what any task holds is bounded.
@@ -36,6 +36,8 @@ WORDS, PERCENT = 5, 80
 BUCKETS = 1 << 18
 #: Sets in a block.
 BLOCK = 256
+#: Bits of the larger parity sketch.
+BITS = 2048
 
 
 def least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -93,12 +95,12 @@ def _signed(h: np.ndarray) -> int:
 
 def _summaries(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "s1", "s2", "k1", "k2", "ph", "prefix"]
+    names = ["doc_id", "n", "s1", "s2", "k1", "k2", "ph", "prefix", "big"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
         for b in batches:
-            n, s1, s2, k1, k2, ph, prefix = [], [], [], [], [], [], []
+            n, s1, s2, k1, k2, ph, prefix, big = [], [], [], [], [], [], [], []
             for p in pieces(b.column("text")):
                 for s in _sets(p, words, classes):
                     n.append(len(s))
@@ -110,10 +112,11 @@ def _summaries(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
                     head = s[: prefix_length(len(s), percent)] if len(s) else s
                     ph.append(int((mix(head) * (np.arange(len(head), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64)))
                     prefix.append(head.tobytes())
+                    big.append(np.packbits(np.bincount(((s >> np.uint64(7)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes())
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2, k1, k2, ph)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *longs, pa.array(prefix, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *longs, pa.array(prefix, pa.binary()), pa.array(big, pa.binary())], names)
 
-    return staged(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, ph bigint, prefix binary"))
+    return staged(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, ph bigint, prefix binary, big binary"))
 
 
 def _tokens(groups: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     every = _summaries(docs, words, percent, shared)
     kind = every.schema["doc_id"].dataType.simpleString()
     full = every.where("n > 0 and doc_id is not null")
-    classes = staged(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cid"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix")))
+    classes = staged(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cid"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("big").alias("big")))
     groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.bit_and("k1").alias("a1"), F.bit_and("k2").alias("a2"), F.bit_or("k1").alias("o1"), F.bit_or("k2").alias("o2"), F.first("prefix").alias("prefix"))
     # bits on which a group's members differ say nothing about it; on the others all members agree
     groups = staged(groups.select("gid", "n", "ph", "a1", "a2", F.col("a1").bitwiseXOR(F.col("o1")).alias("v1"), F.col("a2").bitwiseXOR(F.col("o2")).alias("v2"), "prefix"))
@@ -204,7 +207,18 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     fits &= apart("x", "y") <= F.col("x.n") + F.col("y.n") - 2 * least_overlap(F.col("x.n"), F.col("y.n"), percent)
     pairs = staged(x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct())
     ma, mb = members.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), members.select(F.col("gid").alias("gb"), F.col("cid").alias("b"))
-    pairs = staged(pairs.join(ma, "ga").join(mb, "gb").select("a", "b"))
+    pairs = pairs.join(ma, "ga").join(mb, "gb").select("a", "b")
+    sketch = classes.select("cid", F.col("n"), "big")
+    pairs = pairs.join(sketch.toDF("a", "na", "p"), "a").join(sketch.toDF("b", "nb", "q"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            total = np.asarray(t.column("na")) + np.asarray(t.column("nb"))
+            most = total + 2 * (-percent * total // (100 + percent))
+            apart = [(int.from_bytes(p, "big") ^ int.from_bytes(q, "big")).bit_count() for p, q in zip(t.column("p").to_pylist(), t.column("q").to_pylist())]
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    pairs = staged(pairs.select("a", "b", "na", "nb", "p", "q").mapInArrow(close, f"a {kind}, b {kind}"))
 
     # the sets of all classes that take part, from their texts
     need = crowd.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct()
