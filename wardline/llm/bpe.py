@@ -26,6 +26,7 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -342,6 +343,29 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", rea
     return df.mapInArrow(run, schema)
 
 
+def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """df without the text, but with n_tokens, ids (array<int>) and decoded_sha256, the digest of what the ids decode to."""
+    _fresh(df, "n_tokens", "ids", "decoded_sha256")
+    keep = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            ids, lengths, seen = [], [0], []
+            for t in b.column(text):
+                held = list(c.runs(t.as_py()))
+                own = np.fromstring(" ".join([i for _, i, _ in held]), np.int32, sep=" ") if held else np.zeros(0, np.int32)
+                ids.append(own)
+                lengths.append(lengths[-1] + len(own))
+                seen.append(hashlib.sha256(" ".join([d for _, _, d in held]).encode()).hexdigest())
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(np.diff(lengths), pa.int64()), lists, pa.array(seen, pa.string())], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): encodes and decodes every text, keeping only digests.
 
