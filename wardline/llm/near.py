@@ -33,7 +33,8 @@ from wardline.llm.arrowtext import mix, pieces, shingles
 from wardline.llm.common import Union, components, runs, staged
 
 WORDS, PERCENT = 5, 80
-BUCKETS = 1 << 18
+#: Hash buckets of the table of frequent shingles, and the count from which a task reports one.
+BUCKETS, OFTEN = 1 << 22, 6
 #: Sets in a block.
 BLOCK = 256
 #: Bits of the larger parity sketch.
@@ -49,24 +50,30 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """A small class for each hash bucket: how far above the average its count of shingles is, over all documents."""
+    """A class for each hash bucket: the logarithm of its count where some task saw it often, else 0.
+
+    Tasks count all their shingles and report the buckets they saw at least OFTEN times.  The classes only
+    order the keys, so what is reported changes the work to be done and never the links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, held, size = np.zeros(BUCKETS, np.int32), [], 0
         for b in batches:
             for p in pieces(b.column(0)):
                 if len(p.hashes) >= words:
-                    h = _all_shingles(p, words)
-                    total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
-
-    counted = staged(docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")))
-    mean = (counted.agg(F.sum("n")).first()[0] or 0) / BUCKETS
-    hot = counted.where(F.col("n") >= 2 * mean + 8).select("bucket", F.least(F.floor(F.log2(F.col("n") / (mean + 1))), F.lit(30)).cast("int").alias("c")).collect()
+                    held.append((_all_shingles(p, words) & np.uint64(BUCKETS - 1)).astype(np.int32))
+                    size += len(held[-1])
+                if size > 1 << 21:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.int32)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.int32)
+        at = np.flatnonzero(total >= OFTEN)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
+
+    hot = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c")).toPandas()
     out = np.zeros(BUCKETS, np.uint8)
-    for r in hot:  # at most half of the buckets
-        out[r["bucket"]] = r["c"]
+    out[hot["bucket"].to_numpy(int)] = hot["c"].to_numpy(int).clip(0, 40)
     return out
 
 
