@@ -123,7 +123,7 @@ def vuln_terms(alarms: DataFrame) -> DataFrame:
 
     Lists, networks and open addresses name nothing; ports must be numbers.
     """
-    parts = lambda c: F.array_distinct(F.transform(F.split(c, ","), F.trim))
+    parts = lambda c: F.array_distinct(F.transform(F.split(c, ","), lambda x: F.trim(x)))
     sides = []
     for ip, port, last in (("from", "port_from", "src_port"), ("to", "port_to", "dst_port")):
         r = alarms.select("alarm_id", F.col(last).cast("string").alias("last"), F.explode("rules").alias("r"))

@@ -124,7 +124,7 @@ def host_agent(raw: DataFrame, body: str, schema: str) -> DataFrame:
     e = F.from_json(F.col(body), schema)
     out = raw.withColumn("_e", e).select(*[c for c in raw.columns if c != body], "_e.*")
     if "groups" in out.columns:
-        out = out.withColumn("groups", F.transform(F.split("groups", ","), F.trim))
+        out = out.withColumn("groups", F.transform(F.split("groups", ","), lambda x: F.trim(x)))
     if "message" in out.columns:
         out = out.withColumn("message", F.regexp_replace("message", '"', ""))
     return out

@@ -1,13 +1,23 @@
-"""The registered queries of the correlation engine and their SQL twins."""
+"""The registered queries of the correlation engine and their SQL twins, over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardline.functions import net, text
+from wardline.operators import alarms, assets, enrich, harvest, normalize, tools
+from wardline.operators import correlate as batch
+from wardline.plans import sample
+from wardline.plans.directives import Directive, Rule, fan_out, plugin_pairs, rule_matches, taxonomy_pairs
+from wardline.plans.sample import ASSETS, EVENTS, FLOOD, FLOOD_SQL, sql_home, sql_in, sql_value
+from wardline.streaming import control
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+WITH = f"WITH {EVENTS} "
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,3 +26,456 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return ORACLES
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(*names: str):
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+# ---- events ------------------------------------------------------------------------------------------------------
+
+
+@query(WITH + "SELECT event_id, seq FROM n WHERE seq % 11 <> 0 AND ((seq % 13 <> 0 AND plugin_sid <> 0) OR (seq % 17 <> 0 AND category <> ''))")
+def event_valid(spark, sf):
+    e = sample.events(spark, sf).withColumns({"sensor": F.when(F.col("seq") % 11 == 0, "").otherwise(F.col("sensor")), "plugin_sid": F.when(F.col("seq") % 13 == 0, 0).otherwise(F.col("plugin_sid")), "product": F.when(F.col("seq") % 17 == 0, "").otherwise(F.col("product"))})
+    return e.where(normalize.valid_event()).select("event_id", "seq")
+
+
+@query(WITH + f"SELECT event_id, src_ip FROM n WHERE NOT {sql_in('src_ip', [a['cidr'] for a in ASSETS if a['whitelisted']])}")
+def event_whitelist_anti(spark, sf):
+    return assets.drop_whitelisted(sample.events(spark, sf), assets.Assets(ASSETS)).select("event_id", "src_ip")
+
+
+@query(WITH + f"SELECT event_id, {sql_home('src_ip')} AS src_home, {sql_home('dst_ip')} AS dst_home FROM n")
+def event_home_net(spark, sf):
+    return sample.placed(spark, sf).select("event_id", "src_home", "dst_home")
+
+
+@query(WITH + f"SELECT event_id, CAST({sql_value('src_ip')} AS BIGINT) AS src_value, CAST({sql_value('dst_ip')} AS BIGINT) AS dst_value FROM n")
+def event_asset_value(spark, sf):
+    return sample.placed(spark, sf).select("event_id", *_long("src_value", "dst_value"))
+
+
+_HOSTS = " ".join(f"WHEN '{a['cidr'][:-3]}' THEN '{a['name']}'" for a in ASSETS if a["cidr"].endswith("/32"))
+
+
+@query(WITH + f"SELECT event_id, CASE src_ip {_HOSTS} ELSE '' END AS src_name, CASE dst_ip {_HOSTS} ELSE '' END AS dst_name FROM n")
+def event_asset_name(spark, sf):
+    return sample.placed(spark, sf).select("event_id", "src_name", "dst_name")
+
+
+_NETS = [a["cidr"] for a in ASSETS if not a["cidr"].endswith("/32")]
+_SQL_NETS = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {sql_in('ip', [c])} THEN '{c}' END" for c in _NETS) + "], lambda x: x IS NOT NULL)), ',')"
+_IPS = "ips AS (SELECT src_ip AS ip FROM n UNION SELECT dst_ip FROM n)"
+
+
+@query(f"WITH {EVENTS}, {_IPS} SELECT ip, {_SQL_NETS} AS networks FROM ips")
+def event_asset_networks(spark, sf):
+    e = sample.events(spark, sf)
+    ips = e.select(F.col("src_ip").alias("ip")).union(e.select("dst_ip")).distinct()
+    return ips.select("ip", F.array_join(assets.Assets(ASSETS).networks("ip"), ",").alias("networks"))
+
+
+@query(f"WITH {EVENTS}, {_IPS} SELECT ip, {sql_home('ip')} AS home, CAST({sql_value('ip')} AS BIGINT) AS value, CASE ip {_HOSTS} ELSE '' END AS name, {_SQL_NETS} AS networks FROM ips")
+def asset_lookup_join(spark, sf):
+    """The same lookups by equality joins, as for asset tables of any size."""
+    e = sample.events(spark, sf)
+    found = assets.lookup(e.select(F.col("src_ip").alias("ip")).union(e.select("dst_ip")), assets.asset_table(spark, ASSETS))
+    return found.select("ip", "home", F.col("value").cast("bigint").alias("value"), "name", F.array_join("networks", ",").alias("networks"))
+
+
+@query(f"WITH {EVENTS}, {_IPS} SELECT ip, {sql_in('ip', list(net.PRIVATE_V4))} AS private FROM ips WHERE {sample.sql_ip('ip')} IS NOT NULL")
+def event_private_ip(spark, sf):
+    e = sample.events(spark, sf)
+    ips = e.select(F.col("src_ip").alias("ip")).union(e.select("dst_ip")).distinct()
+    return ips.select("ip", net.is_private("ip").alias("private")).where("private is not null")
+
+
+@query(WITH + "SELECT event_id, strftime(ts, '%H:%M') >= '22:00' OR strftime(ts, '%H:%M') <= '01:00' AS wraps, strftime(ts, '%H:%M') BETWEEN '01:00' AND '01:30' AS plain FROM n")
+def event_time_of_day(spark, sf):
+    return sample.events(spark, sf).select("event_id", text.in_time_of_day(F.col("ts"), "22:00", "01:00").alias("wraps"), text.in_time_of_day(F.col("ts"), "01:00", "01:30").alias("plain"))
+
+
+@query(WITH + "SELECT event_id, CASE WHEN seq % 9 <> 0 THEN ts_unix ELSE -1 END AS ts_unix FROM n")
+def event_epoch(spark, sf):
+    stamp = F.when(F.col("seq") % 9 == 0, "not a time").otherwise(F.col("timestamp"))
+    return sample.events(spark, sf).select("event_id", F.coalesce(text.epoch_seconds(stamp), F.lit(-1).cast("bigint")).alias("ts_unix"))
+
+
+@query(WITH + "SELECT event_id, regexp_matches(product || ',' || category || ' , x', '(^|[, ])' || category || '($|[, ])') AS listed, contains(upper(title), 'RR') AS has_rr, trim(substr('!' || title, 2)) AS bare, array_to_string(list_filter(regexp_split_to_array(replace(product || ', ' || category, ',', ' '), '\\s+'), lambda x: x <> ''), '|') AS items FROM n")
+def text_functions(spark, sf):
+    csv = F.concat("product", F.lit(","), "category", F.lit(" , x"))
+    return sample.events(spark, sf).select("event_id", text.in_csv(csv, F.col("category")).alias("listed"), text.contains_ci(F.col("title"), F.lit("rr")).alias("has_rr"), text.drop_first_char(F.concat(F.lit("!"), "title")).alias("bare"), F.array_join(text.csv_array(F.concat("product", F.lit(", "), "category")), "|").alias("items"))
+
+
+# ---- rules -------------------------------------------------------------------------------------------------------
+
+MIXED = [
+    FLOOD,
+    Directive(2, "Taxonomy", 3, "Recon", "Scan", [Rule(1, type="TaxonomyRule", product=["IDS"], category="error", reliability=1), Rule(2, type="TaxonomyRule", product=["IDS", "Firewall"], category="purchase", subcategory=["ANY"], from_=":1", occurrence=2, reliability=5, timeout=86400)]),
+    Directive(3, "Two plugins", 2, "Recon", "Scan", [Rule(1, plugin_id=1001, plugin_sid=[1, 3], reliability=1), Rule(2, plugin_id=1001, plugin_sid=[4], to=":1", occurrence=2, reliability=5, timeout=864000)]),
+]
+
+
+@query(WITH + "SELECT CAST(d.directive_id AS BIGINT) AS directive_id, n.event_id FROM n JOIN (VALUES (1, 5), (3, 1), (3, 3), (3, 4)) AS d(directive_id, sid) ON n.plugin_id = 1001 AND n.plugin_sid = d.sid")
+def quick_check_plugin(spark, sf):
+    return sample.events(spark, sf).join(F.broadcast(plugin_pairs(spark, MIXED)), ["plugin_id", "plugin_sid"]).select(*_long("directive_id"), "event_id")
+
+
+@query(WITH + "SELECT CAST(2 AS BIGINT) AS directive_id, event_id FROM n JOIN (VALUES ('IDS', 'error'), ('IDS', 'purchase'), ('Firewall', 'purchase')) AS d(product, category) USING (product, category)")
+def quick_check_taxonomy(spark, sf):
+    return sample.events(spark, sf).join(F.broadcast(taxonomy_pairs(spark, MIXED)), ["product", "category"]).select(*_long("directive_id"), "event_id")
+
+
+@query(WITH + "SELECT d.id AS directive_id, count(*) AS n_events FROM n JOIN (SELECT * FROM (VALUES (1, 'error'), (2, 'error'), (2, 'purchase'), (3, 'click'), (3, 'signup'), (3, 'purchase')) AS v(id, t)) d ON d.t = n.category GROUP BY 1")
+def directive_fan_out(spark, sf):
+    return fan_out(sample.events(spark, sf), MIXED).groupBy("directive_id").agg(F.count("*").alias("n_events"))
+
+
+_PLUGIN = Rule(1, plugin_id=1001, plugin_sid=[4, 5], from_="HOME_NET", to="!192.168.0.1, 192.168.0.0/27", port_from="ANY", port_to="!80, 81", custom_data1="low, high")
+_TAXONOMY = Rule(1, type="TaxonomyRule", product=["IDS"], category="error", from_="!HOME_NET", to="192.168.0.0/26")
+
+
+@query(WITH + f"SELECT event_id FROM n WHERE plugin_sid IN (4, 5) AND {sql_home('src_ip')} AND NOT {sql_in('dst_ip', ['192.168.0.1/32'])} AND dst_port <> 80 AND custom_data1 IN ('low', 'high')")
+def rule_match_plugin(spark, sf):
+    return sample.placed(spark, sf).where(rule_matches(_PLUGIN)).select("event_id")
+
+
+@query(WITH + f"SELECT event_id FROM n WHERE category = 'error' AND product = 'IDS' AND NOT {sql_home('src_ip')} AND {sql_in('dst_ip', ['192.168.0.0/26'])}")
+def rule_match_taxonomy(spark, sf):
+    return sample.placed(spark, sf).where(rule_matches(_TAXONOMY)).select("event_id")
+
+
+_A, _B = sql_in("dst_ip", ["192.168.0.0/26"]), sql_in("dst_ip", ["192.168.0.0/24"])
+
+
+@query(WITH + f"SELECT event_id, {_A} AS plain, NOT {_A} AS inverse, CASE WHEN {_A} THEN false WHEN {_B} THEN true ELSE true END AS first_wins, false AS broken FROM n")
+def rule_net_csv(spark, sf):
+    lists = {"plain": "192.168.0.0/26", "inverse": "!192.168.0.0/26", "first_wins": "!192.168.0.0/26, 192.168.0.0/24", "broken": "192.168/26, 192.168.0.0/24"}
+    return sample.events(spark, sf).select("event_id", *(net.address_in_list(F.col("dst_ip"), v).alias(k) for k, v in lists.items()))
+
+
+@query(WITH + "SELECT event_id, dst_port IN (80, 90) AS plain, dst_port NOT IN (80, 90) AS inverse, CASE WHEN dst_port = 80 THEN true WHEN dst_port = 90 THEN false ELSE true END AS mixed FROM n")
+def rule_port_csv(spark, sf):
+    p = F.col("dst_port").cast("string")
+    return sample.events(spark, sf).select("event_id", *(text.value_in_list(p, v).alias(k) for k, v in {"plain": "80, 90", "inverse": "!80 !90", "mixed": "80, !90"}.items()))
+
+
+@query(WITH + "SELECT event_id, custom_data1 = 'low' AS same, custom_data1 <> 'low' AS inverse, false AS upper_list, CASE WHEN custom_data1 = 'mid' THEN true WHEN custom_data1 = 'low' THEN false ELSE true END AS mixed FROM n")
+def rule_text_match(spark, sf):
+    c = F.col("custom_data1")
+    return sample.events(spark, sf).select("event_id", *(text.text_matches(c, v).alias(k) for k, v in {"same": " LOW ", "inverse": "!Low", "upper_list": "LOW,HIGH", "mixed": "mid,!low"}.items()))
+
+
+# ---- correlation -------------------------------------------------------------------------------------------------
+
+
+def flood(spark, sf) -> DataFrame:
+    return batch.correlate(sample.placed(spark, sf), [FLOOD])
+
+
+@query(FLOOD_SQL + " SELECT alarm_id, CAST(ev_stage AS BIGINT) AS stage, event_id FROM ev")
+def flood_alarm_events(spark, sf):
+    return batch.alarm_events(flood(spark, sf)).select("alarm_id", *_long("stage"), "event_id")
+
+
+_CLASS = "CASE WHEN risk < 3 THEN 'Low' WHEN risk <= 6 THEN 'Medium' ELSE 'High' END"
+
+
+@query(FLOOD_SQL + f" SELECT alarm_id, CAST(stage AS BIGINT) AS stage, status, CAST(risk AS BIGINT) AS risk, {_CLASS} AS risk_class, created_time FROM a WHERE risk > 0")
+def flood_alarms_latest(spark, sf):
+    return alarms.current(batch.alarm_changes(flood(spark, sf))).select("alarm_id", *_long("stage"), "status", *_long("risk"), "risk_class", "created_time")
+
+
+@query(FLOOD_SQL + " SELECT alarm_id, CAST(stage AS BIGINT) AS stage, last_time AS update_time FROM a WHERE status = 'timeout'")
+def flood_timeout(spark, sf):
+    return flood(spark, sf).where("kind = 'alarm' and status = 'timeout'").select("alarm_id", *_long("stage"), "update_time")
+
+
+@query(FLOOD_SQL + " SELECT alarm_id, CAST(ev_stage AS BIGINT) AS stage, count(*) AS n_events FROM ev GROUP BY ALL")
+def alarm_stage_counts(spark, sf):
+    return alarms.stage_counts(batch.alarm_events(flood(spark, sf))).select("alarm_id", *_long("stage"), "n_events")
+
+
+@query(FLOOD_SQL + " SELECT alarm_id, status, n_events FROM a")
+def alarm_totals(spark, sf):
+    found = flood(spark, sf)
+    n = batch.alarm_events(found).groupBy("alarm_id").agg(F.count("*").alias("n_events"))
+    return alarms.current(found.where("kind = 'alarm'").drop("kind", "event_id")).select("alarm_id", "status").join(n, "alarm_id")
+
+
+@query(WITH + "SELECT src_ip, plugin_sid, count(DISTINCT dst_ip) AS n_dst, count(DISTINCT dst_port) AS n_port FROM n GROUP BY 1, 2")
+def sticky_distinct(spark, sf):
+    return sample.events(spark, sf).groupBy("src_ip", "plugin_sid").agg(F.countDistinct("dst_ip").alias("n_dst"), F.countDistinct("dst_port").alias("n_port"))
+
+
+def _replay(spark, sf, directives, **options) -> DataFrame:
+    return batch.alarm_events(batch.correlate(sample.placed(spark, sf), directives, **options)).select("alarm_id", "directive_id", "stage", "event_id")
+
+
+@query()
+def correlate_always_active(spark, sf):
+    rules = [Rule(1, plugin_id=1001, plugin_sid=[5], reliability=1), Rule(2, plugin_id=1001, plugin_sid=[4], from_=":1", to="ANY", occurrence=2, reliability=6, timeout=864000), Rule(3, plugin_id=1001, plugin_sid=[3], from_=":1", to="ANY", occurrence=2, reliability=10, timeout=864000)]
+    return _replay(spark, sf, [Directive(10, "Always", 4, "k", "c", rules, all_rules_always_active=True)])
+
+
+@query()
+def correlate_sticky(spark, sf):
+    rules = [Rule(1, plugin_id=1001, plugin_sid=[5], reliability=1), Rule(2, plugin_id=1001, plugin_sid=[1, 2, 3, 4, 5], from_=":1", occurrence=3, sticky_different="PLUGIN_SID", reliability=6, timeout=864000), Rule(3, plugin_id=1001, plugin_sid=[1, 2], from_=":1", occurrence=4, sticky_different="DST_IP", reliability=10, timeout=864000)]
+    return _replay(spark, sf, [Directive(11, "Sticky", 4, "k", "c", rules)])
+
+
+@query()
+def correlate_references(spark, sf):
+    rules = [Rule(1, plugin_id=1001, plugin_sid=[5], custom_data1="ANY", reliability=1), Rule(2, plugin_id=1001, plugin_sid=[1, 5], from_=":1", custom_data1=":1", occurrence=2, reliability=6, timeout=1728000), Rule(3, plugin_id=1001, plugin_sid=[2, 5], from_=":1", port_to="!80", custom_data1="!:1", occurrence=2, reliability=10, timeout=1728000)]
+    return _replay(spark, sf, [Directive(12, "References", 4, "k", "c", rules)])
+
+
+@query()
+def correlate_taxonomy(spark, sf):
+    return _replay(spark, sf, MIXED)
+
+
+# ---- risk and the alarm store ------------------------------------------------------------------------------------
+
+_RISK = f"CAST(floor((1 + user_id % 5) * (k % 11) * greatest({sql_value('src_ip')}, {sql_value('dst_ip')}) / 25) AS BIGINT)"
+
+
+@query(WITH + f"SELECT event_id, {_RISK} AS risk FROM n")
+def risk_score(spark, sf):
+    r = alarms.risk(1 + F.col("user_id") % 5, F.col("k") % 11, F.greatest("src_value", "dst_value"))
+    return sample.placed(spark, sf).select("event_id", r.cast("bigint").alias("risk"))
+
+
+@query(WITH + f"SELECT {_CLASS} AS risk_class, count(*) AS n FROM (SELECT {_RISK} AS risk FROM n) GROUP BY 1")
+def risk_class(spark, sf):
+    return risk_score(spark, sf).groupBy(alarms.risk_class(F.col("risk")).alias("risk_class")).agg(F.count("*").alias("n"))
+
+
+def _changes(spark, sf) -> DataFrame:
+    """A changelog of alarms made of events: one alarm for each user."""
+    e = sample.placed(spark, sf)
+    late = F.when(F.col("k") % 4 == 0, F.concat(F.lit("hit-"), F.col("k").cast("string")))
+    return e.select(F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("alarm_id"), F.col("ts_unix").alias("update_time"), F.col("ts_unix").alias("created_time"), "seq", (F.col("k") % 10).alias("risk"), F.col("title"), late.alias("intel"), F.array("src_ip").alias("src_ips"), F.array("dst_ip").alias("dst_ips"), F.lit("Open").alias("status"))
+
+
+_CHANGES = f"WITH {EVENTS}, c AS (SELECT 'a' || user_id AS alarm_id, ts_unix AS update_time, ts_unix AS created_time, seq, k % 10 AS risk, title, CASE WHEN k % 4 = 0 THEN 'hit-' || k END AS intel, src_ip, dst_ip FROM n) "
+
+
+@query(_CHANGES + "SELECT alarm_id, CAST(arg_max(risk, (risk, update_time, seq)) AS BIGINT) AS risk, arg_max(title, (risk, update_time, seq)) AS title, max_by(intel, (update_time, seq)) FILTER (WHERE intel IS NOT NULL) AS intel, min(created_time) AS created_time FROM c GROUP BY 1")
+def alarm_upsert_latest(spark, sf):
+    return alarms.upsert_latest(_changes(spark, sf), ("intel",)).select("alarm_id", *_long("risk"), "title", "intel", "created_time")
+
+
+@query(_CHANGES + f", i AS (SELECT DISTINCT alarm_id, unnest([src_ip, dst_ip]) AS ip FROM c), x AS (SELECT DISTINCT alarm_id, unnest([{', '.join(f'''CASE WHEN {sql_in('ip', [c])} THEN '{c}' END''' for c in _NETS)}]) AS net FROM i) SELECT alarm_id, string_agg(net, ',' ORDER BY net) AS networks FROM x WHERE net IS NOT NULL GROUP BY 1")
+def alarm_networks(spark, sf):
+    c = _changes(spark, sf)
+    ips = c.select(F.explode(F.array_union("src_ips", "dst_ips")).alias("ip"))
+    found = assets.lookup(ips, assets.asset_table(spark, ASSETS))
+    return alarms.networks(c, found).select("alarm_id", F.array_join("networks", ",").alias("networks"))
+
+
+@query(WITH + "SELECT event_id, title, ts_unix FROM n WHERE plugin_sid = 5 AND user_id % 3 = 1 ORDER BY ts_unix DESC, event_id DESC LIMIT 200")
+def alarm_drilldown(spark, sf):
+    e = sample.events(spark, sf)
+    links = e.where("plugin_sid = 5").select(F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")).alias("alarm_id"), F.lit(2).alias("stage"), "event_id")
+    return alarms.drill_down(links, e, "a1", 2).select("event_id", "title", "ts_unix")
+
+
+_LATEST = _CHANGES + ", l AS (SELECT alarm_id, max(update_time) AS update_time, min(created_time) AS created_time, max(risk) AS risk FROM c GROUP BY 1) "
+
+
+def _latest(spark, sf) -> DataFrame:
+    return _changes(spark, sf).groupBy("alarm_id").agg(F.max("update_time").alias("update_time"), F.min("created_time").alias("created_time"), F.max("risk").alias("risk"), F.lit("Open").alias("status"))
+
+
+@query(_LATEST + "SELECT alarm_id, update_time FROM l ORDER BY update_time DESC, alarm_id LIMIT 25 OFFSET 10")
+def alarm_page(spark, sf):
+    return alarms.page(_latest(spark, sf), 10, 25).select("alarm_id", "update_time")
+
+
+@query(_LATEST + "SELECT alarm_id, update_time FROM l WHERE alarm_id IN ('a1', 'a2', 'a40') ORDER BY alarm_id LIMIT 200")
+def alarm_by_ids(spark, sf):
+    return alarms.by_ids(_latest(spark, sf), ["a1", "a2", "a40"]).select("alarm_id", "update_time")
+
+
+@query(_CHANGES + ", g AS (SELECT DISTINCT alarm_id FROM c WHERE risk = 9 AND title = 'error') SELECT 'alarm' AS kind, count(DISTINCT alarm_id) AS n FROM c WHERE alarm_id NOT IN (SELECT alarm_id FROM g) UNION ALL SELECT 'link', count(*) FROM c WHERE alarm_id NOT IN (SELECT alarm_id FROM g)")
+def alarm_delete_cascade(spark, sf):
+    c = _changes(spark, sf)
+    kept, links = alarms.delete_cascade(c.select("alarm_id").distinct(), c.select("alarm_id", "seq"), c.where("risk = 9 and title = 'error'").select("alarm_id").distinct())
+    return kept.agg(F.count("*").alias("n")).select(F.lit("alarm").alias("kind"), "n").union(links.agg(F.count("*").alias("n")).select(F.lit("link"), "n"))
+
+
+@query(_LATEST + "SELECT alarm_id, CASE WHEN risk > 8 THEN 'Closed' ELSE 'Open' END AS status FROM l")
+def alarm_set_status(spark, sf):
+    return alarms.set_field(_latest(spark, sf), F.col("risk") > 8, "status", "Closed").select("alarm_id", "status")
+
+
+@query(_CHANGES + "SELECT strftime(to_timestamp(update_time) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n FROM c WHERE update_time >= epoch(DATE '2024-01-10') AND update_time < epoch(DATE '2024-01-11') GROUP BY 1")
+def alarm_daily_partition(spark, sf):
+    here, _ = alarms.move_day(_changes(spark, sf), "update_time", "2024-01-10")
+    return here.groupBy(alarms.day(F.col("update_time")).alias("day")).agg(F.count("*").alias("n"))
+
+
+@query(_CHANGES + "SELECT day, count(*) AS n FROM (SELECT strftime(to_timestamp(min(created_time) OVER (PARTITION BY alarm_id)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM c) GROUP BY 1")
+def alarm_sticky_partition(spark, sf):
+    return alarms.sticky_day(_changes(spark, sf)).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query(_CHANGES + "SELECT alarm_id AS event_id, title AS rule_name, CAST(risk AS FLOAT) AS event_risk_score, src_ip AS source_ip FROM c")
+def alarms_ecs(spark, sf):
+    c = _changes(spark, sf).withColumns({"kingdom": F.lit("k"), "category": F.lit("c")})
+    return alarms.ecs(c).select("event_id", "rule_name", "event_risk_score", F.col("source_ip")[0].alias("source_ip"))
+
+
+# ---- enrichment --------------------------------------------------------------------------------------------------
+
+_INTEL = [(f"8.8.8.{7 * i}", f"feed: score {i}") for i in range(12)] + [("192.168.0.9", "feed: private")]
+_INTEL_SQL = ", ".join(f"('{t}', '{r}')" for t, r in _INTEL)
+
+
+@query(_CHANGES + f"SELECT DISTINCT alarm_id, 'Feed' AS provider, term, result FROM c JOIN (VALUES {_INTEL_SQL}) AS i(term, result) ON i.term IN (c.src_ip, c.dst_ip) WHERE NOT {sql_in('term', list(net.PRIVATE_V4))}")
+def intel_hits(spark, sf):
+    table = spark.createDataFrame([("Feed", t, r) for t, r in _INTEL], "provider string, term string, result string")
+    return enrich.intel_hits(_changes(spark, sf), table)
+
+
+
+
+@query(WITH + "SELECT DISTINCT src_ip AS term, 'Wise' AS provider, 'feed.activity: scan ' || k AS result FROM n")
+def intel_parse(spark, sf):
+    body = F.concat(F.lit("[{field: 'feed.activity', len: 9, value: 'scan "), F.col("k").cast("string"), F.lit("'}, {field: 'feed.id', len: 2, value: 'ab'}]"))
+    raw = sample.events(spark, sf).select(F.col("src_ip").alias("term"), body.alias("body")).distinct()
+    return enrich.parse_field_lists(raw, "Wise").select("term", "provider", "result")
+
+
+def _rules(spark, sf) -> DataFrame:
+    e = sample.events(spark, sf)
+    rule = F.array(F.struct(F.concat("src_ip", F.lit(", ANY")).alias("from"), F.concat("dst_ip", F.lit(","), "dst_ip", F.lit(",10.0.0.0/8")).alias("to"), F.lit("ANY").alias("port_from"), F.lit("80, x80").alias("port_to")))
+    return e.select(F.col("event_id").alias("alarm_id"), "src_port", "dst_port", rule.alias("rules"))
+
+
+@query(WITH + "SELECT event_id AS alarm_id, src_ip AS ip, CAST(src_port AS BIGINT) AS port FROM n UNION SELECT event_id, dst_ip, 80 FROM n UNION SELECT event_id, dst_ip, dst_port FROM n")
+def vuln_terms(spark, sf):
+    return enrich.vuln_terms(_rules(spark, sf)).select("alarm_id", "ip", *_long("port"))
+
+
+_SCANS = [("192.168.0.5", 80, "High", "old server", "CVE-1"), ("192.168.0.5", 80, "Low", "banner", ""), ("192.168.0.6", 86, "Critical", "worm", ""), ("192.168.0.7", 443, "High", "cert", "CVE-2")]
+
+
+@query(WITH + "SELECT event_id AS alarm_id, 'Nessus' AS provider, '192.168.0.5:80' AS term, 'High - old server (CVE-1)' AS result FROM n WHERE k = 5 UNION ALL SELECT event_id, 'Nessus', '192.168.0.6:86', 'Critical - worm' FROM n WHERE k = 6")
+def vuln_hits(spark, sf):
+    scans = spark.createDataFrame(_SCANS, "Host string, Port int, Risk string, Name string, CVE string")
+    return enrich.vuln_hits(enrich.vuln_terms(_rules(spark, sf)), enrich.scan_results(scans))
+
+
+# ---- normalisation and harvest -----------------------------------------------------------------------------------
+
+
+def _raw(spark, sf) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select(F.struct(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("event_type").alias("signature"), F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))).alias("src")).alias("log"), F.when(F.col("event_id") % 5 == 0, "x").otherwise(F.get_json_object("props", "$.k")).alias("port"), F.lit("suricata").alias("app"))
+
+
+_MAPPING = normalize.PluginMapping("suricata", plugin_id=1001, identify={"app": "suricata"}, fields={"timestamp": "es:log.at", "title": "es:log.signature", "sensor": "edge", "src_ip": "es:log.src", "dst_ip": "192.168.0.1", "dst_port": "es:port", "custom_label1": "port", "custom_data1": "es:port"}, time_format="yyyy-MM-dd HH:mm:ss", sids={"error": 5, "purchase": 4})
+
+
+@query("SELECT strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, event_type AS title, 'edge' AS sensor, CAST(CASE event_type WHEN 'error' THEN 5 ELSE 4 END AS BIGINT) AS plugin_sid, CASE WHEN user_id % 3 <> 0 THEN '10.0.0.' || user_id ELSE '0.0.0.0' END AS src_ip, CAST(CASE WHEN event_id % 5 = 0 THEN 0 ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS BIGINT) AS dst_port, CASE WHEN event_id % 5 = 0 THEN 'x' ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS custom_data1 FROM events WHERE event_type IN ('error', 'purchase')")
+def normalize_mapping(spark, sf):
+    return normalize.normalize(_raw(spark, sf), _MAPPING).select("timestamp", "title", "sensor", *_long("plugin_sid"), "src_ip", *_long("dst_port"), "custom_data1")
+
+
+@query(WITH + "SELECT event_id, CASE WHEN plugin_sid IN (4, 5) THEN 'user' ELSE 'bucket' END AS custom_label1, CASE WHEN plugin_sid IN (4, 5) THEN CAST(user_id AS VARCHAR) ELSE custom_data1 END AS custom_data1 FROM n")
+def custom_data_injection(spark, sf):
+    return normalize.inject_custom(sample.events(spark, sf), [4, 5], [("user", "{user_id}")]).select("event_id", "custom_label1", "custom_data1")
+
+
+@query("WITH r AS (SELECT l_shipmode_ AS title, l_suppkey % 7 AS sid, l_returnflag AS category FROM (SELECT *, 'part ' || (l_partkey % 1500) AS l_shipmode_ FROM lineitem)), t AS (SELECT title, count(*) AS n FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000), s AS (SELECT title, sid, row_number() OVER (PARTITION BY title ORDER BY count(*) DESC, sid) AS p FROM r GROUP BY title, sid), c AS (SELECT title, category, row_number() OVER (PARTITION BY title ORDER BY count(*) DESC, category) AS p FROM r GROUP BY title, category) SELECT t.title, t.n, CAST(s.sid AS BIGINT) AS sid, c.category FROM t JOIN s ON s.title = t.title AND s.p = 1 JOIN c ON c.title = t.title AND c.p = 1")
+def sid_harvest_pair(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat(F.lit("part "), (F.col("l_partkey") % 1500).cast("string")).alias("title"), (F.col("l_suppkey") % 7).alias("sid"), F.col("l_returnflag").alias("category"))
+    return harvest.collect_pairs(li).select("title", "n", "sid", "category")
+
+
+@query("WITH r AS (SELECT 'part ' || (l_partkey % 1500) AS title, l_returnflag AS category FROM lineitem), t AS (SELECT title, count(*) AS n FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000), u AS (SELECT *, 99 + row_number() OVER (ORDER BY n DESC, title) AS sid FROM t), c AS (SELECT title, category, row_number() OVER (PARTITION BY title ORDER BY count(*) DESC, category) AS p FROM r GROUP BY title, category) SELECT u.title, u.n, c.category, u.sid FROM u JOIN c ON c.title = u.title AND c.p = 1")
+def sid_harvest_titles(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat(F.lit("part "), (F.col("l_partkey") % 1500).cast("string")).alias("title"), F.col("l_returnflag").alias("category"))
+    return harvest.collect_titles(li, 100).select("title", "n", "category", *_long("sid"))
+
+
+@query("SELECT label1, data1, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid) AS sids FROM (SELECT DISTINCT 'brand' AS label1, p_brand AS data1, p_size AS sid FROM part WHERE p_partkey % 5 <> 0) GROUP BY 1, 2")
+def sid_customdata_groups(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_size").alias("sid"), F.when(F.col("p_partkey") % 5 != 0, "brand").otherwise("").alias("custom_label1"), F.col("p_brand").alias("custom_data1"), *(F.lit("").alias(c) for c in harvest.CUSTOM[2:]))
+    return harvest.group_by_custom(p).select(F.col("custom_label1").alias("label1"), F.col("custom_data1").alias("data1"), F.array_join(F.transform("sids", lambda x: x.cast("string")), ",").alias("sids"))
+
+
+# ---- directive tools ---------------------------------------------------------------------------------------------
+
+
+def _sids(spark, sf) -> DataFrame:
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select(F.lit(9000).alias("id"), F.col("p_partkey").cast("int").alias("sid"), F.concat(F.col("p_brand"), F.lit(" "), (F.col("p_size") % 5).cast("string")).alias("title"), F.col("p_type").alias("category"), F.lit("").alias("kingdom"))
+
+
+@query("WITH p AS (SELECT p_partkey AS sid, p_brand || ' ' || (p_size % 5) AS title, p_type AS category FROM part WHERE p_partkey <> 0), g AS (SELECT title, min(sid) AS first, arg_min(category, sid) AS category, count(DISTINCT sid) AS n_sids FROM p GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY first, title) AS k FROM g) SELECT CASE WHEN k >= 5 THEN 101 + k ELSE 99 + k END AS id, title || ' from SRC_IP' AS name, 'Recon' AS kingdom, category, n_sids FROM k")
+def directive_generate(spark, sf):
+    d = tools.generate_directives(_sids(spark, sf), "EVENT_TITLE from SRC_IP", "Recon", 3, 1, 100, taken=(104, 105))
+    return d.select(*_long("id"), "name", "kingdom", "category", F.size("sids").cast("bigint").alias("n_sids"))
+
+
+def _two_sets(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("priority"))
+    ours = n.where("id % 3 <> 0")
+    theirs = n.where("id % 2 = 0").withColumn("priority", F.when(F.col("id") % 4 == 0, F.col("priority") + 1).otherwise(F.col("priority")))
+    return ours, theirs
+
+
+@query("WITH a AS (SELECT n_nationkey AS id, n_name AS name, n_regionkey AS priority FROM nation WHERE n_nationkey % 3 <> 0), b AS (SELECT n_nationkey AS id, n_name AS name, n_regionkey + CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END AS priority FROM nation WHERE n_nationkey % 2 = 0) SELECT CAST(coalesce(a.id, b.id) AS BIGINT) AS id, coalesce(b.name, a.name) AS name, CAST(coalesce(b.priority, a.priority) AS BIGINT) AS priority, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL OR a.priority = b.priority THEN 'kept' ELSE 'replaced' END AS change FROM a FULL JOIN b ON a.id = b.id")
+def directive_merge(spark, sf):
+    return tools.merge_directives(*_two_sets(spark, sf)).select(*_long("id"), "name", *_long("priority"), "change")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(floor((row_number() OVER (ORDER BY n_nationkey) - 1) / 4) + 1 AS BIGINT) AS by_count, CAST(least(floor((row_number() OVER (ORDER BY n_nationkey) - 1) / (SELECT count(*) // 4 FROM nation)), 3) + 1 AS BIGINT) AS in_parts FROM nation")
+def directive_split(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("id"))
+    return tools.split_by_count(n, 4).withColumnRenamed("file", "by_count").join(tools.split_in(n, 4).withColumnRenamed("file", "in_parts"), "id").select(*_long("id", "by_count", "in_parts"))
+
+
+@query(WITH + "SELECT date_trunc('second', ts) AS start, count(*) AS n FROM n GROUP BY 1")
+def eps_tumbling(spark, sf):
+    return control.events_per_second(sample.events(spark, sf)).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(WITH + "SELECT (1706700000 - ts_unix) > 1000000 AS late, count(*) AS n, max(1706700000 - ts_unix) AS worst FROM n GROUP BY 1")
+def processing_delay(spark, sf):
+    return control.processing_delay(sample.events(spark, sf).withColumn("rcvd_time", F.col("ts_unix") * 1_000_000_000), 1706700000, 1_000_000)
+
+
+@query(WITH + "SELECT date_trunc('second', ts) AS second, count(*) AS received, greatest(0, count(*) - 1) AS dropped FROM n GROUP BY 1")
+def queue_report(spark, sf):
+    return control.queue_report(sample.events(spark, sf), 1).select(F.col("second").cast("timestamp_ntz").alias("second"), "received", "dropped")
+
+
+@query()
+def stream_equals_batch(spark, sf):
+    """(side, alarm_events): links that only the batch replay, or only the stream, has; both are 0."""
+    from wardline.streaming.replay import differences
+
+    return differences(spark, sample.placed(spark, sf), [FLOOD])
+
+
+@query()
+def generated_events(spark, sf):
+    """Test events that walk through the directives' stages."""
+    return tools.generate_events(spark, MIXED).select("event_id", "plugin_sid", "src_ip", "dst_ip")
+
+

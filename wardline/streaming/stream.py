@@ -43,7 +43,8 @@ def correlate_stream(events: DataFrame, directives: list[Directive], life_minute
             state.setTimeoutTimestamp(max(due * 1000 + 1000, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([{c: r.get(c) for c in columns} for r in out], columns=columns)
+        if out:
+            yield pd.DataFrame([{c: r.get(c) for c in columns} for r in out], columns=columns)
 
     return rows.groupBy("directive_id", "key").applyInPandasWithState(run, OUTPUT, "seq bigint, backlogs string", "append", GroupStateTimeout.EventTimeTimeout)
 
