@@ -30,6 +30,7 @@ def test_configuration_files(spark, tmp_path):
     kept, checks = files.load_directives(spark, str(tmp_path))
     assert [d.id for d in kept] == [1, 3] and len(checks) == 3
     assert [d.id for d in files.load_directives(spark, str(tmp_path), node="b")[0]] == [3]
+    assert [n for n, _ in files.list_configs(spark, str(tmp_path), "a")] == ["assets_x.json", "directives_a_1.json", "intel_x.json"]
     assert files.validate_directory(spark, str(tmp_path)) == (3, 4)
     assert files.load_assets(spark, str(tmp_path))[0]["value"] == 2 and len(files.load_sources(spark, str(tmp_path), "intel")) == 1
     assert files.validate_upload("assets_x.json", (tmp_path / "assets_x.json").read_bytes()) is None

@@ -35,6 +35,18 @@ def current(changes: DataFrame) -> DataFrame:
     return last.select("alarm_id", "m.update_time", "m.r.*").withColumns({"risk_class": risk_class(F.col("risk")), "alarm_status": F.lit("Open"), "tag": F.lit("Identified Threat")})
 
 
+def backlog_counts(found: DataFrame) -> DataFrame:
+    """(directive_id, live, total) of backlogs, from what correlation emits: live ones have neither finished nor timed out."""
+    ended = F.max(F.when((F.col("kind") == "alarm") & F.col("status").isin("finished", "timeout"), 1).otherwise(0))
+    by = found.groupBy("directive_id", "alarm_id").agg(ended.alias("ended"))
+    return by.groupBy("directive_id").agg(F.sum(1 - F.col("ended")).cast("bigint").alias("live"), F.count("*").alias("total"))
+
+
+def with_times(alarms: DataFrame) -> DataFrame:
+    """Alarms with `timestamp` and `updated_time` in place of the epoch columns, as the store keeps them."""
+    return alarms.withColumns({"timestamp": F.timestamp_seconds("created_time"), "updated_time": F.timestamp_seconds("update_time")}).drop("created_time", "update_time")
+
+
 def networks(changes: DataFrame, by_ip: DataFrame) -> DataFrame:
     """(alarm_id, networks): of all addresses that the alarm ever had.  by_ip: (ip, networks) from ``assets.lookup``."""
     ips = changes.select("alarm_id", F.explode(F.array_union("src_ips", "dst_ips")).alias("ip")).distinct()

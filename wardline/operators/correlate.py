@@ -1,7 +1,10 @@
 """Batch correlation: fan-out, partition by directive and key, and the machine over each key's events in order.
 
-Only the columns that the machine reads cross into Python.  ``now`` of a key is the clock of the whole run for its
-directive (the largest event time that the directive lets in), so that timeouts of keys that go quiet are seen.
+Only the columns that the machine reads cross into Python.  A partition's rows are sorted (Spark spills what does not
+fit) and streamed through the machine, so a key of any size needs the memory of its live backlogs only.  A key's events
+are one chain of steps and so one task's work; directives that pin no field run as one key, which ``unpinned`` tells.
+
+``clock`` is the largest event time that a directive lets in, so that timeouts of keys that go quiet are seen.
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ def keyed(events: DataFrame, directives: list[Directive], unique_ids: bool = Tru
 
 
 def records(pdf: pd.DataFrame) -> Iterator[tuple[int, dict]]:
-    """(seq, event) in order; a missing time stays None."""
-    pdf = pdf.sort_values(["ts_unix", "seq"], kind="stable", na_position="last")
+    """(seq, event) in order; a missing time stays None and comes last."""
+    yield from _rows(pdf.sort_values(["ts_unix", "seq"], kind="stable", na_position="last"))
+
+
+def _rows(pdf: pd.DataFrame) -> Iterator[tuple[int, dict]]:
     for r in pdf.to_dict("records"):
         r["ts_unix"] = None if pd.isna(r["ts_unix"]) else int(r["ts_unix"])
         yield int(r["seq"]), r
@@ -38,17 +44,30 @@ def correlate(events: DataFrame, directives: list[Directive], life_minutes: int
     rows = keyed(events, directives, unique_ids, v6)
     clock = rows.groupBy("directive_id").agg(F.max("ts_unix").alias("clock"))
     rows = rows.join(F.broadcast(clock), "directive_id")  # one row for each directive
-    life = life_minutes * 60
-    columns = OUTPUT.names
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, live, out, seq = by_id[int(pdf["directive_id"].iloc[0])], [], [], 0
-        for seq, e in records(pdf):
-            out += machine.step(d, live, e, seq, life)
-        out += machine.expire(d, live, int(pdf["clock"].iloc[0]), life, seq)
+    life, columns = life_minutes * 60, OUTPUT.names
+    order = ["directive_id", "key", F.col("ts_unix").asc_nulls_last(), "seq"]
+
+    def table(out: list[dict]) -> pd.DataFrame:
         return pd.DataFrame([{c: r.get(c) for c in columns} for r in out], columns=columns)
 
-    return rows.groupBy("directive_id", "key").applyInPandas(run, OUTPUT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, clock, seq, live = None, 0, 0, []
+        for b in batches:
+            out: list[dict] = []
+            for n, e in _rows(b):
+                if (e["directive_id"], e["key"]) != key:
+                    if live:
+                        out += machine.expire(by_id[key[0]], live, clock, life, seq)
+                    key, live = (e["directive_id"], e["key"]), []
+                clock, seq = int(e["clock"]), n
+                out += machine.step(by_id[key[0]], live, e, n, life)
+            if out:
+                yield table(out)
+        if live:
+            yield table(list(machine.expire(by_id[key[0]], live, clock, life, seq)))
+
+    sorted_rows = rows.repartition("directive_id", "key").sortWithinPartitions(*order)
+    return sorted_rows.mapInPandas(run, OUTPUT)
 
 
 def alarm_events(found: DataFrame) -> DataFrame:

@@ -214,6 +214,11 @@ def alarm_totals(spark, sf):
     return alarms.current(found.where("kind = 'alarm'").drop("kind", "event_id")).select("alarm_id", "status").join(n, "alarm_id")
 
 
+@query(FLOOD_SQL + " SELECT CAST(1 AS BIGINT) AS directive_id, count(*) FILTER (WHERE status = 'active') AS live, count(*) AS total FROM a")
+def backlog_counts(spark, sf):
+    return alarms.backlog_counts(flood(spark, sf)).select(*_long("directive_id"), "live", "total")
+
+
 @query(WITH + "SELECT src_ip, plugin_sid, count(DISTINCT dst_ip) AS n_dst, count(DISTINCT dst_port) AS n_port FROM n GROUP BY 1, 2")
 def sticky_distinct(spark, sf):
     return sample.events(spark, sf).groupBy("src_ip", "plugin_sid").agg(F.countDistinct("dst_ip").alias("n_dst"), F.countDistinct("dst_port").alias("n_port"))
@@ -338,6 +343,12 @@ def alarms_ecs(spark, sf):
     return alarms.ecs(c).select("event_id", "rule_name", "event_risk_score", F.col("source_ip")[0].alias("source_ip"))
 
 
+@query(_LATEST + "SELECT alarm_id, strftime(to_timestamp(created_time) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS timestamp, strftime(to_timestamp(update_time) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS updated_time FROM l")
+def alarm_times(spark, sf):
+    out = alarms.with_times(_latest(spark, sf))
+    return out.select("alarm_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("timestamp", "updated_time")))
+
+
 # ---- enrichment --------------------------------------------------------------------------------------------------
 
 _INTEL = [(f"8.8.8.{7 * i}", f"feed: score {i}") for i in range(12)] + [("192.168.0.9", "feed: private")]

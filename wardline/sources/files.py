@@ -68,6 +68,13 @@ def load_directives(spark: SparkSession, folder: str, include_disabled: bool = F
     return kept, checks
 
 
+def list_configs(spark: SparkSession, folder: str, node: str = "") -> list[tuple[str, int]]:
+    """(name, bytes) of the configuration files of a folder: all, or those that a node runs with (its directives, and what all share)."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*_*.json").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length").collect()
+    names = sorted((r["name"], r["length"]) for r in found if r["name"].partition("_")[0] in UPLOADS)
+    return [x for x in names if not node or not x[0].startswith("directives_") or x[0].startswith(f"directives_{node}_")]
+
+
 def validate_directory(spark: SparkSession, folder: str) -> tuple[int, int]:
     """(valid, all) directives of a folder."""
     found = [Directive.of(d) for doc in _documents(spark, f"{folder}/directives_*.json") for d in doc.get("directives", [])]
