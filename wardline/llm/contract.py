@@ -61,11 +61,41 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("_wl_cut").cast("bigint").alias("n_blocks"), n.alias("n_lines"), F.array_join(cut, ",").alias("blocks"), F.length("text").cast("bigint").alias("n_chars_left"), F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
 
 
+_REACH = """
+  r(id, root) AS (SELECT id, id FROM nodes UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)"""
+
+ORACLES["op3_ngram_join"] = (
+    """WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+  nodes AS (SELECT doc_id AS id FROM documents),"""
+    + _REACH
+    + """
+SELECT r.id AS doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY 1, 2"""
+)
+
+
 @query
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+ORACLES["op4_embedding_dedup"] = (
+    """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+  nodes AS (SELECT vec_id AS id FROM embeddings),"""
+    + _REACH
+    + """,
+  k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT r.id AS vec_id, coalesce(k.n, 0) AS n_links, min(r.root) AS component_id, r.id = min(r.root) AS kept FROM r LEFT JOIN k ON k.a = r.id GROUP BY r.id, k.n"""
+)
+
+
 @query
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.dedup(table(spark, sf_dir, "embeddings"))
