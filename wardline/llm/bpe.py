@@ -108,7 +108,7 @@ class Transducer:
         """Is the sequence a, b what the text a + b becomes?"""
         found = self._apart.get((a, b))
         if found is None:
-            if len(self._apart) > 1_000_000:
+            if len(self._apart) > 150_000:
                 self._apart.clear()
             found = self._apart[a, b] = not self._joined(a, b, NEVER, NEVER)
         return found

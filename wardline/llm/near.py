@@ -37,8 +37,8 @@ WORDS, PERCENT = 5, 80
 BUCKETS, OFTEN = 1 << 22, 6
 #: Sets in a block.
 BLOCK = 256
-#: Bits of the larger parity sketch.
-BITS = 2048
+#: Bits of the larger parity sketch, and of the filter by ids.
+BITS, FILTER_BITS = 2048, 1 << 23
 
 
 def least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -173,6 +173,24 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _likely(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """Rows of texts whose id falls on a bit that some needed id sets: a bitmap of fixed size, so that a join that
+    follows, and is exact, need not shuffle all texts.  Where most bits are set it lets all rows through."""
+    spot = F.pmod(F.xxhash64("cid"), F.lit(FILTER_BITS))
+    maps = need.select((spot + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
+    every = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps:  # numbers, parts and so bytes count from 1; a part holds 4096 bytes
+        every[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(every)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column("spot"))
+            yield b.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))).drop_columns(["spot"])
+
+    return texts.withColumn("spot", spot).mapInArrow(run, texts.schema)
+
+
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents' summaries, classes, links (a, b) between class representatives that span all components)."""
     spark = docs.sparkSession
@@ -181,12 +199,13 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     every = _summaries(docs, words, percent, shared)
     kind = every.schema["doc_id"].dataType.simpleString()
     full = every.where("n > 0 and doc_id is not null")
-    classes = staged(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cid"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("ph").alias("ph"), F.first("prefix").alias("prefix"), F.first("big").alias("big")))
-    groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.bit_and("k1").alias("a1"), F.bit_and("k2").alias("a2"), F.bit_or("k1").alias("o1"), F.bit_or("k2").alias("o2"), F.first("prefix").alias("prefix"))
+    # equal sets have equal sketches and prefixes, so any of a class will do
+    classes = staged(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cid"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("ph").alias("ph")))
+    groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.bit_and("k1").alias("a1"), F.bit_and("k2").alias("a2"), F.bit_or("k1").alias("o1"), F.bit_or("k2").alias("o2"))
     # bits on which a group's members differ say nothing about it; on the others all members agree
-    groups = staged(groups.select("gid", "n", "ph", "a1", "a2", F.col("a1").bitwiseXOR(F.col("o1")).alias("v1"), F.col("a2").bitwiseXOR(F.col("o2")).alias("v2"), "prefix"))
+    groups = staged(groups.select("gid", "n", "ph", "a1", "a2", F.col("a1").bitwiseXOR(F.col("o1")).alias("v1"), F.col("a2").bitwiseXOR(F.col("o2")).alias("v2")))
     info = groups.select("gid", "n", "a1", "a2", "v1", "v2")
-    tokens = _tokens(groups)
+    tokens = _tokens(full.select(F.col("doc_id").alias("gid"), "prefix").join(groups.select("gid"), "gid", "left_semi").dropDuplicates(["gid"]))
     common = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     tokens = staged(tokens.join(common, "token"))
 
@@ -214,8 +233,10 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     fits &= apart("x", "y") <= F.col("x.n") + F.col("y.n") - 2 * least_overlap(F.col("x.n"), F.col("y.n"), percent)
     pairs = staged(x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct())
     ma, mb = members.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), members.select(F.col("gid").alias("gb"), F.col("cid").alias("b"))
-    pairs = pairs.join(ma, "ga").join(mb, "gb").select("a", "b")
-    sketch = classes.select("cid", F.col("n"), "big")
+    pairs = staged(pairs.join(ma, "ga").join(mb, "gb").select("a", "b"))
+    # the larger sketches of the classes in pairs only
+    told = pairs.select("a").union(pairs.select("b")).distinct()
+    sketch = full.join(told, full["doc_id"] == told["a"], "left_semi").select("doc_id", "n", "big").dropDuplicates(["doc_id"])
     pairs = pairs.join(sketch.toDF("a", "na", "p"), "a").join(sketch.toDF("b", "nb", "q"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +249,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     pairs = staged(pairs.select("a", "b", "na", "nb", "p", "q").mapInArrow(close, f"a {kind}, b {kind}"))
 
     # the sets of all classes that take part, from their texts
-    need = crowd.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    need = staged(crowd.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct())
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -236,7 +257,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
             keys = [s.tobytes() for p in pieces(b.column("text")) for s in _sets(p, words, order)]
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(keys, pa.binary())], ["cid", "keys"])
 
-    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(need, "cid", "left_semi")
+    texts = _likely(docs.select(F.col("doc_id").alias("cid"), "text"), need).join(need, "cid", "left_semi")
     sets = staged(texts.mapInArrow(keyed, f"cid {kind}, keys binary").dropDuplicates(["cid"]))
 
     spread = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", "cid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
