@@ -29,7 +29,7 @@ _powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["p"]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, (1 << 19) + 1)
         for k, base in (("p", _P), ("q", _PI)):
             a = np.full(n, np.uint64(base), np.uint64)
             a[0] = 1
@@ -73,7 +73,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def pieces(col: pa.Array, apart: np.ndarray = SPACE, lower: bool = True, size: int = 1 << 20) -> Iterator[Piece]:
+def pieces(col: pa.Array, apart: np.ndarray = SPACE, lower: bool = True, size: int = 1 << 19) -> Iterator[Piece]:
     offs, data = utf8(col)
     n, i = len(offs) - 1, 0
     value = _VALUE_LOWER if lower else _VALUE

@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows in an Arrow batch: texts may be long, and every task holds some batches on either side of its Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession

@@ -57,17 +57,11 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(BUCKETS, np.int32), [], 0
+        total = np.zeros(BUCKETS, np.int32)
         for b in batches:
             for p in pieces(b.column(0)):
                 if len(p.hashes) >= words:
-                    held.append((_all_shingles(p, words) & np.uint64(BUCKETS - 1)).astype(np.int32))
-                    size += len(held[-1])
-                if size > 1 << 21:
-                    total += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.int32)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.int32)
+                    np.add.at(total, (_all_shingles(p, words) & np.uint64(BUCKETS - 1)).astype(np.int32), 1)
         at = np.flatnonzero(total >= OFTEN)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
 
