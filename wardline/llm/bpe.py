@@ -19,6 +19,7 @@ an output name that clashes with one is refused.
 from __future__ import annotations
 
 import codecs
+import contextlib
 import hashlib
 import json
 import re
@@ -32,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from wardline.llm.common import lean
+
 END = "\x00"  # marks the last symbol of a word inside this module; bytes are mapped away from it
 SPACE = r"\t-\r \x85\xa0  -     　"
 NEVER = 1 << 60
@@ -203,7 +206,7 @@ class Transducer:
 class Codec:
     """A tokenizer file: cutting texts into words, and words into ids."""
 
-    CACHE = 200_000
+    CACHE = 60_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -225,6 +228,13 @@ class Codec:
         self.cut = re.compile(f"[^{SPACE}]+").findall
         self.symbol = {b: s for b, s in byte_symbols().items()}
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
+
+    def forget(self) -> None:
+        """Drops what was remembered of words: at the end of a task, as the worker may idle from then on."""
+        self.known, self.old = {}, {}
+        self.machine._apart.clear()
+        self.machine.shorter.clear()
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """Count, ids and token strings of a run without white space."""
@@ -242,10 +252,11 @@ class Codec:
         for chunk in self.cut(text) if self.odd_space(text) else text.split():
             found = known.get(chunk)
             if found is None:
-                found = self._chunk(chunk)
+                found = self.old.get(chunk) or self._chunk(chunk)
                 if len(chunk) < 64:
-                    if len(known) >= self.CACHE:
-                        known.clear()
+                    if len(known) >= self.CACHE:  # what was asked for since the last change stays
+                        self.old, self.known = known, {}
+                        known = self.known
                     known[chunk] = found
             if found[0]:
                 yield found
@@ -297,6 +308,15 @@ class TextDecoder:
 _codecs: dict[str, Codec] = {}
 
 
+@contextlib.contextmanager
+def for_task(path: str) -> Iterator[Codec]:
+    """The worker's codec, for one task."""
+    try:
+        yield codec(path)
+    finally:
+        codec(path).forget()
+
+
 def codec(path: str) -> Codec:
     """One per worker process."""
     if path not in _codecs:
@@ -315,12 +335,12 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            ids = pa.array([c.encode(t) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
+        with for_task(path) as c:
+            for b in batches:
+                ids = pa.array([c.encode(t) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", readable: bool = False) -> DataFrame:
@@ -329,18 +349,18 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", rea
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            texts = []
-            for row in b.column(ids).to_pylist():
-                if readable:
-                    d = c.text_decoder()
-                    texts.append(("".join(d.feed(i) for i in row or ()) + d.finish()).rstrip(" "))
-                else:
-                    texts.append(c.decode(row or []))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
+        with for_task(path) as c:
+            for b in batches:
+                texts = []
+                for row in b.column(ids).to_pylist():
+                    if readable:
+                        d = c.text_decoder()
+                        texts.append(("".join(d.feed(i) for i in row or ()) + d.finish()).rstrip(" "))
+                    else:
+                        texts.append(c.decode(row or []))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -350,20 +370,20 @@ def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            ids, lengths, seen = [], [0], []
-            for t in b.column(text):
-                held = list(c.runs(t.as_py()))
-                own = np.fromstring(" ".join([i for _, i, _ in held]), np.int32, sep=" ") if held else np.zeros(0, np.int32)
-                ids.append(own)
-                lengths.append(lengths[-1] + len(own))
-                seen.append(hashlib.sha256(" ".join([d for _, _, d in held]).encode()).hexdigest())
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(np.diff(lengths), pa.int64()), lists, pa.array(seen, pa.string())], schema.names)
-
-    return df.mapInArrow(run, schema)
+        with for_task(path) as c:
+            for b in batches:
+                ids, lengths, seen = [], [0], []
+                for t in b.column(text):
+                    held = list(c.runs(t.as_py()))
+                    own = np.fromstring(" ".join([i for _, i, _ in held]), np.int32, sep=" ") if held else np.zeros(0, np.int32)
+                    ids.append(own)
+                    lengths.append(lengths[-1] + len(own))
+                    seen.append(hashlib.sha256(" ".join([d for _, _, d in held]).encode()).hexdigest())
+                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(np.diff(lengths), pa.int64()), lists, pa.array(seen, pa.string())], schema.names)
+
+    return df.mapInArrow(lean(run), schema)
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -374,28 +394,28 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            counts, one, two = [], [], []
-            for t in b.column(text):
-                n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-                held_i: list[str] = []
-                held_d: list[str] = []
-                lead = ""
-                for k, i, d in c.runs(t.as_py()):
-                    n += k
-                    held_i.append(i)
-                    held_d.append(d)
-                    if len(held_i) >= 4096:
+        with for_task(path) as c:
+            for b in batches:
+                counts, one, two = [], [], []
+                for t in b.column(text):
+                    n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+                    held_i: list[str] = []
+                    held_d: list[str] = []
+                    lead = ""
+                    for k, i, d in c.runs(t.as_py()):
+                        n += k
+                        held_i.append(i)
+                        held_d.append(d)
+                        if len(held_i) >= 4096:
+                            ids.update((lead + " ".join(held_i)).encode())
+                            decoded.update((lead + " ".join(held_d)).encode())
+                            lead, held_i, held_d = " ", [], []
+                    if held_i:
                         ids.update((lead + " ".join(held_i)).encode())
                         decoded.update((lead + " ".join(held_d)).encode())
-                        lead, held_i, held_d = " ", [], []
-                if held_i:
-                    ids.update((lead + " ".join(held_i)).encode())
-                    decoded.update((lead + " ".join(held_d)).encode())
-                counts.append(n)
-                one.append(ids.hexdigest())
-                two.append(decoded.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], schema.names)
-
-    return df.select(key, text).mapInArrow(run, schema)
+                    counts.append(n)
+                    one.append(ids.hexdigest())
+                    two.append(decoded.hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], schema.names)
+
+    return df.select(key, text).mapInArrow(lean(run), schema)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.common import lean
 from wardline.llm.arrowtext import Piece, pieces
 
 FEATURES = 1 << 14
@@ -64,7 +65,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["f", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(lean(run), "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(FEATURES + 1, np.int64)
     df[rows["f"].to_numpy(int)] = rows["n"].to_numpy(int)
     return df[:FEATURES], int(df[FEATURES])
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
     schema = "f int, " + ", ".join(f"z{j} float" for j in range(RANK))
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(n, 1))) < SAMPLE) if n > SAMPLE else docs
-    rows = some.select("text").mapInArrow(run, schema).groupBy("f").agg(*(F.sum(f"z{j}").alias(f"z{j}") for j in range(RANK))).toPandas()
+    rows = some.select("text").mapInArrow(lean(run), schema).groupBy("f").agg(*(F.sum(f"z{j}").alias(f"z{j}") for j in range(RANK))).toPandas()
     z = np.zeros((FEATURES, RANK))
     z[rows["f"].to_numpy(int)] = rows.drop(columns="f").to_numpy(float)
     g = omega.T.astype(float) @ z
@@ -282,7 +283,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = list(zip(*found)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], pa.from_numpy_dtype(np.int64) if all(isinstance(i, int) for i in cols[1]) else None), *(pa.array(c, t) for c, t in zip(cols[2:], (pa.float64(), pa.float64(), pa.int64(), pa.int64())))], ["doc_id", "item_id", "share", "answer_share", "first_word", "last_word"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
     for r in benchmark.select("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wardline.llm.common import lean
 from wardline.llm.arrowtext import NEWLINE, pieces, run_hash
 from wardline.llm.latent import APART
 
@@ -113,7 +114,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float =
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64())))], ["doc_id", "unit", "first_line", "last_line", "license", "dice"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, unit string, first_line bigint, last_line bigint, license string, dice double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, unit string, first_line bigint, last_line bigint, license string, dice double")
 
 
 def _units_of(p, lines, touched: np.ndarray) -> Iterator[tuple[int, str, int, int, int, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.arrowtext import NEWLINE, pieces
-from wardline.llm.common import staged
+from wardline.llm.common import lean, staged
 
 KEY_WORDS = 3
 BLOCK_WORDS = 8
@@ -43,7 +43,7 @@ def _sequences(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lines, pa.binary()), pa.array(words, pa.binary())], ["doc_id", "lines", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return staged(docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lines binary, words binary"))
+    return staged(docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, lines binary, words binary"))
 
 
 def _keys(sequences: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def _keys(sequences: DataFrame) -> DataFrame:
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), b.column("doc_id").take(pa.array(np.concatenate(take)))], ["line", "doc_id"])
 
-    return sequences.mapInArrow(run, f"line bigint, doc_id {sequences.schema['doc_id'].dataType.simpleString()}")
+    return sequences.mapInArrow(lean(run), f"line bigint, doc_id {sequences.schema['doc_id'].dataType.simpleString()}")
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -156,7 +156,7 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column("doc_id").take(pick), t.column("of").take(pick), *(pa.array(got[:, i]) for i in range(3))], ["doc_id", "of_doc_id", "first_line", "last_line", "n_words"])
 
     joined = pairs.join(early, "of").join(later, "doc_id")
-    return joined.select("doc_id", "of", "a", "w", "b").mapInArrow(align, f"doc_id {kind}, of_doc_id {kind}, first_line bigint, last_line bigint, n_words bigint").distinct()
+    return joined.select("doc_id", "of", "a", "w", "b").mapInArrow(lean(align), f"doc_id {kind}, of_doc_id {kind}, first_line bigint, last_line bigint, n_words bigint").distinct()
 
 
 def _merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -196,7 +196,7 @@ def dedup(docs: DataFrame, drop_emptied: bool = False, changed_only: bool = Fals
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, b.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(lean(run), schema)
 
 
 def _without(text: str, cut: list[tuple[int, int]]) -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.arrowtext import mix, pieces, shingles
-from wardline.llm.common import Union, components, runs, staged
+from wardline.llm.common import Union, components, lean, runs, staged
 
 WORDS, PERCENT = 5, 80
 #: Hash buckets of the table of frequent shingles, and the count from which a task reports one.
@@ -65,7 +65,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
         at = np.flatnonzero(total >= OFTEN)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
 
-    hot = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c")).toPandas()
+    hot = docs.select("text").mapInArrow(lean(run), "bucket int, n bigint").groupBy("bucket").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c")).toPandas()
     out = np.zeros(BUCKETS, np.uint8)
     out[hot["bucket"].to_numpy(int)] = hot["c"].to_numpy(int).clip(0, 40)
     return out
@@ -117,7 +117,7 @@ def _summaries(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2, k1, k2, ph)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *longs, pa.array(prefix, pa.binary()), pa.array(big, pa.binary())], names)
 
-    return staged(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, ph bigint, prefix binary, big binary"))
+    return staged(docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, ph bigint, prefix binary, big binary"))
 
 
 def _tokens(groups: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def _tokens(groups: DataFrame) -> DataFrame:
                 at = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), b.column("gid").take(pa.array(at))], ["token", "gid"])
 
-    return groups.select("gid", "prefix").mapInArrow(run, f"token bigint, gid {groups.schema['gid'].dataType.simpleString()}")
+    return groups.select("gid", "prefix").mapInArrow(lean(run), f"token bigint, gid {groups.schema['gid'].dataType.simpleString()}")
 
 
 def _links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -182,7 +182,7 @@ def _likely(texts: DataFrame, need: DataFrame) -> DataFrame:
             at = np.asarray(b.column("spot"))
             yield b.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))).drop_columns(["spot"])
 
-    return texts.withColumn("spot", spot).mapInArrow(run, texts.schema)
+    return texts.withColumn("spot", spot).mapInArrow(lean(run), texts.schema)
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,7 +240,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
             apart = [(int.from_bytes(p, "big") ^ int.from_bytes(q, "big")).bit_count() for p, q in zip(t.column("p").to_pylist(), t.column("q").to_pylist())]
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(np.array(apart, np.int64) <= most))
 
-    pairs = staged(pairs.select("a", "b", "na", "nb", "p", "q").mapInArrow(close, f"a {kind}, b {kind}"))
+    pairs = staged(pairs.select("a", "b", "na", "nb", "p", "q").mapInArrow(lean(close), f"a {kind}, b {kind}"))
 
     # the sets of all classes that take part, from their texts
     need = staged(crowd.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct())
@@ -252,7 +252,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(keys, pa.binary())], ["cid", "keys"])
 
     texts = _likely(docs.select(F.col("doc_id").alias("cid"), "text"), need).join(need, "cid", "left_semi")
-    sets = staged(texts.mapInArrow(keyed, f"cid {kind}, keys binary").dropDuplicates(["cid"]))
+    sets = staged(texts.mapInArrow(lean(keyed), f"cid {kind}, keys binary").dropDuplicates(["cid"]))
 
     spread = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", "cid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     spread = spread.join(sets, "cid").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
@@ -263,7 +263,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
             cid = t.column("cid").combine_chunks()
             yield pa.RecordBatch.from_arrays([cid.take(pa.array([p[s] for p in got], pa.int64())) for s in (0, 1)], ["a", "b"])
 
-    crowded = spread.select("lead", "i", "j", "cid", "keys").mapInArrow(within, f"a {kind}, b {kind}")
+    crowded = spread.select("lead", "i", "j", "cid", "keys").mapInArrow(lean(within), f"a {kind}, b {kind}")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -271,7 +271,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     checked = pairs.join(sets.select(F.col("cid").alias("a"), F.col("keys").alias("p")), "a").join(sets.select(F.col("cid").alias("b"), F.col("keys").alias("q")), "b")
-    checked = checked.select("a", "b", "p", "q").mapInArrow(verify, f"a {kind}, b {kind}")
+    checked = checked.select("a", "b", "p", "q").mapInArrow(lean(verify), f"a {kind}, b {kind}")
     return every, classes.select("s1", "s2", "n", "cid"), staged(crowded.unionByName(checked))
 
 

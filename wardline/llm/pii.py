@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.arrowtext import pieces
-from wardline.llm.common import staged
+from wardline.llm.common import lean, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct instances that a pattern needs, its least confidence, the least score of an instance, and rounds.
@@ -127,7 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "mentions"],
             )
 
-    return staged(docs.select("doc_id", "text").mapInArrow(run, schema))
+    return staged(docs.select("doc_id", "text").mapInArrow(lean(run), schema))
 
 
 def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
                 h[p.first : p.last][has] = p.hashes[p.bounds[:-1][has]]
             yield pa.RecordBatch.from_arrays([col, pa.array(h.view(np.int64))], ["word", "h"])
 
-    named = staged(words.select("word").mapInArrow(hashed, "word string, h bigint"))
+    named = staged(words.select("word").mapInArrow(lean(hashed), "word string, h bigint"))
     bits = np.zeros(BUCKETS, bool)
     bits[[r[0] for r in named.select(F.pmod("h", F.lit(BUCKETS)).cast("int")).distinct().collect()]] = True
     shared = spark.sparkContext.broadcast(bits)
@@ -158,7 +158,7 @@ def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
                 h, n = np.unique(p.hashes[on[(p.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(count), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     return named.join(counted, "h").select("word", "n")
 
 

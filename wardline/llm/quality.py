@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.llm.common import lean
 from wardline.llm.labelled import Logistic, held_out, prior_weights, sample
 
 BLOCK = 2048
@@ -83,7 +84,7 @@ def _features(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             x = pa.array([features((t.as_py() or "").encode(), pair) for t in b.column("text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), x], schema.names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(lean(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
                     parts.append(all_[i * len(all_) // min(BLOCKS_EACH, len(all_))])
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(parts, pa.binary())], ["y", "part"])
 
-    for r in rows.where("_half = 0").select("y", "text").mapInArrow(spread, schema).toLocalIterator():
+    for r in rows.where("_half = 0").select("y", "text").mapInArrow(lean(spread), schema).toLocalIterator():
         got[r["y"]].append(bytes(r["part"]))
     if not got[0] or not got[1]:
         return Model(b"", b"", True, None, share)
@@ -134,7 +135,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 s = np.full(b.num_rows, m.share)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], schema.names)
 
-    found = docs.select("doc_id", "text").mapInArrow(run, schema)
+    found = docs.select("doc_id", "text").mapInArrow(lean(run), schema)
     return found.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -153,4 +154,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
                 b = b.slice(0, 0)
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Union, components, runs, staged
+from wardline.llm.common import Union, components, lean, runs, staged
 
 COSINE = 0.98
 #: Leading principal directions in the grid; vectors in a sequence; vectors that are compared at once.
@@ -53,7 +53,7 @@ def directions(classes: DataFrame) -> dict[int, np.ndarray]:
         out = [(n, i, row.tolist()) for n, s in sums.items() for i, row in enumerate(s)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.list_(pa.float64()))], ["n", "i", "row"])
 
-    parts = classes.select("x").mapInArrow(run, "n int, i int, row array<double>")
+    parts = classes.select("x").mapInArrow(lean(run), "n int, i int, row array<double>")
     total = parts.select("n", "i", F.posexplode("row").alias("j", "v")).groupBy("n", "i", "j").agg(F.sum("v").alias("v")).toPandas()
     out = {}
     for n, g in total.groupby("n"):
@@ -121,7 +121,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size), *(pa.array(cells[:, i]) for i in range(DIRECTIONS))], [*b.schema.names, "n", *dims])
 
     lk = classes.schema["label"].dataType.simpleString()
-    placed = classes.select("label", "cid", "copies", "x").mapInArrow(grid, f"label {lk}, cid {kind}, copies bigint, x array<double>, n int, " + ", ".join(f"{d} bigint" for d in dims))
+    placed = classes.select("label", "cid", "copies", "x").mapInArrow(lean(grid), f"label {lk}, cid {kind}, copies bigint, x array<double>, n int, " + ", ".join(f"{d} bigint" for d in dims))
     ordered = placed.repartitionByRange("label", "n", *dims, "cid").sortWithinPartitions("label", "n", *dims, "cid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
                 ["label", "n", "seq", "from", "to", "low", "high", "ids", "copies", "m"],
             )
 
-    seqs = staged(ordered.mapInArrow(cut, f"label {lk}, n int, seq {kind}, from bigint, to bigint, low array<double>, high array<double>, ids array<{kind}>, copies array<bigint>, m binary"))
+    seqs = staged(ordered.mapInArrow(lean(cut), f"label {lk}, n int, seq {kind}, from bigint, to bigint, low array<double>, high array<double>, ids array<{kind}>, copies array<bigint>, m binary"))
     boxes = seqs.select("label", "n", "seq", "from", "to", "low", "high")
     x = boxes.select("label", "n", "seq", "low", "high", F.explode(F.sequence("from", "to")).alias("cell"))
     y = boxes.select("label", "n", F.col("seq").alias("seq2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1)).alias("cell"))
@@ -175,7 +175,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFr
                 t = b.schema.field("seq").type
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep] + [e[0] for e in edges], t), pa.array([None] * len(keep) + [e[1] for e in edges], t), pa.array(found[keep].tolist() + [0] * len(edges), pa.int64())], ["a", "b", "found"])
 
-    got = staged(both.mapInArrow(compare, f"a {kind}, b {kind}, found bigint"))
+    got = staged(both.mapInArrow(lean(compare), f"a {kind}, b {kind}, found bigint"))
     return classes, got.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("found").alias("found")), got.where("b is not null").select("a", "b")
 
 
