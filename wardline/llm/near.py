@@ -222,10 +222,18 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     crowd = staged(members.join(sizes, "lead").select("lead", "cid", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("own")))
     # pairs of groups with different leaders
     side = staged(tokens.select("token", "gid").join(led, "gid"))
+    held = staged(side.groupBy("token", "lead").agg(F.count("*").alias("size")))
+    fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (apart("x", "y") <= F.col("x.n") + F.col("y.n") - 2 * least_overlap(F.col("x.n"), F.col("y.n"), percent))
+    # a crowd under one key meets what has other leaders, and never itself; groups that stand alone there meet one another
+    alone = side.join(held.where("size = 1").select("token", "lead"), ["token", "lead"])
+    x, y = alone.alias("x"), alone.alias("y")
+    one = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & fits).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
+    heads = held.where("size > 1").select("token", F.col("lead").alias("u"))
+    meet = heads.join(held.select("token", F.col("lead").alias("v"), "size"), "token").where("u <> v and (size = 1 or u < v)").select("token", "u", "v")
     x, y = side.alias("x"), side.alias("y")
-    fits = (F.col("x.gid") < F.col("y.gid")) & (F.col("x.lead") != F.col("y.lead")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    fits &= apart("x", "y") <= F.col("x.n") + F.col("y.n") - 2 * least_overlap(F.col("x.n"), F.col("y.n"), percent)
-    pairs = staged(x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct())
+    two = x.join(meet.alias("m"), (F.col("x.token") == F.col("m.token")) & (F.col("x.lead") == F.col("m.u")))
+    two = two.join(y, (F.col("m.token") == F.col("y.token")) & (F.col("m.v") == F.col("y.lead")) & fits).select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
+    pairs = staged(one.unionByName(two).distinct())
     ma, mb = members.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), members.select(F.col("gid").alias("gb"), F.col("cid").alias("b"))
     pairs = staged(pairs.join(ma, "ga").join(mb, "gb").select("a", "b"))
     # the larger sketches of the classes in pairs only
