@@ -198,6 +198,25 @@ def test_line_dedup_keeps_first_places(spark, sf):
                 first.setdefault(x, i)
 
 
+def test_line_dedup_against_brute_force(spark):
+    """A line goes exactly where a run of eight words around it stands in an earlier document."""
+    rng = random.Random(11)
+    pool = ["a", "b c", "d", " ", "e f g", "h i j k", "l m n o p q r s t", "u v w x y z", "one two", "three"]
+    rows = ["x y z\nalone", "p q r s t\nalone", "x y z\np q r s t\nhere", "there\nx y z\np q r s t"]
+    rows += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 16))) for _ in range(120)]
+    after = {r["doc_id"]: r["text"] for r in lines.dedup(docs_of(spark, rows)).collect()}
+    assert after[3] == "there"
+    seen = set()
+    for i, text in enumerate(rows):
+        own, gone = text.split("\n"), set()
+        runs = [(x, y, tuple(own[x:y])) for x in range(len(own)) for y in range(x + 1, len(own) + 1) if len(" ".join(own[x:y]).split()) >= lines.BLOCK_WORDS]
+        for x, y, run in runs:
+            if run in seen:
+                gone.update(range(x, y))
+        assert after[i] == "\n".join(v for k, v in enumerate(own) if k not in gone), i
+        seen.update(run for _, _, run in runs)
+
+
 # ---- 7, 8 ----
 
 

@@ -1,10 +1,12 @@
 """Line dedup: documents that share rare line hashes are aligned pairwise by patience diff, and aligned common blocks
 are deleted from the later document (the larger doc_id).  What one alignment leaves is aligned again, so blocks in another order go too.
 
-A shared line leads every later document to the first one that holds it, so a line in any number of documents makes
-as many pairs less one, and each line keeps its first place.  Pairs are aligned on line hashes alone; texts are read
-again only where lines go.  Lines are compared byte for byte; empty lines don't count; a line leads to a pair from
-``KEY_WORDS`` words on, and a block is deleted from ``BLOCK_WORDS`` words on.
+Keys are the shortest runs of lines of ``BLOCK_WORDS`` words that begin or end at each line, whatever the length of the lines:
+every line of a block that two documents share is in such a run within the block.  A key leads every later document to the
+first one that holds it, so a run in any number of documents makes as many pairs less one, each run keeps its first
+place, and a line goes exactly where a run of ``BLOCK_WORDS`` words around it stands in an earlier document.  Runs that an
+alignment tears apart are deleted as well.  Pairs are aligned on line hashes alone; texts are read again only where lines go.
+Lines are compared byte for byte; empty lines don't count.
 
 Null and empty texts, and rows without an id, stay as they are and pair with nothing; rows of one id are one document
 to each other, so repeated rows don't delete each other; very long texts are aligned whole; an empty table gives an empty
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.arrowtext import NEWLINE, pieces
+from wardline.llm.arrowtext import NEWLINE, mix, pieces
 from wardline.llm.common import lean, staged
 
-KEY_WORDS = 3
 BLOCK_WORDS = 8
+_P = 0x9FB21C651E98DF25
+_PI = pow(_P, -1, 1 << 64)
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
@@ -46,20 +49,33 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return staged(docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, lines binary, words binary"))
 
 
-def _keys(sequences: DataFrame) -> DataFrame:
-    """(line, doc_id), distinct within a row."""
+def _runs(lines: np.ndarray, words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first line, last line + 1) of the shortest runs of block_words words that begin or end at each line."""
+    total = np.r_[0, np.cumsum(words, dtype=np.int64)]
+    n = len(lines)
+    end = np.searchsorted(total, total[:-1] + block_words)
+    start = np.searchsorted(total, total[1:] - block_words, "right") - 1
+    begins, ends = np.flatnonzero(end <= n), np.flatnonzero(start >= 0)
+    lo, hi = np.r_[begins, start[ends]], np.r_[end[begins], ends + 1]
+    p, q = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n, np.uint64(base))], dtype=np.uint64) for base in (_P, _PI))
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * p[:n], dtype=np.uint64)]
+    return mix((sums[hi] - sums[lo]) * q[lo] + (hi - lo).astype(np.uint64)).view(np.int64), lo, hi
+
+
+def _keys(sequences: DataFrame, block_words: int) -> DataFrame:
+    """(run, doc_id), distinct within a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs, take = [], []
             for k, (lines, words) in enumerate(zip(b.column("lines").to_pylist(), b.column("words").to_pylist())):
-                h = np.unique(np.frombuffer(lines, np.int64)[np.frombuffer(words, np.int32) >= KEY_WORDS])
+                h = np.unique(_runs(np.frombuffer(lines, np.int64), np.frombuffer(words, np.int32), block_words)[0])
                 hs.append(h)
                 take.append(np.full(len(h), k))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), b.column("doc_id").take(pa.array(np.concatenate(take)))], ["line", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), b.column("doc_id").take(pa.array(np.concatenate(take)))], ["run", "doc_id"])
 
-    return sequences.mapInArrow(lean(run), f"line bigint, doc_id {sequences.schema['doc_id'].dataType.simpleString()}")
+    return sequences.mapInArrow(lean(run), f"run bigint, doc_id {sequences.schema['doc_id'].dataType.simpleString()}")
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -132,31 +148,48 @@ def moved(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def shared(a: np.ndarray, w: np.ndarray, b: np.ndarray, v: np.ndarray, block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """(first line, last line + 1) in a of what goes against b: aligned blocks, and runs that the alignment tears apart.
+
+    a and b are line hashes, w and v the words of each line.
+    """
+    total = np.r_[0, np.cumsum(w, dtype=np.int64)]
+    out = [(x, x + n) for x, _, n in moved(a.tolist(), b.tolist()) if total[x + n] - total[x] >= block_words]
+    gone = np.zeros(len(a), bool)
+    for x, y in out:
+        gone[x:y] = True
+    h, lo, hi = _runs(a, w, block_words)
+    in_b = np.isin(h, _runs(b, v, block_words)[0])
+    for x, y in sorted(set(zip(lo[in_b].tolist(), hi[in_b].tolist()))):
+        if not gone[x:y].all():
+            gone[x:y] = True
+            out.append((x, y))
+    return out
+
+
 def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, of_doc_id, first_line, last_line, n_words): blocks to delete, lines counted from 0 without empty ones."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     seq = _sequences(docs)
-    keys = _keys(seq)
-    first = keys.groupBy("line").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last")).where("of < last").drop("last")
-    pairs = staged(keys.join(first, "line").where("doc_id > of").select("doc_id", "of").distinct())
+    keys = _keys(seq, block_words)
+    first = keys.groupBy("run").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last")).where("of < last").drop("last")
+    pairs = staged(keys.join(first, "run").where("doc_id > of").select("doc_id", "of").distinct())
     later = seq.select("doc_id", F.col("lines").alias("a"), F.col("words").alias("w"))
-    early = seq.select(F.col("doc_id").alias("of"), F.col("lines").alias("b"))
+    early = seq.select(F.col("doc_id").alias("of"), F.col("lines").alias("b"), F.col("words").alias("v"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             rows, at = [], []
-            for k, (a, w, b) in enumerate(zip(t.column("a").to_pylist(), t.column("w").to_pylist(), t.column("b").to_pylist())):
-                words = np.frombuffer(w, np.int32)
-                total = np.r_[0, np.cumsum(words)]
-                for x, _, n in moved(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist()):
-                    if total[x + n] - total[x] >= block_words:
-                        rows.append((x, x + n - 1, int(total[x + n] - total[x])))
-                        at.append(k)
+            for k, (a, w, b, v) in enumerate(zip(*(t.column(c).to_pylist() for c in "awbv"))):
+                a, w, b, v = np.frombuffer(a, np.int64), np.frombuffer(w, np.int32), np.frombuffer(b, np.int64), np.frombuffer(v, np.int32)
+                for x, y in shared(a, w, b, v, block_words):
+                    rows.append((x, y - 1, int(w[x:y].sum())))
+                    at.append(k)
             got, pick = np.array(rows, np.int64).reshape(-1, 3), pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([t.column("doc_id").take(pick), t.column("of").take(pick), *(pa.array(got[:, i]) for i in range(3))], ["doc_id", "of_doc_id", "first_line", "last_line", "n_words"])
 
     joined = pairs.join(early, "of").join(later, "doc_id")
-    return joined.select("doc_id", "of", "a", "w", "b").mapInArrow(lean(align), f"doc_id {kind}, of_doc_id {kind}, first_line bigint, last_line bigint, n_words bigint").distinct()
+    return joined.select("doc_id", "of", "a", "w", "b", "v").mapInArrow(lean(align), f"doc_id {kind}, of_doc_id {kind}, first_line bigint, last_line bigint, n_words bigint").distinct()
 
 
 def _merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
