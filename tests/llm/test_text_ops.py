@@ -258,6 +258,17 @@ def test_deobfuscation(spark):
     assert list(toxicity.Scorer(toxicity.Model(d.chars)).spaced("you i d i o t now")) == ["idiot"]
 
 
+def test_deobfuscation_of_whole_words_and_runs(spark):
+    docs = docs_of(spark, ["the idiot and the moron are here with trash and scum", "clown loser idiot moron you are a letter"] * 30)
+    d = toxicity.Decoder(toxicity.CharModel(toxicity.char_counts(docs)))
+    for raw in ("i" * 40 + "diot", "1d10+", "(1d10+)", "!d!0+", "iiddiioott", "iiddiioott,", "1d10t!", "-1diot"):
+        assert "idiot" in d.readings(raw), raw
+    assert d.read("the.idiot." * 500) == "theidiot" * 500
+    s = toxicity.Scorer(toxicity.Model(d.chars, {"idio": 3.0, "idiot": 4.0, "scum$": 2.0}))
+    for text, hits in (("y o u i d i o t", 1), ("a " * 200 + "i d i o t", 1), ("y o u s c u m y o u i d i o t", 2), ("y o u a r e", 0)):
+        assert round(np.expm1(s.features(text)[0])) == hits, text
+
+
 # ---- 9 ----
 
 

@@ -2,9 +2,10 @@
 
 A character language model (trigrams over all words of all documents, counted by Spark) and a channel model (leet
 signs, spacing, marks between letters, repeated letters) give every odd-looking word a lattice of readings; Viterbi
-decoding finds the best one.  Words that are plain letters without long repeats are their own reading.  The restored
-words are scored by the beginnings (and the whole) of words that labelled toxic documents hold far more often than
-others; a logistic calibration over the labelled sample turns what a document holds into a score.
+decoding finds the best one, for words and runs of any length: what all survivors agree on is put out on the way.  Words that
+are plain letters without repeats are their own reading.  The restored words are scored by the beginnings (and the
+whole) of words that labelled toxic documents hold far more often than others, and letters that stand apart, which show no
+borders of words, by those at every place; a logistic calibration over the labelled sample turns what a document holds into a score.
 
 Null and empty texts score as texts without any such word; repeated rows score alike; without labels of both classes
 the score is the share of toxic labels.  Extra columns of the input are ignored.
@@ -16,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,14 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 #: Marks that may be put between the letters of a word.
 MARKS = ".-_*~'`^/\\,:;#%&="
 SHORTEST, LONGEST = 4, 9
+#: Signs between two looks for what all survivors of a decoding begin with.
+PREFIX = 64
 
 _index = {c: i + 1 for i, c in enumerate(LETTERS)}
 _plain = re.compile(rf"[{LETTERS}]+$").match
 _edges = re.compile(rf"^[^{LETTERS}]+|[^{LETTERS}]+$").sub
 _triple = re.compile(r"(.)\1\1").search
+_double = re.compile(r"(.)\1").search
 _apart = re.compile(rf"(?<!\S)(?:[^\W_]|[{re.escape(''.join(c for c in LEET if not c.isalnum()))}])(?:[ ._\-*](?:[^\W_]|[{re.escape(''.join(c for c in LEET if not c.isalnum()))}])){{3,}}(?!\S)")
 _apart_likely = re.compile(r"[^\W_] [^\W_] [^\W_] ").search
 _between = re.compile(r"[ ._\-*]").sub
@@ -105,10 +110,10 @@ class Decoder:
 
     def __init__(self, chars: CharModel):
         self.chars = chars
+        self.log = chars.log.ravel().tolist() if chars else []
 
-    def lattice(self, w: str) -> list[list[tuple[str, float]]]:
+    def lattice(self, w: str) -> Iterator[list[tuple[str, float]]]:
         """For each sign its readings with log probabilities; the empty reading drops a mark or a repeat."""
-        out = []
         for i, c in enumerate(w):
             ways: list[tuple[str, float]] = []
             if c in _index:
@@ -123,44 +128,42 @@ class Decoder:
                 ways.append(("", -0.5))
             else:
                 ways.append(("", -2.0))
-            out.append(ways)
-        return out
+            yield ways
 
     def read(self, w: str) -> str:
-        """Viterbi over states of the last two letters."""
-        log = self.chars.log
+        """Viterbi over states of the last two letters; every PREFIX signs, what all survivors begin with is put out."""
+        log, out = self.log, []
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for ways in self.lattice(w):
+        for n, ways in enumerate(self.lattice(w), 1):
             nxt: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in best.items():
                 for c, cost in ways:
                     if c:
                         i = _index[c]
-                        key, value = (b, i), score + cost + log[a, b, i]
+                        key, value = (b, i), score + cost + log[(a * SIDE + b) * SIDE + i]
                     else:
                         key, value = (a, b), score + cost
                     if key not in nxt or value > nxt[key][0]:
                         nxt[key] = (value, text + c)
             best = nxt
-        return max(((s + log[a, b, 0], t) for (a, b), (s, t) in best.items()))[1]
+            if not n % PREFIX and (k := len(commonprefix([t for _, t in best.values()]))):
+                out.append(next(iter(best.values()))[1][:k])
+                best = {key: (s, t[k:]) for key, (s, t) in best.items()}
+        return "".join(out) + max(((s + log[(a * SIDE + b) * SIDE], t) for (a, b), (s, t) in best.items()))[1]
 
     def readings(self, raw: str) -> list[str]:
         """What a word without white space may say: with the marks at its edges taken off, or as signs for letters."""
         w = _edges("", raw)
         out = [w] if w else []
-        if w and _plain(w) and not _triple(w):
-            core = raw.rstrip(".,;:?\"')]}").lstrip("\"'([{")
-            extra = len(core) - len(w)
-            if not extra or extra > 2 or not all(c in LEET for c in core.replace(w, "", 1)) or (extra == 2 and core[-1] == core[-2]):
+        core = raw.rstrip(".,;:?\"')]}").lstrip("\"'([{")
+        if w and _plain(w) and (core == w or not any(c in LEET for c in core.replace(w, "", 1))):
+            if not _double(w):
                 return out
-            return [w, self.read(core)]
-        if 3 <= len(raw) <= 40 and len(w) * 2 >= len(raw) - 3:
-            letters = sum(c in _index for c in raw)
-            if letters >= 2:
-                out.append(self.read(raw))
-                if w and w != raw:
-                    out.append(self.read(w))
-        return out
+            if not _triple(w):
+                return [w, self.read(w)]
+        if len(raw) >= 3:
+            out += map(self.read, dict.fromkeys(x for x in (raw, w, core, core.strip("!")) if x))
+        return list(dict.fromkeys(out))
 
 
 def starts(w: str) -> list[str]:
@@ -174,6 +177,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.decoder, self.known = model, Decoder(model.chars), {}
+        self.lengths = sorted({len(f.rstrip("$")) for f in model.weights})
 
     def words(self, text: str) -> Iterator[str]:
         """Restored words of a whole text."""
@@ -184,7 +188,16 @@ class Scorer:
     def spaced(self, text: str) -> Iterator[str]:
         if _apart_likely(text) or "." in text:
             for m in _apart.finditer(text) if _apart_likely(text) else ():
-                yield self.decoder.read(_between("", m.group().lower())[:64])
+                yield self.decoder.read(_between("", m.group().lower()))
+
+    def inside(self, run: str) -> Iterator[float]:
+        """Weights of the toxic words at any place of a joined run, from left to right and without overlap."""
+        i, get = 0, self.model.weights.get
+        while i < len(run):
+            held = [(v, n) for n in self.lengths if i + n <= len(run) for x in (run[i : i + n], run[i : i + n] + "$") if (v := get(x))]
+            if held:
+                yield max(held)[0]
+            i += max((n for _, n in held), default=1)
 
     def weight(self, raw: str) -> float:
         get = self.model.weights.get
@@ -207,7 +220,7 @@ class Scorer:
                 total += v
                 most = max(most, v)
         for w in self.spaced(text or ""):
-            if v := max((self.model.weights.get(f, 0.0) for f in starts(w)), default=0.0):
+            for v in self.inside(w):
                 hits, total, most = hits + 1, total + v, max(most, v)
         return math.log1p(hits), most, math.log1p(total), hits / (len(words) + 10)
 
