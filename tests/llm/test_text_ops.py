@@ -332,6 +332,29 @@ def test_decontamination(spark, odd, empty, sf):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({i for i, _ in found})
 
 
+def test_short_items_inside_longer_texts(spark):
+    """Items of 5 to 24 words, copied word for word into ordinary documents."""
+    rng = random.Random(12)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 1500").orderBy("doc_id").limit(240)
+    texts = [r["text"].split() for r in d.collect()]
+    vocabulary = sorted({w for t in texts for w in t if w.isascii() and w.isalpha()})
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(5 + i % 20))) for i in range(240)]
+    for (i, item), t in zip(items, texts):
+        at = rng.randrange(len(t))
+        t[at:at] = item.split()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in latent.search(docs_of(spark, [" ".join(t) for t in texts]), bench).where("share = 1").collect()}
+    missed = [5 + i % 20 for i in range(len(texts)) if (i, i) not in found]
+    assert len(texts) == 240 and len(missed) <= 12, sorted(missed)
+
+
+def test_stretch_is_aligned_whenever_it_can_agree():
+    """A stretch with six of ten words, all common, is aligned although their weight is small."""
+    words = np.arange(1, 11).astype(np.uint64)
+    items = latent.Items([0], [words], np.zeros(1, np.int64), np.zeros((1, 1), np.float32))
+    assert latent.Verifier(items).check(0, words[:6])[0] == 0.6
+
+
 def test_lcs():
     rng = random.Random(2)
 

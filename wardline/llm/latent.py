@@ -31,11 +31,10 @@ FEATURES = 1 << 14
 RANK = 64
 #: Words in a step, and steps in a window.
 STEP, STEPS = 6, 4
+#: Least cosine; times sqrt(n / window) for items of n words that are shorter than a window, as only so much of it can be theirs.
 NEAR = 0.7
 #: Documents whose passages the SVD is fitted on, about; frequencies, search and verification cover all of them.
 SAMPLE = 20_000
-#: Least weighted share of an item's words that a stretch must hold to be aligned at all.
-HOLDS = 0.4
 #: LCS shares: of the whole; or of the whole together with the answer.
 WHOLE, PART, ANSWER = 0.6, 0.45, 0.8
 #: Items that are broadcast at a time.
@@ -174,7 +173,7 @@ class Items:
     vectors: np.ndarray
 
 
-def project_items(rows: list[tuple], idf: np.ndarray, projection: np.ndarray) -> Items:
+def project_items(rows: list[tuple], projection: np.ndarray) -> Items:
     """Query vectors: item windows side by side, the last one flush with the item's end."""
     ids, words, item, vectors = [], [], [], []
     size = STEP * STEPS
@@ -212,20 +211,17 @@ def masks(words: np.ndarray) -> dict[int, int]:
 
 
 class Verifier:
-    def __init__(self, items: Items, idf: np.ndarray):
-        self.items, self.idf = items, idf
-        self.sorted = [np.unique(w) for w in items.words]
-        self.weight = [idf[features(w)] for w in self.sorted]
+    def __init__(self, items: Items):
+        self.items = items
         self.masks = [masks(w) for w in items.words]
         self.tails = [w[-max(1, len(w) // 4) :] for w in items.words]
         self.tail_masks = [masks(w) for w in self.tails]
 
     def check(self, k: int, words: np.ndarray) -> tuple[float, float, int, int] | None:
         """Best (share, answer's share, first word, last word) of item k in a stretch of a document's words."""
-        w = self.weight[k]
-        if w[np.isin(self.sorted[k], words)].sum() < HOLDS * w.sum():
-            return None
         n, best = len(self.items.words[k]), None
+        if np.isin(self.items.words[k], words).sum() < PART * n:  # no less than the LCS
+            return None
         size, step = n + n // 4 + 1, max(1, n // 4)
         for lo in range(0, max(1, len(words) - size + step), step):
             part = words[lo : lo + size].tolist()
@@ -246,12 +242,13 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     block: list[tuple] = []
 
     def against(rows: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((project_items(rows, idf, projection), idf, projection))
+        shared = spark.sparkContext.broadcast((project_items(rows, projection), projection))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, idf, projection = shared.value
-            verifier, wide = Verifier(items, idf), padded(projection)
+            items, projection = shared.value
+            verifier, wide = Verifier(items), padded(projection)
             longest = np.array([len(w) for w in items.words], np.int64)
+            least = (NEAR * np.sqrt(np.minimum(1, longest / (STEP * STEPS)))).astype(np.float32)[items.item]
             for b in batches:
                 ids = b.column("doc_id")
                 found: list[tuple] = []
@@ -262,7 +259,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     w, at = windows(step_sums(features(p.hashes), wide, s), s)
                     stretches: dict[tuple[int, int], list[list[int]]] = {}
                     for lo in range(0, len(w), 4096):
-                        near = np.argwhere(w[lo : lo + 4096] @ items.vectors.T >= NEAR)
+                        near = np.argwhere(w[lo : lo + 4096] @ items.vectors.T >= least)
                         step, k = at[lo + near[:, 0]], items.item[near[:, 1]]
                         d, n = s.doc[step], longest[k]
                         first, last = np.maximum(p.bounds[d], s.starts[step] - n), np.minimum(p.bounds[d + 1], s.starts[step] + STEP * STEPS + n)
