@@ -69,6 +69,64 @@ def test_bpe_streams_long_words(library):
         assert c.encode(word) == library.encode(word, add_special_tokens=False).ids
 
 
+def test_bpe_segments_and_long_runs(library, monkeypatch):
+    """Texts cut into tiny segments, and runs that are read block by block, become what the library makes of them whole."""
+    monkeypatch.setattr(bpe, "SEGMENT", 64)
+    monkeypatch.setattr(bpe, "LONG_BLOCK", 50)
+    c, rng = bpe.Codec(tokenizer_path()), random.Random(8)
+    signs = ["etaoin'slveré", "e", "a\u0301\u0323e\u1100\u1161\u11a8İΣ", "!?.'", "1a!", "x<|endoftext|>"]
+    texts = ["".join(rng.choice(rng.choice(signs)) + " " * (rng.random() < gap) for _ in range(rng.choice([0, 5, 60, 200, 900]))) for gap in (0, 0.002, 0.2) for _ in range(120)]
+    texts += [None, "", "a" * 5000, "!" * 500, "'" * 70 + "ve" * 90, "x" * 100 + "<|endoftext|>" + "y" * 100, "<|start", "oftext|>"]
+    got = {}
+    for row, ids in c.rows(pa.array(texts).slice(0)):
+        got.setdefault(row, []).extend(ids.tolist())
+    for row, t in enumerate(texts):
+        assert got.get(row, []) == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_bpe_memory_is_constant(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "SEGMENT", 1 << 15)
+    c, rng = bpe.Codec(tokenizer_path()), random.Random(9)
+    block = "".join(rng.choice("etaoinshr") for _ in range(1 << 14))
+    peaks = []
+    for n in (8, 64):
+        col = pa.array([block * n])
+        tracemalloc.start()
+        total = sum(len(ids) for _, ids in c.rows(col))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert total > len(block) * n // 8
+    assert peaks[1] < 1.2 * peaks[0] + (1 << 20)
+
+
+def test_bpe_digests_come_from_decoding():
+    c = bpe.Codec(tokenizer_path())
+    col = pa.array(["hello world", None])
+
+    def seen():
+        d = bpe.Digests(c, 2)
+        for row, ids in c.rows(col):
+            d.feed(row, ids, both=True)
+        return d.decoded(), d.of_ids
+
+    before = seen()
+    c.names[c.encode("world")[0]] = "wrong</w>"
+    after = seen()
+    assert before[0][0] != after[0][0] and before[0][1] == after[0][1] and before[1] == after[1]
+
+
+def test_bpe_tables_stay_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNKS", 200)
+    monkeypatch.setattr(bpe, "SEGMENT", 256)
+    c, rng = bpe.Codec(tokenizer_path()), random.Random(10)
+    for _ in range(60):
+        s = " ".join("".join(rng.choice("abcdef") for _ in range(rng.choice([1, 2, 3, 7]))) for _ in range(200))
+        assert c.encode(s) == library.encode(s, add_special_tokens=False).ids
+        assert len(c.chunks.keys) <= 400
+
+
 def test_bpe_lookahead_is_sufficient():
     """Tokens that are emitted from a window are those of the whole word, on a tiny merge list with long chains."""
     merges = [("a", "b"), ("ab", "c"), ("c", "d"), ("b", "c"), ("d", "a"), ("abc", "da"), ("cd", "ab"), ("a", "a"), ("aa", "aa")]

@@ -73,6 +73,24 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def hashed(b: np.ndarray, borders: np.ndarray, apart: np.ndarray = SPACE, value: np.ndarray = _VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the runs of bytes that are not apart; a run ends at a border as well."""
+    m = len(b)
+    if not m:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    sep = apart[b]
+    before, after = np.empty(m, bool), np.empty(m, bool)
+    before[0], after[-1] = True, True
+    before[1:], after[:-1] = sep[:-1], sep[1:]
+    inner = borders[(borders > 0) & (borders < m)]
+    before[inner], after[inner - 1] = True, True
+    starts, ends = np.flatnonzero(before & ~sep), np.flatnonzero(after & ~sep) + 1
+    p, q = _powers_to(m + 1)
+    total = np.zeros(m + 1, np.uint64)
+    np.cumsum(value[b] * p[:m], out=total[1:])
+    return starts, ends, mix((total[ends] - total[starts]) * q[starts])
+
+
 def pieces(col: pa.Array, apart: np.ndarray = SPACE, lower: bool = True, size: int = 1 << 19) -> Iterator[Piece]:
     offs, data = utf8(col)
     n, i = len(offs) - 1, 0
@@ -81,23 +99,7 @@ def pieces(col: pa.Array, apart: np.ndarray = SPACE, lower: bool = True, size: i
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
         j = min(j, n)
         b, rows = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-        m = len(b)
-        if m:
-            sep = apart[b]
-            before, after = np.empty(m, bool), np.empty(m, bool)
-            before[0], after[-1] = True, True
-            before[1:], after[:-1] = sep[:-1], sep[1:]
-            inner = rows[1:-1]
-            inner = inner[(inner > 0) & (inner < m)]
-            before[inner], after[inner - 1] = True, True
-            starts, ends = np.flatnonzero(before & ~sep), np.flatnonzero(after & ~sep) + 1
-            p, q = _powers_to(m + 1)
-            total = np.zeros(m + 1, np.uint64)
-            np.cumsum(value[b] * p[:m], out=total[1:])
-            hashes = mix((total[ends] - total[starts]) * q[starts])
-        else:
-            starts = ends = np.zeros(0, np.int64)
-            hashes = np.zeros(0, np.uint64)
+        starts, ends, hashes = hashed(b, rows[1:-1], apart, value)
         yield Piece(i, j, b, rows, starts, ends, hashes, np.searchsorted(starts, rows))
         i = j
 

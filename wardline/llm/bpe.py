@@ -5,27 +5,33 @@ stands in the final sequence splits the text into parts that tokenize independen
 tokens stay apart can be told from their merge trees alone (``apart``).  So a window of the text is tokenized from
 its last final boundary on by taking longest matches and stepping back where neighbours would not stay apart, and
 a token is emitted once ``lookahead`` further symbols were seen: the merge list's own bound on how far to the right
-anything can still change it (``_lookahead``).  A window is never longer than the longest token plus that bound,
-so memory is constant however long a word is.
+anything can still change it (``_lookahead``).  A window is never longer than the longest token plus that bound; a
+word that is shorter than a token may be needs no windows, and is merged by rank.
 
 Words are cut as the tokenizer file says (NFC, white space, lower case, its pattern); only files of that kind, with an
-end-of-word suffix and byte symbols, are accepted.  Decoding joins token strings by spaces, as the library does for
-a file without a decoder; ``TextDecoder`` turns tokens into readable text with an incremental UTF-8 machine.
-
-Null and empty texts give no tokens; texts of any length are encoded whole; extra columns are carried along, and
-an output name that clashes with one is refused.
+end-of-word suffix and byte symbols, are accepted.  Texts are read from their Arrow buffers in segments of bounded size, cut
+at white space.  The chunks between white space of a segment are hashed, each distinct one is encoded once, and what
+it became is kept in a table of bounded size, so most of a text's ids are gathered from there.  A run without white space that is
+longer than a segment goes through normalisation, words and windows block by block.  So beside the text itself and its
+result memory is constant, however long a text or a word is.
+
+Decoding turns ids back into text by an incremental machine: it takes ids in pieces of any size, and holds
+no more than whether a token came before (``Decoder``, which joins token strings by spaces, as the library does for a file
+without a decoder) or the bytes of an unfinished character (``TextDecoder``, which gives readable text).
+
+Null and empty texts give no tokens; texts of any length are encoded whole; repeated rows give the same tokens; an empty
+table gives an empty result; extra columns are carried along, and an output name that clashes with one is refused.
 """
 
 from __future__ import annotations
 
 import codecs
-import contextlib
 import hashlib
 import json
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +39,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wardline.llm.common import lean
+from wardline.llm.arrowtext import SPACE as BLANK
+from wardline.llm.arrowtext import hashed, utf8
+from wardline.llm.common import lean, release
 
 END = "\x00"  # marks the last symbol of a word inside this module; bytes are mapped away from it
 SPACE = r"\t-\r \x85\xa0  -     　"
-NEVER = 1 << 60
+NEVER = 1 << 60  # above any rank with an id
+#: Bytes of a segment, of the blocks of a longer run, and bounds of the table of chunks: chunks, and ids in all.
+SEGMENT, LONG_BLOCK = 1 << 19, 1 << 16
+CHUNKS, POOL = 400_000, 2_000_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -53,8 +64,16 @@ def byte_symbols() -> dict[int, str]:
 class Transducer:
     """Encodes single words; ``lookahead`` and ``longest`` are in symbols."""
 
+    #: Pairs of tokens that are remembered.
+    PAIRS = 60_000
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        fold = lambda s: s[: -len(suffix)] + END if s.endswith(suffix) and s != suffix else s
+        one: dict[str, str] = {}  # one object for equal strings
+
+        def fold(s: str) -> str:
+            s = s[: -len(suffix)] + END if s.endswith(suffix) and s != suffix else s
+            return one.setdefault(s, s)
+
         self.ids = {fold(s): i for s, i in vocab.items()}
         self.rank: dict[tuple[str, str], int] = {}
         self.parts: dict[str, tuple[str, str]] = {}
@@ -62,9 +81,9 @@ class Transducer:
             a, b = fold(a), fold(b)
             if (a, b) not in self.rank:
                 self.rank[a, b] = r
-                self.parts.setdefault(a + b, (a, b))
-        self._left: dict[tuple[str, int], list] = {}
-        self._right: dict[tuple[str, int], list] = {}
+                self.parts.setdefault(one.setdefault(a + b, a + b), (a, b))
+        #: By both ids of a pair: the rank of its merge, and the id that it gives.
+        self.merge = {self.ids[a] << 20 | self.ids[b]: r << 20 | self.ids[a + b] for (a, b), r in self.rank.items()}
         self._apart: dict[tuple[str, str], bool] = {}
         good: set[str] = {s for s in self.ids if self.size(s) == 1}
         for t, (a, b) in self.parts.items():
@@ -111,7 +130,7 @@ class Transducer:
         """Is the sequence a, b what the text a + b becomes?"""
         found = self._apart.get((a, b))
         if found is None:
-            if len(self._apart) > 150_000:
+            if len(self._apart) > self.PAIRS:
                 self._apart.clear()
             found = self._apart[a, b] = not self._joined(a, b, NEVER, NEVER)
         return found
@@ -187,104 +206,305 @@ class Transducer:
                 return out
             last, t = t, self._match(w, at)
 
+    def short(self, word: str) -> list[int]:
+        """Ids of a word that fits into a window: merged by rank, the leftmost of equals first."""
+        ids, get = self.ids, self.merge.get
+        parts = [ids[c] for c in word[:-1]]
+        parts.append(ids[word[-1] + END])
+        ways = [get(a << 20 | b, NEVER) for a, b in zip(parts, parts[1:])]
+        while ways and (best := min(ways)) != NEVER:
+            i = ways.index(best)
+            parts[i] = made = best & 0xFFFFF
+            del parts[i + 1], ways[i]
+            if i:
+                ways[i - 1] = get(parts[i - 1] << 20 | made, NEVER)
+            if i < len(ways):
+                ways[i] = get(made << 20 | parts[i + 1], NEVER)
+        return parts
+
     def tokens(self, word: str) -> Iterator[str]:
         """Tokens of a word of byte symbols, each emitted as soon as it is stable."""
-        at, room = 0, self.longest + self.lookahead
-        while len(word) - at > room:
+        w = Word(self)
+        yield from w.feed(word)
+        yield from w.end()
+
+
+class Word:
+    """A word that comes in pieces: gives out tokens as soon as they are stable, and holds a window at most."""
+
+    def __init__(self, machine: Transducer):
+        self.machine, self.held = machine, ""
+
+    def feed(self, symbols: str) -> Iterator[str]:
+        m = self.machine
+        held, at, room = self.held + symbols, 0, m.longest + m.lookahead
+        while len(held) - at > room:
             final, seen = at, 0
-            for t in self.window(word[at : at + room]):
-                seen += self.size(t)
-                if seen > room - self.lookahead:
+            for t in m.window(held[at : at + room]):
+                seen += m.size(t)
+                if seen > m.longest:
                     break
                 yield t
                 final += len(t)
             at = final
-        if at < len(word):
-            yield from self.window(word[at:] + END)
+        self.held = held[at:]
+
+    def end(self) -> Iterator[str]:
+        if self.held:
+            yield from self.machine.window(self.held + END)
+        self.held = ""
+
+
+class Chunks:
+    """What chunks of text became, by the hash of their bytes: sorted arrays and one pool of ids, of bounded size."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.n, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.pool, self.size = np.zeros(1 << 12, np.int32), 0
+
+    def places(self, hashes: np.ndarray, encode: Callable[[int], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each chunk's ids begin in the pool, and how many they are; encode gives those of the chunk at a place."""
+        u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        k = np.searchsorted(self.keys, u)
+        fresh = np.flatnonzero(self.keys[np.minimum(k, len(self.keys) - 1)] != u if len(self.keys) else np.ones(len(u), bool))
+        if len(fresh):
+            if len(self.keys) + len(fresh) > CHUNKS or self.size > POOL:
+                self._forget()
+                return self.places(hashes, encode) if len(self.keys) else self._put(u, first, inverse, np.arange(len(u)), encode)
+            return self._put(u, first, inverse, fresh, encode)
+        self.used[k] = True
+        return self.at[k][inverse], self.n[k][inverse]
+
+    def _put(self, u: np.ndarray, first: np.ndarray, inverse: np.ndarray, fresh: np.ndarray, encode: Callable[[int], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        got = [encode(i) for i in first[fresh].tolist()]
+        n = np.array([len(g) for g in got], np.int32)
+        flat = np.array([i for g in got for i in g], np.int32)
+        if self.size + len(flat) > len(self.pool):
+            self.pool = np.r_[self.pool[: self.size], np.zeros(max(len(flat), self.size // 2), np.int32)]
+        self.pool[self.size : self.size + len(flat)] = flat
+        at = (self.size + np.cumsum(n) - n).astype(np.int32)
+        self.size += len(flat)
+        to = np.searchsorted(self.keys, u[fresh])
+        self.keys, self.at, self.n = np.insert(self.keys, to, u[fresh]), np.insert(self.at, to, at), np.insert(self.n, to, n)
+        self.used = np.insert(self.used, to, False)
+        k = np.searchsorted(self.keys, u)
+        self.used[np.setdiff1d(k, k[fresh], assume_unique=True)] = True
+        return self.at[k][inverse], self.n[k][inverse]
+
+    def _forget(self) -> None:
+        """Keeps what was asked for again since the last time, unless that is more than half."""
+        keep = np.flatnonzero(self.used)
+        total = int(self.n[keep].sum())
+        if not len(keep) or len(keep) > CHUNKS // 2 or total > POOL // 2:
+            return self.clear()
+        self.keys, at, self.n = self.keys[keep], self.at[keep], self.n[keep]
+        self.pool, self.at, self.size = gathered(self.pool, at, self.n), (np.cumsum(self.n) - self.n).astype(np.int32), total
+        self.used = np.zeros(len(keep), bool)
+
+
+def gathered(pool: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The stretches at .. at + n of a pool, one after the other."""
+    end = np.cumsum(n)
+    return pool[np.repeat(at - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
 
 
 class Codec:
-    """A tokenizer file: cutting texts into words, and words into ids."""
+    """A tokenizer file: cutting texts into words, words into ids, and ids into text."""
 
-    CACHE = 60_000
+    #: Words that are remembered, in two generations.
+    CACHE = 20_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        if model["type"] != "BPE" or not suffix or kinds != ["NFC", "Replace", "Lowercase"]:
-            raise ValueError("only BPE files with an end-of-word suffix and NFC, white space and lower case are read")
+        if model["type"] != "BPE" or not suffix or kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"]:
+            raise ValueError("only BPE files with an end-of-word suffix, NFC, white space and lower case, and no decoder are read")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.machine = Transducer(model["vocab"], merges, suffix)
         self.suffix = suffix
-        self.texts = {t: str(i) for t, i in self.machine.ids.items()}
-        self.names = {i: s for s, i in model["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.cut_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
-        self.odd_space = re.compile("[\x1c-\x1f]").search
-        self.cut = re.compile(f"[^{SPACE}]+").findall
+        self.names = [""] * (max([*model["vocab"].values(), *self.special.values()]) + 1)
+        for name, i in [*model["vocab"].items(), *self.special.items()]:
+            self.names[i] = name
+        self.digits = [str(i) for i in range(len(self.names))]
+        self.cut_special = re.compile(b"|".join(re.escape(s.encode()) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
+        self.words = regex.compile(pattern)
+        self.kinds = [regex.compile(x) for x in pattern.split("|") if x.endswith("+")]
         self.symbol = {b: s for b, s in byte_symbols().items()}
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
-
-    def forget(self) -> None:
-        """Drops what was remembered of words: at the end of a task, as the worker may idle from then on."""
-        self.known, self.old = {}, {}
-        self.machine._apart.clear()
-        self.machine.shorter.clear()
-
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Count, ids and token strings of a run without white space."""
-        tokens: list[str] = []
-        for w in [chunk] if chunk.isalpha() else self.words(chunk):
-            s = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.symbol)
-            tokens += self.machine.window(s + END) if len(s) < self.machine.longest else self.machine.tokens(s)
-        return len(tokens), " ".join([self.texts[t] for t in tokens]), " ".join(tokens).replace(END, self.suffix)
-
-    def _plain(self, text: str) -> Iterator[tuple[int, str, str]]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        known = self.known
-        for chunk in self.cut(text) if self.odd_space(text) else text.split():
-            found = known.get(chunk)
-            if found is None:
-                found = self.old.get(chunk) or self._chunk(chunk)
-                if len(chunk) < 64:
-                    if len(known) >= self.CACHE:  # what was asked for since the last change stays
-                        self.old, self.known = known, {}
-                        known = self.known
-                    known[chunk] = found
-            if found[0]:
-                yield found
-
-    def runs(self, text: str | None) -> Iterator[tuple[int, str, str]]:
-        """(count, ids, token strings) of the text's pieces in order."""
-        if not text:
-            return
-        if self.cut_special and "<|" in text:
-            for k, part in enumerate(self.cut_special.split(text)):
-                if k % 2:
-                    yield 1, str(self.special[part]), part
-                elif part:
-                    yield from self._plain(part)
-        else:
-            yield from self._plain(text)
+        self.chunks = Chunks()
+        self.known: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def symbols(self, w: str) -> str:
+        return w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.symbol)
+
+    def word(self, w: str) -> list[int]:
+        found = self.known.get(w) or self.old.get(w)
+        if found is None:
+            s, m = self.symbols(w), self.machine
+            found = m.short(s) if len(s) < m.longest else [m.ids[t] for t in m.tokens(s)]
+            if len(w) > m.longest:
+                return found
+        if len(self.known) >= self.CACHE:  # what was asked for since the last change stays
+            self.old, self.known = self.known, {}
+        self.known[w] = found
+        return found
+
+    @staticmethod
+    def normal(text: str) -> str:
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def chunk(self, text: str) -> list[int]:
+        """Ids of a run without white space."""
+        text = self.normal(text)
+        if text.isalpha():
+            return self.word(text)
+        out: list[int] = []
+        for w in self.words.findall(text):
+            out += self.word(w)
+        return out
+
+    def long(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of a run without white space of any length, block by block."""
+        read = codecs.getincrementaldecoder("utf-8")()
+        raw, text, word, kind, ids = "", "", None, None, self.machine.ids
+        for lo in range(0, max(1, len(data)), LONG_BLOCK):
+            final = lo + LONG_BLOCK >= len(data)
+            raw += read.decode(data[lo : lo + LONG_BLOCK].tobytes(), final)
+            k = len(raw) if final else safe_cut(raw)
+            text, raw, at = text + self.normal(raw[:k]), raw[k:], 0
+            out: list[int] = []
+            while at < len(text):
+                if word:
+                    if m := kind.match(text, at):
+                        out += [ids[t] for t in word.feed(self.symbols(m.group()))]
+                        at = m.end()
+                    if at == len(text):
+                        break
+                    out += [ids[t] for t in word.end()]
+                    word = None
+                m = self.words.search(text, at)
+                if not m:
+                    at = len(text)
+                elif m.end() < len(text) or final:
+                    if len(text) - m.start() < 8 and not final:  # signs to come may make it another word
+                        at = m.start()
+                        break
+                    out += self.word(m.group())
+                    at = m.end()
+                else:
+                    at = m.start()
+                    kind = next((x for x in self.kinds if x.fullmatch(m.group())), None)
+                    if len(m.group()) < 8 or not kind:
+                        break
+                    word = Word(self.machine)
+            text = text[at:]
+            if final and word:
+                out += [ids[t] for t in word.end()]
+            yield np.array(out, np.int32)
+
+    def rows(self, col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, ids) of a column's texts in pieces, in order; rows without tokens are left out."""
+        offs, data = utf8(col)
+        for lo, hi, what in self._segments(offs, data):
+            row = int(np.searchsorted(offs, lo, "right")) - 1
+            if what is None:
+                for ids in self.long(data[lo:hi]):
+                    if len(ids):
+                        yield row, ids
+            elif what >= 0:
+                yield row, np.array([what], np.int32)
+            else:
+                borders = offs[row + 1 : int(np.searchsorted(offs, hi, "left"))] - lo
+                starts, ends, hashes = hashed(data[lo:hi], borders)
+                if not len(starts):
+                    continue
+                blob, s, e = data[lo:hi].tobytes(), starts.tolist(), ends.tolist()
+                at, n = self.chunks.places(hashes, lambda i: self.chunk(blob[s[i] : e[i]].decode()))
+                flat, end = gathered(self.chunks.pool, at, n), np.cumsum(n)
+                whose = row + np.searchsorted(borders, starts, "right")
+                last = np.flatnonzero(np.r_[whose[1:] != whose[:-1], True])
+                for r, a, z in zip(whose[last].tolist(), [0, *end[last[:-1]].tolist()], end[last].tolist()):
+                    if z > a:
+                        yield r, flat[a:z]
+
+    def _segments(self, offs: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int | None]]:
+        """(from, to, kind): stretches of the bytes, each of whole rows or of one row's part, cut at white space.
+
+        kind: -1 for an ordinary stretch, None for a run without white space that is longer than a segment, else the id of the
+        special token that stands there.
+        """
+        marks = [(int(offs[0]), int(offs[0]), -1)]
+        if self.cut_special:
+            for m in self.cut_special.finditer(memoryview(data[offs[0] : offs[-1]])):
+                lo, hi = offs[0] + m.start(), offs[0] + m.end()
+                if np.searchsorted(offs, lo, "right") == np.searchsorted(offs, hi - 1, "right"):  # within one row
+                    marks.append((int(lo), int(hi), self.special[m.group().decode()]))
+        for (_, pos, _), (end, until, special) in zip(marks, [*marks[1:], (int(offs[-1]), 0, -1)]):
+            while pos < end:
+                hi = min(pos + SEGMENT, end)
+                if hi < end and (border := int(offs[np.searchsorted(offs, hi, "right") - 1])) > pos:
+                    hi = border
+                elif hi < end:
+                    blank = np.flatnonzero(BLANK[data[pos:hi]])
+                    if len(blank):
+                        hi = pos + int(blank[-1]) + 1
+                    else:
+                        most = min(end, int(offs[np.searchsorted(offs, pos, "right")]))
+                        while hi < most:
+                            blank = BLANK[data[hi : min(most, hi + SEGMENT)]]
+                            hi += int(np.argmax(blank)) if blank.any() else len(blank)
+                            if blank.any():
+                                break
+                        yield pos, hi, None
+                        pos = hi
+                        continue
+                yield pos, hi, -1
+                pos = hi
+            if until:
+                yield end, until, special
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.runs(text) for i in ids.split(" ")]
+        return [i for _, ids in self.rows(pa.array([text], pa.string())) for i in ids.tolist()]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode for a file without a decoder."""
-        return " ".join(self.names[i] for i in ids)
+        return Decoder(self).feed(np.array(ids, np.int32)).decode()
 
     def text_decoder(self) -> TextDecoder:
         return TextDecoder(self)
 
 
+def safe_cut(text: str) -> int:
+    """The last place before which nothing changes by normalisation together with what stands behind it."""
+    for i in range(len(text) - 1, 0, -1):
+        c = text[i]
+        if c < "\u0300" or not (unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff"):
+            return i
+    return 0
+
+
+class Decoder:
+    """Ids in, in pieces; UTF-8 bytes of the library's decoded text out."""
+
+    def __init__(self, codec: Codec):
+        self.names, self.begun = codec.names, False
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        names = self.names
+        out = " ".join([names[i] for i in ids.tolist()]).encode()
+        lead, self.begun = b" " if self.begun else b"", True
+        return lead + out
+
+
 class TextDecoder:
     """Tokens in, readable text out: bytes of unfinished characters are held back until they are whole."""
 
@@ -308,19 +528,11 @@ class TextDecoder:
 _codecs: dict[str, Codec] = {}
 
 
-@contextlib.contextmanager
-def for_task(path: str) -> Iterator[Codec]:
-    """The worker's codec, for one task."""
-    try:
-        yield codec(path)
-    finally:
-        codec(path).forget()
-
-
 def codec(path: str) -> Codec:
-    """One per worker process."""
+    """One per worker process; what it remembers is bounded, and stays for the next task."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
+        release()
     return _codecs[path]
 
 
@@ -329,36 +541,44 @@ def _fresh(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns exist already: {sorted(clash)}")
 
 
+def _lists(found: list[np.ndarray], lengths: np.ndarray) -> pa.ListArray:
+    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the token ids of a text column as array<int>; path: the tokenizer file, present on every node."""
     _fresh(df, out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with for_task(path) as c:
-            for b in batches:
-                ids = pa.array([c.encode(t) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
+        c = codec(path)
+        for b in batches:
+            n, found = np.zeros(b.num_rows, np.int64), []
+            for row, ids in c.rows(b.column(text)):
+                n[row] += len(ids)
+                found.append(ids)
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(found, n)], [*b.schema.names, out])
 
     return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", readable: bool = False) -> DataFrame:
-    """df with the decoded text; readable: through the incremental byte-to-text machine instead of token strings."""
+    """df with the decoded text; readable: words and their spaces as they were read, instead of token strings."""
     _fresh(df, out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with for_task(path) as c:
-            for b in batches:
-                texts = []
-                for row in b.column(ids).to_pylist():
-                    if readable:
-                        d = c.text_decoder()
-                        texts.append(("".join(d.feed(i) for i in row or ()) + d.finish()).rstrip(" "))
-                    else:
-                        texts.append(c.decode(row or []))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
+        c = codec(path)
+        for b in batches:
+            texts = []
+            for row in b.column(ids).to_pylist():
+                if readable:
+                    d = c.text_decoder()
+                    texts.append(("".join(d.feed(i) for i in row or ()) + d.finish()).rstrip(" "))
+                else:
+                    texts.append(c.decode(row or []))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
     return df.mapInArrow(lean(run), schema)
 
@@ -370,52 +590,60 @@ def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with for_task(path) as c:
-            for b in batches:
-                ids, lengths, seen = [], [0], []
-                for t in b.column(text):
-                    held = list(c.runs(t.as_py()))
-                    own = np.fromstring(" ".join([i for _, i, _ in held]), np.int32, sep=" ") if held else np.zeros(0, np.int32)
-                    ids.append(own)
-                    lengths.append(lengths[-1] + len(own))
-                    seen.append(hashlib.sha256(" ".join([d for _, _, d in held]).encode()).hexdigest())
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(np.diff(lengths), pa.int64()), lists, pa.array(seen, pa.string())], schema.names)
+        c = codec(path)
+        for b in batches:
+            n, found, seen = np.zeros(b.num_rows, np.int64), [], Digests(c, b.num_rows)
+            for row, ids in c.rows(b.column(text)):
+                n[row] += len(ids)
+                found.append(ids)
+                seen.feed(row, ids)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(n), _lists(found, n), pa.array(seen.decoded(), pa.string())], schema.names)
 
     return df.mapInArrow(lean(run), schema)
 
 
+class Digests:
+    """Digests of the rows' ids and of the text that these ids decode to; pieces of rows come in order."""
+
+    def __init__(self, codec: Codec, rows: int):
+        self.codec, self.row, self.digits = codec, -1, codec.digits
+        nothing = hashlib.sha256().hexdigest()
+        self.of_ids, self.of_text = [nothing] * rows, [nothing] * rows
+
+    def feed(self, row: int, ids: np.ndarray, both: bool = False) -> None:
+        if row != self.row:
+            self._close()
+            self.row, self.decoder, self.text, self.ids = row, Decoder(self.codec), hashlib.sha256(), hashlib.sha256()
+            self.lead = ""
+        self.text.update(self.decoder.feed(ids))
+        if both:
+            self.ids.update((self.lead + " ".join([self.digits[i] for i in ids.tolist()])).encode())
+            self.lead = " "
+
+    def _close(self) -> None:
+        if self.row >= 0:
+            self.of_text[self.row], self.of_ids[self.row] = self.text.hexdigest(), self.ids.hexdigest()
+
+    def decoded(self) -> list[str]:
+        self._close()
+        return self.of_text
+
+
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encodes and decodes every text, keeping only digests.
+    """(key, n_tokens, ids_sha256, decoded_sha256): encodes every text, decodes its ids, and keeps only digests.
 
     The ids and the decoded text go into the digests piece by piece, so no whole sequence is held.
     """
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with for_task(path) as c:
-            for b in batches:
-                counts, one, two = [], [], []
-                for t in b.column(text):
-                    n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-                    held_i: list[str] = []
-                    held_d: list[str] = []
-                    lead = ""
-                    for k, i, d in c.runs(t.as_py()):
-                        n += k
-                        held_i.append(i)
-                        held_d.append(d)
-                        if len(held_i) >= 4096:
-                            ids.update((lead + " ".join(held_i)).encode())
-                            decoded.update((lead + " ".join(held_d)).encode())
-                            lead, held_i, held_d = " ", [], []
-                    if held_i:
-                        ids.update((lead + " ".join(held_i)).encode())
-                        decoded.update((lead + " ".join(held_d)).encode())
-                    counts.append(n)
-                    one.append(ids.hexdigest())
-                    two.append(decoded.hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], schema.names)
+        c = codec(path)
+        for b in batches:
+            n, seen = np.zeros(b.num_rows, np.int64), Digests(c, b.num_rows)
+            for row, ids in c.rows(b.column(text)):
+                n[row] += len(ids)
+                seen.feed(row, ids, both=True)
+            texts = seen.decoded()
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n), pa.array(seen.of_ids, pa.string()), pa.array(texts, pa.string())], schema.names)
 
     return df.select(key, text).mapInArrow(lean(run), schema)

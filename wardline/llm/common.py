@@ -26,15 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Rows in an Arrow batch: texts may be long, and every task holds some batches on either side of its Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts may be long, and every task holds some batches on either side of its Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows at most, unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES at most (one row at least), unless the session asks for less.
+
+    The session keeps these two settings, as its DataFrames read them when they run.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def release() -> None:
