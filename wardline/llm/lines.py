@@ -209,7 +209,7 @@ def dedup(docs: DataFrame, drop_emptied: bool = False, changed_only: bool = Fals
     drop_emptied: without the rows of which no word is left; changed_only: only rows that lose something.
     """
     cut = blocks(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line", "of_doc_id"))).alias("_wl_cut"))
-    cut = staged(cut)
+    cut = staged(cut).hint("merge")  # one plan at every size
     both = docs.join(cut, "doc_id", "inner" if changed_only else "left").select(*docs.columns, "_wl_cut")
     schema = both.schema
 

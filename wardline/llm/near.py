@@ -5,15 +5,17 @@ of frequent hash buckets, counted over all documents, sets the order; any order
 link share a key in their prefixes, which are about as long as the share of keys that may differ.
 
 1. Equal sets are one class; classes of one size and one prefix are one group.
-2. Prefix keys that several groups share are kept.  Every group is led by the group, among those that share a key with it,
-   whose keys are shared most: for a crowd of near copies mostly what they were made from.
-3. Groups of one leader form a crowd, expanded to their classes and cut into blocks of bounded size; every pair of
-   blocks is one task's row group, which compares all its sets at once and emits a spanning forest of its links.
+2. Prefix keys that several groups share are kept.  Every group is led by the group, among those of about its size that share
+   a key with it, whose keys are shared most: for a crowd of near copies mostly what they were made from.
+3. Groups of one leader form a crowd, expanded to their classes and cut into blocks of bounded size, each with the leader.
+   A block compares all its sets at once and emits a spanning forest of its links.  Members that are joined to the leader are joined
+   to each other; only the others, in blocks, meet the other blocks of their crowd.
 4. Groups of different leaders that share a key are filtered by size and by a small parity sketch, expanded to their
    classes, filtered by a larger one (no filter ever loses a link), and verified one by one.
 5. Components of the links are found by contraction, and carried back to documents.
 
-So copies are never expanded into pairs, no link between different texts is lost, and what any task holds is bounded.
+So copies are never expanded into pairs, no link between different texts is lost, and what any task holds is bounded.  Sets are
+several times as large as their texts, so texts are moved, and few besides those of classes that a step has to compare.
 
 Documents without words (null and empty ones) link with nothing and are their own components; with fewer words than a
 shingle has, the whole sequence is one shingle; long texts are used whole; rows without an id get a null component;
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.arrowtext import mix, pieces, shingles
@@ -35,8 +37,8 @@ from wardline.llm.common import Union, components, lean, runs, staged
 WORDS, PERCENT = 5, 80
 #: Hash buckets of the table of frequent shingles, and the count from which a task reports one.
 BUCKETS, OFTEN = 1 << 22, 6
-#: Sets in a block.
-BLOCK = 256
+#: Sets in a block, and keys in all of them, about.
+BLOCK, BLOCK_KEYS = 256, 1 << 20
 #: Bits of the larger parity sketch, and of the filter by ids.
 BITS, FILTER_BITS = 2048, 1 << 23
 
@@ -90,8 +92,9 @@ def _sets(p, words: int, classes: np.ndarray) -> Iterator[np.ndarray]:
             yield key(shingles(p.hashes[lo:hi], words))
 
 
-def _signed(h: np.ndarray) -> int:
-    return int(h.astype(np.uint64).view(np.int64)) if h.ndim == 0 else int(h.view(np.int64)[0])
+def _plain_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Each text's set of shingle hashes, sorted."""
+    return [np.unique(shingles(p.hashes[lo:hi], words)) for p in pieces(texts) for lo, hi in zip(p.bounds[:-1].tolist(), p.bounds[1:].tolist())]
 
 
 def _summaries(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
@@ -167,22 +170,22 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _likely(texts: DataFrame, need: DataFrame) -> DataFrame:
-    """Rows of texts whose id falls on a bit that some needed id sets: a bitmap of fixed size, so that a join that
-    follows, and is exact, need not shuffle all texts.  Where most bits are set it lets all rows through."""
+def _likely(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """Rows whose id (cid) falls on a bit that some needed id sets: a bitmap of fixed size, so that a join that
+    follows, and is exact, need not shuffle all of them.  Where most bits are set it lets all rows through."""
     spot = F.pmod(F.xxhash64("cid"), F.lit(FILTER_BITS))
     maps = need.select((spot + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
     every = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in maps:  # numbers, parts and so bytes count from 1; a part holds 4096 bytes
         every[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(every)
+    shared = rows.sparkSession.sparkContext.broadcast(every)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = np.asarray(b.column("spot"))
             yield b.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))).drop_columns(["spot"])
 
-    return texts.withColumn("spot", spot).mapInArrow(lean(run), texts.schema)
+    return rows.withColumn("spot", spot).mapInArrow(lean(run), rows.schema)
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -194,14 +197,13 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     kind = every.schema["doc_id"].dataType.simpleString()
     full = every.where("n > 0 and doc_id is not null")
     # equal sets have equal sketches and prefixes, so any of a class will do
-    classes = staged(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cid"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("ph").alias("ph")))
-    groups = classes.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.bit_and("k1").alias("a1"), F.bit_and("k2").alias("a2"), F.bit_or("k1").alias("o1"), F.bit_or("k2").alias("o2"))
+    classes = staged(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cid"), F.min("ph").alias("ph")))
+    groups = full.groupBy("n", "ph").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.bit_and("k1").alias("a1"), F.bit_and("k2").alias("a2"), F.bit_or("k1").alias("o1"), F.bit_or("k2").alias("o2"))
     # bits on which a group's members differ say nothing about it; on the others all members agree
-    groups = staged(groups.select("gid", "n", "ph", "a1", "a2", F.col("a1").bitwiseXOR(F.col("o1")).alias("v1"), F.col("a2").bitwiseXOR(F.col("o2")).alias("v2")))
+    groups = staged(groups.select("gid", "n", "ph", "prefix", "a1", "a2", F.col("a1").bitwiseXOR(F.col("o1")).alias("v1"), F.col("a2").bitwiseXOR(F.col("o2")).alias("v2")))
     info = groups.select("gid", "n", "a1", "a2", "v1", "v2")
-    tokens = _tokens(full.select(F.col("doc_id").alias("gid"), "prefix").join(groups.select("gid"), "gid", "left_semi").dropDuplicates(["gid"]))
-    common = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    tokens = staged(tokens.join(common, "token"))
+    held = F.count("*").over(Window.partitionBy("token"))
+    tokens = staged(_tokens(groups).withColumn("held", held).where("held > 1"))
 
     def apart(x: str, y: str) -> Column:
         """At least so many keys are in one set only, for any members of two groups."""
@@ -209,17 +211,21 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
         return diff(1) + diff(2)
 
     score = tokens.groupBy("gid").agg(F.round(F.sum(F.log("held")), 6).alias("score"))
-    lead = tokens.join(score, "gid").groupBy("token").agg(F.max(F.struct(F.col("score"), F.col("gid").alias("lead"))).alias("lead"))
-    led = tokens.select("token", "gid").join(lead, "token").groupBy("gid").agg(F.max("lead")["lead"].alias("lead"))
+    # sizes of one band differ by no more than links allow
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int").alias("band")
+    rated = staged(tokens.select("token", "gid").join(score.join(info.select("gid", band), "gid"), "gid"))
+    lead = rated.groupBy("token", "band").agg(F.max(F.struct(F.col("score"), F.col("gid").alias("lead"))).alias("lead"))
+    led = rated.select("token", "band", "gid").join(lead, ["token", "band"]).groupBy("gid").agg(F.max("lead")["lead"].alias("lead"))
     g, h = info.alias("g"), info.select(F.col("gid").alias("lead"), "n", "a1", "a2", "v1", "v2").alias("h")
     near = (apart("g", "h") <= 2 * (F.col("g.n") + F.col("h.n") - 2 * least_overlap(F.col("g.n"), F.col("h.n"), percent))) & (10000 * F.least("g.n", "h.n") >= percent * percent * F.greatest("g.n", "h.n"))
     led = g.join(led, "gid").join(h, "lead").select("gid", F.when(near, F.col("lead")).otherwise(F.col("gid")).alias("lead"))
     led = staged(info.join(led, "gid", "left").select("gid", "n", "a1", "a2", "v1", "v2", F.coalesce("lead", "gid").alias("lead")))
-    members = staged(classes.select("cid", "n", "ph").join(groups.select("n", "ph", "gid"), ["n", "ph"]).join(led.select("gid", "lead"), "gid").select("cid", "gid", "lead"))
+    members = staged(classes.select("cid", "n", "ph").join(groups.select("n", "ph", "gid"), ["n", "ph"]).join(led.select("gid", "lead"), "gid").select("cid", "n", "gid", "lead"))
 
     # crowds, in blocks
-    sizes = members.groupBy("lead").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    crowd = staged(members.join(sizes, "lead").select("lead", "cid", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("own")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_KEYS)).cast("int").alias("blocks")
+    sizes = staged(members.groupBy("lead").agg(F.count("*").alias("size"), blocks).where("size > 1").select("lead", "blocks"))
+    crowd = staged(members.where("cid <> lead").join(sizes, "lead").select("lead", "cid", "n", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("own")))
     # pairs of groups with different leaders
     side = staged(tokens.select("token", "gid").join(led, "gid"))
     held = staged(side.groupBy("token", "lead").agg(F.count("*").alias("size")))
@@ -237,8 +243,8 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     ma, mb = members.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), members.select(F.col("gid").alias("gb"), F.col("cid").alias("b"))
     pairs = staged(pairs.join(ma, "ga").join(mb, "gb").select("a", "b"))
     # the larger sketches of the classes in pairs only
-    told = pairs.select("a").union(pairs.select("b")).distinct()
-    sketch = full.join(told, full["doc_id"] == told["a"], "left_semi").select("doc_id", "n", "big").dropDuplicates(["doc_id"])
+    told = staged(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+    sketch = staged(_likely(full.select(F.col("doc_id").alias("cid"), "n", "big"), told).join(told, "cid", "left_semi").dropDuplicates(["cid"]))
     pairs = pairs.join(sketch.toDF("a", "na", "p"), "a").join(sketch.toDF("b", "nb", "q"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,37 +256,54 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
 
     pairs = staged(pairs.select("a", "b", "na", "nb", "p", "q").mapInArrow(lean(close), f"a {kind}, b {kind}"))
 
-    # the sets of all classes that take part, from their texts
-    need = staged(crowd.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct())
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
-        for b in batches:
-            keys = [s.tobytes() for p in pieces(b.column("text")) for s in _sets(p, words, order)]
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(keys, pa.binary())], ["cid", "keys"])
-
-    texts = _likely(docs.select(F.col("doc_id").alias("cid"), "text"), need).join(need, "cid", "left_semi")
-    sets = staged(texts.mapInArrow(lean(keyed), f"cid {kind}, keys binary").dropDuplicates(["cid"]))
-
-    spread = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", "cid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    spread = spread.join(sets, "cid").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["lead", "i", "j"]):
-            got = _links_within([np.frombuffer(k, np.uint64) for k in t.column("keys").to_pylist()], percent)
-            cid = t.column("cid").combine_chunks()
-            yield pa.RecordBatch.from_arrays([cid.take(pa.array([p[s] for p in got], pa.int64())) for s in (0, 1)], ["a", "b"])
-
-    crowded = spread.select("lead", "i", "j", "cid", "keys").mapInArrow(lean(within), f"a {kind}, b {kind}")
+    # the texts of all classes that take part
+    need = staged(crowd.select("cid").union(sizes.select("lead")).union(pairs.select("a")).union(pairs.select("b")).distinct())
+    texts = staged(_likely(docs.select(F.col("doc_id").alias("cid"), "text"), need))
+
+    def linked_blocks(rows: DataFrame) -> DataFrame:
+        """rows (lead, i, j, cid), a block each (lead, i, j), as (lead, a, b): links that span it; and (lead, a, null) for what they leave apart from the leader."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in runs(batches, ["lead", "i", "j"]):
+                ids = t.column("cid").to_pylist()
+                if len(set(ids)) < len(ids):  # repeated rows
+                    t = t.take(pa.array(sorted({x: k for k, x in enumerate(ids)}.values())))
+                    ids = t.column("cid").to_pylist()
+                cid, lead = t.column("cid").combine_chunks(), t.column("lead")[0].as_py()
+                forest = Union(len(ids))
+                got = _links_within(_plain_sets(t.column("text"), words), percent)
+                for x, y in got:
+                    forest.join(x, y)
+                root = forest.find(ids.index(lead)) if lead in ids else -1
+                left = [k for k in range(len(ids)) if forest.find(k) != root]
+                b = [y for _, y in got] + [None] * len(left)
+                yield pa.RecordBatch.from_arrays([t.column("lead").combine_chunks().take(pa.array([0] * len(b), pa.int64())), cid.take(pa.array([x for x, _ in got] + left, pa.int64())), cid.take(pa.array(b, pa.int64()))], ["lead", "a", "b"])
+
+        rows = staged(rows)
+        spread = rows.join(_likely(texts, rows), "cid").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").select("lead", "i", "j", "cid", "text")
+        return spread.mapInArrow(lean(run), f"lead {kind}, a {kind}, b {kind}")
+
+    each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    heads = sizes.select("lead", F.lit(0).alias("i"), each_block.alias("j"), F.col("lead").alias("cid"))
+    within = staged(linked_blocks(crowd.select("lead", F.lit(0).alias("i"), F.col("own").alias("j"), "cid").unionByName(heads)))
+    # what no block joined to its leader meets all blocks of its crowd
+    left = within.where("b is null").select("lead", F.col("a").alias("cid")).join(crowd.where("blocks > 1"), ["lead", "cid"])
+    parts = left.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_KEYS)).cast("int").alias("parts"))
+    parts = staged(parts)
+    mine = left.join(parts, "lead").select("lead", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int").alias("i"), each_block.alias("j"), "cid")
+    others = crowd.join(parts, "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"), "cid")
+    across = linked_blocks(mine.unionByName(others).distinct()).where("b is not null")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            ok = [_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(t.column("p").to_pylist(), t.column("q").to_pylist())]
+            ok = [_linked(p, q, percent) for p, q in zip(_plain_sets(t.column("p"), words), _plain_sets(t.column("q"), words))]
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    checked = pairs.join(sets.select(F.col("cid").alias("a"), F.col("keys").alias("p")), "a").join(sets.select(F.col("cid").alias("b"), F.col("keys").alias("q")), "b")
+    paired = staged(_likely(texts, pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))))
+    checked = pairs.join(paired.select(F.col("cid").alias("a"), F.col("text").alias("p")), "a").join(paired.select(F.col("cid").alias("b"), F.col("text").alias("q")), "b")
     checked = checked.select("a", "b", "p", "q").mapInArrow(lean(verify), f"a {kind}, b {kind}")
-    return every, classes.select("s1", "s2", "n", "cid"), staged(crowded.unionByName(checked))
+    spanning = within.where("b is not null").select("a", "b").unionByName(across.select("a", "b")).unionByName(checked)
+    return every, classes.select("s1", "s2", "n", "cid"), staged(spanning)
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
