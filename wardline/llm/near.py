@@ -5,8 +5,9 @@ of frequent hash buckets, counted over all documents, sets the order; any order
 link share a key in their prefixes, which are about as long as the share of keys that may differ.
 
 1. Equal sets are one class; classes of one size and one prefix are one group.
-2. Prefix keys that several groups share are kept.  Every group is led by the group, among those of about its size that share
-   a key with it, whose keys are shared most: for a crowd of near copies mostly what they were made from.
+2. Prefix keys that several groups share are kept.  Of the groups of about one size that share a key, the one whose keys are shared
+   most stands for it; a group is led by what stands for most of its keys, where these are a fair part of its prefix: for a
+   crowd of near copies mostly what they were made from.
 3. Groups of one leader form a crowd, expanded to their classes and cut into blocks of bounded size, each with the leader.
    A block compares all its sets at once and emits a spanning forest of its links.  Members that are joined to the leader are joined
    to each other; only the others, in blocks, meet the other blocks of their crowd.
@@ -39,8 +40,10 @@ WORDS, PERCENT = 5, 80
 BUCKETS, OFTEN = 1 << 22, 6
 #: Sets in a block, and keys in all of them, about.
 BLOCK, BLOCK_KEYS = 256, 1 << 20
-#: Bits of the larger parity sketch, and of the filter by ids.
+#: Bits of the larger parity sketch at least (a power of two, and no fewer than a set has keys), and of the filter by ids.
 BITS, FILTER_BITS = 2048, 1 << 23
+#: Share of a group's prefix that its leader's choice has to rest on, in percent.
+VOTES = 10
 
 
 def least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -116,7 +119,7 @@ def _summaries(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
                     head = s[: prefix_length(len(s), percent)] if len(s) else s
                     ph.append(int((mix(head) * (np.arange(len(head), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64)))
                     prefix.append(head.tobytes())
-                    big.append(np.packbits(np.bincount(((s >> np.uint64(7)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes())
+                    big.append(_sketch(s))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2, k1, k2, ph)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *longs, pa.array(prefix, pa.binary()), pa.array(big, pa.binary())], names)
 
@@ -163,6 +166,22 @@ def _links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
     return out
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """For each of a power of two of buckets, whether it holds an odd number of keys."""
+    bits = max(BITS, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount(((s >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _apart(p: bytes, q: bytes) -> int:
+    """Buckets that differ, at least so many keys are in one set only; the longer sketch is folded to the shorter's length."""
+    x, y = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int.from_bytes((x ^ y).tobytes(), "big").bit_count()
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = np.concatenate([a, b])
     both.sort()
@@ -215,9 +234,10 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int").alias("band")
     rated = staged(tokens.select("token", "gid").join(score.join(info.select("gid", band), "gid"), "gid"))
     lead = rated.groupBy("token", "band").agg(F.max(F.struct(F.col("score"), F.col("gid").alias("lead"))).alias("lead"))
-    led = rated.select("token", "band", "gid").join(lead, ["token", "band"]).groupBy("gid").agg(F.max("lead")["lead"].alias("lead"))
+    led = rated.select("token", "band", "gid").join(lead, ["token", "band"]).select("gid", "lead.*").repartition("gid").groupBy("gid", "lead").agg(F.count("*").alias("votes"), F.max("score").alias("score"))
+    led = led.groupBy("gid").agg(F.max(F.struct("votes", "score", "lead")).alias("led")).select("gid", "led.votes", "led.lead")
     g, h = info.alias("g"), info.select(F.col("gid").alias("lead"), "n", "a1", "a2", "v1", "v2").alias("h")
-    near = (apart("g", "h") <= 2 * (F.col("g.n") + F.col("h.n") - 2 * least_overlap(F.col("g.n"), F.col("h.n"), percent))) & (10000 * F.least("g.n", "h.n") >= percent * percent * F.greatest("g.n", "h.n"))
+    near = (apart("g", "h") <= 2 * (F.col("g.n") + F.col("h.n") - 2 * least_overlap(F.col("g.n"), F.col("h.n"), percent))) & (10000 * F.least("g.n", "h.n") >= percent * percent * F.greatest("g.n", "h.n")) & (F.col("votes") * 10000 >= VOTES * (100 - percent) * F.col("g.n"))
     led = g.join(led, "gid").join(h, "lead").select("gid", F.when(near, F.col("lead")).otherwise(F.col("gid")).alias("lead"))
     led = staged(info.join(led, "gid", "left").select("gid", "n", "a1", "a2", "v1", "v2", F.coalesce("lead", "gid").alias("lead")))
     members = staged(classes.select("cid", "n", "ph").join(groups.select("n", "ph", "gid"), ["n", "ph"]).join(led.select("gid", "lead"), "gid").select("cid", "n", "gid", "lead"))
@@ -251,7 +271,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
         for t in batches:
             total = np.asarray(t.column("na")) + np.asarray(t.column("nb"))
             most = total + 2 * (-percent * total // (100 + percent))
-            apart = [(int.from_bytes(p, "big") ^ int.from_bytes(q, "big")).bit_count() for p, q in zip(t.column("p").to_pylist(), t.column("q").to_pylist())]
+            apart = [_apart(p, q) for p, q in zip(t.column("p").to_pylist(), t.column("q").to_pylist())]
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(np.array(apart, np.int64) <= most))
 
     pairs = staged(pairs.select("a", "b", "na", "nb", "p", "q").mapInArrow(lean(close), f"a {kind}, b {kind}"))
