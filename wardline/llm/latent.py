@@ -3,7 +3,7 @@
 Passages are windows of words.  Word hashes fall into a fixed number of features, weighted by the document
 frequencies of all documents.  One pass over the passages of a bounded sample of documents (``SAMPLE``, by the order
 of a hash) gives the sketch A'(A W) of the TF-IDF matrix A for random W, summed within tasks and then by Spark; its
-Nystrom form is the randomised SVD (directions and singular values), of fixed size, on the driver.  Benchmark items, in blocks of stated size, are projected into the whitened latent
+Nystrom form is the randomised SVD (directions and singular values), of fixed size, on the driver.  Benchmark items, in blocks of ``ITEMS``, are projected into the whitened latent
 space and broadcast; every window of every document is projected and compared by cosine, and what is near is
 verified on the words themselves: the longest common subsequence with the item over a stretch of about the item's
 length, and that of the item's answer, its last quarter.  An item is found where the whole agrees, or where most
@@ -11,7 +11,7 @@ of it and the answer agree.
 
 Words are lower-cased runs of letters, digits and bytes beyond ASCII.  Null, empty and wordless texts and items
 match nothing; very long texts are searched whole; repeated rows match alike; an item given twice is reported under
-both ids.  Extra columns of the inputs are ignored.
+both ids, and under an id that is null or of any type as it is; empty tables of documents or items give an empty result.  Extra columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wardline.llm.common import lean
 from wardline.llm.arrowtext import Piece, pieces
@@ -32,13 +33,13 @@ RANK = 64
 #: Words in a step, and steps in a window.
 STEP, STEPS = 6, 4
 #: Least cosine; times sqrt(n / window) for items of n words that are shorter than a window, as only so much of it can be theirs.
-NEAR = 0.7
+NEAR = 0.58
 #: Documents whose passages the SVD is fitted on, about; frequencies, search and verification cover all of them.
 SAMPLE = 20_000
 #: LCS shares: of the whole; or of the whole together with the answer.
 WHOLE, PART, ANSWER = 0.6, 0.45, 0.8
-#: Items that are broadcast at a time.
-ITEMS = 2000
+#: Items that are broadcast at a time, about one KB each, and those whose places of words a task remembers.
+ITEMS, REMEMBERED = 50_000, 4096
 
 APART = np.ones(256, bool)
 APART[48:58] = APART[65:91] = APART[97:123] = False
@@ -57,9 +58,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total = np.zeros(FEATURES + 1, np.int64)
         for b in batches:
             for p in pieces(b.column(0), APART):
-                doc = np.repeat(np.arange(len(p.bounds) - 1), np.diff(p.bounds))
-                seen = np.unique(doc * FEATURES + features(p.hashes))
-                total[:FEATURES] += np.bincount(seen % FEATURES, minlength=FEATURES)
+                f = features(p.hashes)
+                for d in range(0, len(p.bounds) - 1, 256):
+                    own = p.bounds[d : d + 257]
+                    held = np.zeros((len(own) - 1, FEATURES), bool)
+                    held[np.repeat(np.arange(len(own) - 1), np.diff(own)), f[own[0] : own[-1]]] = True
+                    total[:FEATURES] += np.count_nonzero(held, axis=0)
                 total[FEATURES] += len(p.bounds) - 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["f", "n"])
@@ -150,7 +154,8 @@ def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(z[:, j].astype(np.float32)) for j in range(RANK))], ["f", *(f"z{j}" for j in range(RANK))])
 
     schema = "f int, " + ", ".join(f"z{j} float" for j in range(RANK))
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(n, 1))) < SAMPLE) if n > SAMPLE else docs
+    # by id, so that copies of one text are sampled like other documents
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < SAMPLE) if n > SAMPLE else docs
     rows = some.select("text").mapInArrow(lean(run), schema).groupBy("f").agg(*(F.sum(f"z{j}").alias(f"z{j}") for j in range(RANK))).toPandas()
     z = np.zeros((FEATURES, RANK))
     z[rows["f"].to_numpy(int)] = rows.drop(columns="f").to_numpy(float)
@@ -191,15 +196,13 @@ def project_items(rows: list[tuple], projection: np.ndarray) -> Items:
     return Items(ids, words, np.array(item, np.int64), np.array(vectors, np.float32).reshape(-1, projection.shape[1]))
 
 
-def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
-    """Longest common subsequence, bit-parallel."""
+def lcs(places: list[int], n: int) -> int:
+    """Longest common subsequence with a sequence of n, bit-parallel; places: for each word where it stands in that sequence."""
     full = (1 << n) - 1
     v = full
-    for w in words:
-        m = masks.get(w)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in places:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
@@ -213,23 +216,43 @@ def masks(words: np.ndarray) -> dict[int, int]:
 class Verifier:
     def __init__(self, items: Items):
         self.items = items
-        self.masks = [masks(w) for w in items.words]
-        self.tails = [w[-max(1, len(w) // 4) :] for w in items.words]
-        self.tail_masks = [masks(w) for w in self.tails]
+        self.known: dict[int, tuple[dict[int, int], dict[int, int], int]] = {}
+
+    def places(self, k: int) -> tuple[dict[int, int], dict[int, int], int]:
+        """Where words stand in an item and in its answer, and the answer's length."""
+        found = self.known.get(k)
+        if not found:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            w = self.items.words[k]
+            tail = w[-max(1, len(w) // 4) :]
+            found = self.known[k] = masks(w), masks(tail), len(tail)
+        return found
 
     def check(self, k: int, words: np.ndarray) -> tuple[float, float, int, int] | None:
-        """Best (share, answer's share, first word, last word) of item k in a stretch of a document's words."""
-        n, best = len(self.items.words[k]), None
-        if np.isin(self.items.words[k], words).sum() < PART * n:  # no less than the LCS
+        """Best (share, answer's share, first word, last word) of item k in a stretch of a document's words.
+
+        Stretches of a quarter more words than the item has are aligned, from every word that the item holds (of items of over
+        64 words, from those that are n / 32 words apart).
+        """
+        (mine, tail, m), n = self.places(k), len(self.items.words[k])
+        words, best = words.tolist(), None
+        at = [i for i, w in enumerate(words) if w in mine]
+        if len(at) < PART * n or lcs([mine[words[i]] for i in at], n) < PART * n:  # no stretch has more
             return None
-        size, step = n + n // 4 + 1, max(1, n // 4)
-        for lo in range(0, max(1, len(words) - size + step), step):
-            part = words[lo : lo + size].tolist()
-            share = lcs(self.masks[k], n, part) / n
+        size, step, after = n + n // 4 + 1, max(1, n // 32), 0
+        for a, lo in enumerate(at):
+            if lo < after:
+                continue
+            after = lo + step
+            held = [words[i] for i in at[a : a + size] if i < lo + size]
+            if len(held) < max(PART, best[0] if best else 0) * n:
+                continue
+            share = lcs([mine[w] for w in held], n) / n
             if share >= PART and (best is None or share > best[0]):
-                tail = lcs(self.tail_masks[k], len(self.tails[k]), part) / len(self.tails[k])
-                if share >= WHOLE or tail >= ANSWER:
-                    best = (share, tail, lo, min(lo + size, len(words)))
+                answer = lcs([tail[w] for w in held if w in tail], m) / m
+                if share >= WHOLE or answer >= ANSWER:
+                    best = (share, answer, lo, min(lo + size, len(words)))
         return best
 
 
@@ -237,6 +260,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, answer_share, first_word, last_word) for every item found in a document."""
     idf, projection = fit(docs)
     spark = docs.sparkSession
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, share double, answer_share double, first_word bigint, last_word bigint"
     out: DataFrame | None = None
     block: list[tuple] = []
@@ -258,9 +282,13 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     s = Steps.of(p.bounds)
                     w, at = windows(step_sums(features(p.hashes), wide, s), s)
                     stretches: dict[tuple[int, int], list[list[int]]] = {}
-                    for lo in range(0, len(w), 4096):
-                        near = np.argwhere(w[lo : lo + 4096] @ items.vectors.T >= least)
-                        step, k = at[lo + near[:, 0]], items.item[near[:, 1]]
+                    rows = max(1, (1 << 21) // max(1, len(items.vectors)))
+                    for lo in range(0, len(w), rows):
+                        over = w[lo : lo + rows] @ items.vectors.T
+                        over -= least
+                        row = np.flatnonzero(over.max(1) >= 0)
+                        near = np.argwhere(over[row] >= 0)
+                        step, k = at[lo + row[near[:, 0]]], items.item[near[:, 1]]
                         d, n = s.doc[step], longest[k]
                         first, last = np.maximum(p.bounds[d], s.starts[step] - n), np.minimum(p.bounds[d + 1], s.starts[step] + STEP * STEPS + n)
                         for d_, k_, x, y in zip(d.tolist(), k.tolist(), first.tolist(), last.tolist()):
@@ -278,7 +306,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                                 best[d, k] = (got[0], got[1], off + got[2], off + got[3])
                     found += [(ids[p.first + d].as_py(), items.ids[k], *v) for (d, k), v in best.items()]
                 cols = list(zip(*found)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], pa.from_numpy_dtype(np.int64) if all(isinstance(i, int) for i in cols[1]) else None), *(pa.array(c, t) for c, t in zip(cols[2:], (pa.float64(), pa.float64(), pa.int64(), pa.int64())))], ["doc_id", "item_id", "share", "answer_share", "first_word", "last_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], item_type), *(pa.array(c, t) for c, t in zip(cols[2:], (pa.float64(), pa.float64(), pa.int64(), pa.int64())))], ["doc_id", "item_id", "share", "answer_share", "first_word", "last_word"])
 
         return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
