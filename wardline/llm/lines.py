@@ -1,11 +1,11 @@
 """Line dedup: documents that share rare line hashes are aligned pairwise by patience diff, and aligned common blocks
-are deleted from the later document (the larger doc_id).  What one alignment leaves is aligned again, so blocks in another order go too.
+are deleted from the later document (the larger doc_id).  Runs of lines that stand in both in another order go too.
 
 Keys are the shortest runs of lines of ``BLOCK_WORDS`` words that begin or end at each line, whatever the length of the lines:
 every line of a block that two documents share is in such a run within the block.  A key leads every later document to the
 first one that holds it, so a run in any number of documents makes as many pairs less one, each run keeps its first
-place, and a line goes exactly where a run of ``BLOCK_WORDS`` words around it stands in an earlier document.  Runs that an
-alignment tears apart are deleted as well.  Pairs are aligned on line hashes alone; texts are read again only where lines go.
+place, and a line goes exactly where a run of ``BLOCK_WORDS`` words around it stands in an earlier document: runs that an
+alignment misses or tears apart are looked up by their hashes and deleted as well.  Pairs are aligned on line hashes alone; texts are read again only where lines go.
 Lines are compared byte for byte; empty lines don't count.
 
 Null and empty texts, and rows without an id, stay as they are and pair with nothing; rows of one id are one document
@@ -115,7 +115,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
         for k, (_, j) in enumerate(pairs):
             n = bisect_left(tails, j)
             back.append(chain[n - 1] if n else -1)
-            tails[n:], chain[n:] = ([j], [k]) if n == len(tails) else ([j, *tails[n + 1 :]], [k, *chain[n + 1 :]])
+            tails[n : n + 1], chain[n : n + 1] = [j], [k]
         k, rising = chain[-1], []
         while k >= 0:
             rising.append(pairs[k])
@@ -137,34 +137,28 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def moved(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """Blocks of a that stand anywhere in b: aligned again and again, without what is found, until nothing is."""
-    a, out = list(a), []
-    while found := _merged(patience(a, b)):
-        out += found
-        for x, _, n in found:
-            for i in range(x, x + n):
-                a[i] = (1 << 70) + i  # equals nothing
-    return out
-
-
 def shared(a: np.ndarray, w: np.ndarray, b: np.ndarray, v: np.ndarray, block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
     """(first line, last line + 1) in a of what goes against b: aligned blocks, and runs that the alignment tears apart.
 
     a and b are line hashes, w and v the words of each line.
     """
     total = np.r_[0, np.cumsum(w, dtype=np.int64)]
-    out = [(x, x + n) for x, _, n in moved(a.tolist(), b.tolist()) if total[x + n] - total[x] >= block_words]
-    gone = np.zeros(len(a), bool)
+    out = [(x, x + n) for x, _, n in _merged(patience(a.tolist(), b.tolist())) if total[x + n] - total[x] >= block_words]
+    gone = np.zeros(len(a) + 1, np.int64)  # how many blocks begin less how many have ended
     for x, y in out:
-        gone[x:y] = True
+        gone[x] += 1
+        gone[y] -= 1
+    left = np.r_[0, np.cumsum(np.cumsum(gone)[:-1] == 0)]  # lines not in a block before each line
     h, lo, hi = _runs(a, w, block_words)
-    in_b = np.isin(h, _runs(b, v, block_words)[0])
-    for x, y in sorted(set(zip(lo[in_b].tolist(), hi[in_b].tolist()))):
-        if not gone[x:y].all():
-            gone[x:y] = True
-            out.append((x, y))
-    return out
+    more = np.flatnonzero(np.isin(h, _runs(b, v, block_words)[0]))
+    more = more[left[hi[more]] > left[lo[more]]]
+    torn: list[tuple[int, int]] = []
+    for x, y in sorted(zip(lo[more].tolist(), hi[more].tolist())):
+        if torn and x <= torn[-1][1]:
+            torn[-1] = (torn[-1][0], max(y, torn[-1][1]))
+        else:
+            torn.append((x, y))
+    return out + torn
 
 
 def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
