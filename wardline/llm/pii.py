@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.arrowtext import pieces
+from wardline.llm.arrowtext import pieces, run_hash
 from wardline.llm.common import lean, staged
 
 KINDS = ("email", "ip", "card", "phone")
@@ -101,8 +101,7 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str
             lo, hi = s + len(w) - len(re.sub(r"^\W+", "", w)), s + len(re.sub(r"\W+$", "", w))
             if hi - lo >= 4:
                 yield "", lo, hi, before, two, _hash(text[lo:hi])
-        word = m.group().lower()
-        two, before = before, (word if len(word) < 64 else "")
+        two, before = before, m.group().lower()
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -130,10 +129,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return staged(docs.select("doc_id", "text").mapInArrow(lean(run), schema))
 
 
-def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, n): how often each of the words stands anywhere in the corpus.
+def _occurrences(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(words, n): how often each of the phrases of one or two words stands anywhere in the corpus.
 
-    A bit for each of a fixed number of hash buckets tells tasks which words to count; the join then is exact.
+    A bit for each of a fixed number of hash buckets tells tasks which phrases to count; the join then is exact.
     """
     spark = docs.sparkSession
 
@@ -142,11 +141,14 @@ def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
             col = b.column(0)
             h = np.zeros(len(col), np.uint64)
             for p in pieces(col):
-                has = p.bounds[1:] > p.bounds[:-1]
-                h[p.first : p.last][has] = p.hashes[p.bounds[:-1][has]]
-            yield pa.RecordBatch.from_arrays([col, pa.array(h.view(np.int64))], ["word", "h"])
-
-    named = staged(words.select("word").mapInArrow(lean(hashed), "word string, h bigint"))
+                n = np.diff(p.bounds)
+                two = run_hash(p.hashes, 2)
+                own = h[p.first : p.last]
+                own[n == 1] = p.hashes[p.bounds[:-1][n == 1]]
+                own[n == 2] = two[p.bounds[:-1][n == 2]]
+            yield pa.RecordBatch.from_arrays([col, pa.array(h.view(np.int64))], ["words", "h"])
+
+    named = staged(phrases.select("words").mapInArrow(lean(hashed), "words string, h bigint"))
     bits = np.zeros(BUCKETS, bool)
     bits[[r[0] for r in named.select(F.pmod("h", F.lit(BUCKETS)).cast("int")).distinct().collect()]] = True
     shared = spark.sparkContext.broadcast(bits)
@@ -154,25 +156,28 @@ def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = shared.value
         for b in batches:
-            for p in pieces(b.column(0), size=1 << 22):
-                h, n = np.unique(p.hashes[on[(p.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]], return_counts=True)
+            for p in pieces(b.column(0), size=1 << 21):
+                two = run_hash(p.hashes, 2)
+                inner = p.bounds[1:-1]
+                apart = np.ones(len(two), bool)
+                apart[inner[(inner > 0) & (inner <= len(two))] - 1] = False  # the words of two documents
+                both = np.r_[p.hashes, two[apart]]
+                h, n = np.unique(both[on[(both & np.uint64(BUCKETS - 1)).astype(np.int64)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counted = docs.select("text").mapInArrow(lean(count), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return named.join(counted, "h").select("word", "n")
+    return named.join(counted, "h").select("words", "n")
 
 
 def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(doc_id, lo, hi) of the mentions that the patterns accept."""
     rows = scanned.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*")
-    one = rows.select("doc_id", "kind", "lo", "hi", "instance", F.concat(F.lit("1 "), "before").alias("pattern"), F.col("before").alias("word"))
-    two = rows.where("two <> ''").select("doc_id", "kind", "lo", "hi", "instance", F.concat(F.lit("2 "), "two", F.lit(" "), "before").alias("pattern"), F.col("before").alias("word"))
-    links = one.unionByName(two).where("word <> ''").groupBy("pattern", "word", "instance").agg((F.max("kind") != "").alias("seed"), F.count("*").alias("n"))
-    strong = links.groupBy("pattern").agg(F.first("word").alias("word"), F.count("*").alias("instances"), F.sum("n").alias("places")).where(F.col("instances") >= SUPPORT)
-    strong = staged(strong)
-    # a pattern of two words occurs at most as often as its second word; what the mentions do not account for stands against it
-    totals = _occurrences(docs, strong.select("word").distinct())
-    strong = staged(strong.join(totals, "word", "left").select("pattern", "instances", F.when(F.col("pattern").startswith("1 "), F.greatest("n", "places")).otherwise(F.greatest(F.col("places"), F.coalesce("n", "places") * F.lit(0.05))).cast("double").alias("total"), "places"))
+    patterns = F.array(F.col("before"), F.when(F.col("two") != "", F.concat_ws(" ", "two", "before")))
+    links = rows.where("before <> ''").select("kind", "instance", F.explode(patterns).alias("pattern")).where("pattern is not null").groupBy("pattern", "instance").agg((F.max("kind") != "").alias("seed"), F.count("*").alias("n"))
+    strong = staged(links.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("places")).where(F.col("instances") >= SUPPORT))
+    # places of the words that are not before a mention stand against a pattern
+    totals = _occurrences(docs, strong.select(F.col("pattern").alias("words")))
+    strong = staged(strong.join(totals, strong["pattern"] == totals["words"], "left").select("pattern", F.greatest("n", "places").cast("double").alias("total")))
     links = staged(links.join(strong, "pattern").select("pattern", "instance", "seed", (F.col("n") / F.col("total")).alias("weight")))
     scores = links.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
     for _ in range(ROUNDS):
