@@ -1,12 +1,13 @@
 """Quality classifier: compression with zstandard dictionaries built from good and from bad labelled text.
 
-Texts are cut into blocks, and every block is compressed against either dictionary.  Features of a text are the
+Texts are cut into blocks, however long they are, and every block is compressed against either dictionary.  All blocks of the sampled
+texts train the dictionaries; where they are too few to train on, they are the dictionaries.  Features of a text are the
 compressed-size difference over the sum of both sizes, both sizes over the text's length, and the largest and
 smallest difference of a block (junk may fill only a part).  A logistic calibration over labelled rows that neither
 dictionary saw turns them into a score.
 
 Null and empty texts have the features of nothing and so get a defined score between 0 and 1; repeated rows score
-alike; without labels of both classes the score is the share of good labels (0.5 without any).  Extra columns of
+alike; an empty table gives an empty result; without labels of both classes the score is the share of good labels (0.5 without any).  Extra columns of
 the input are ignored.
 """
 
@@ -28,8 +29,6 @@ from wardline.llm.labelled import Logistic, held_out, prior_weights, sample
 BLOCK = 2048
 #: Labelled rows of either class that a model learns from at most: half build the dictionaries, half calibrate.
 PER_CLASS = 4000
-#: Blocks of one text, spread over all of it, that go into a dictionary's sample.
-BLOCKS_EACH = 4
 DICTIONARY = 96 << 10
 THRESHOLD = 0.7
 
@@ -54,7 +53,7 @@ def dictionary(samples: list[bytes]) -> tuple[bytes, bool]:
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, level=3).as_bytes(), False
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY:], True
+        return b"".join(samples), True
 
 
 def compressors(model: Model) -> list[zstandard.ZstdCompressor]:
@@ -98,10 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         for b in batches:
             ys, parts = [], []
             for y, t in zip(b.column("y").to_pylist(), b.column("text")):
-                all_ = blocks(t.as_py().encode())
-                for i in range(min(BLOCKS_EACH, len(all_))):
-                    ys.append(y)
-                    parts.append(all_[i * len(all_) // min(BLOCKS_EACH, len(all_))])
+                own = blocks(t.as_py().encode())
+                ys += [y] * len(own)
+                parts += own
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(parts, pa.binary())], ["y", "part"])
 
     for r in rows.where("_half = 0").select("y", "text").mapInArrow(lean(spread), schema).toLocalIterator():
@@ -110,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         return Model(b"", b"", True, None, share)
     (good, raw_g), (bad, raw_b) = dictionary(got[1]), dictionary(got[0])
     if raw_g != raw_b:  # both of one kind
-        good, bad, raw_g = b"".join(got[1])[-DICTIONARY:], b"".join(got[0])[-DICTIONARY:], True
+        good, bad, raw_g = b"".join(got[1]), b"".join(got[0]), True
     model = Model(good, bad, raw_g, None, share)
     seen = _features(rows.where("_half = 1"), model, "y").collect()
     y = np.array([r["y"] for r in seen], float)
