@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -221,13 +222,29 @@ def test_ngram_join_odd(spark, odd, empty):
 def test_patience_and_moved_blocks():
     assert lines.patience([1, 2, 3, 4, 9, 5], [7, 1, 2, 3, 8, 4, 5]) == [(0, 1, 3), (3, 5, 1), (5, 6, 1)]
     rng = random.Random(1)
+    signs = [rng.getrandbits(62) for _ in range(8)]
     for _ in range(300):
-        a, b = ([rng.randrange(8) for _ in range(rng.randrange(14))] for _ in range(2))
+        a, b = ([signs[rng.randrange(8)] for _ in range(rng.randrange(14))] for _ in range(2))
         found = lines.patience(a, b)
         assert all(a[x : x + n] == b[y : y + n] and n > 0 for x, y, n in found)
         assert all(p[0] + p[2] <= q[0] and p[1] + p[2] <= q[1] for p, q in zip(found, found[1:]))
-        gone = {i for x, _, n in lines.moved(a, b) for i in range(x, x + n)}
-        assert gone == {i for i, v in enumerate(a) if v in b}
+        w = [np.array([rng.choice([1, 3, 9]) for _ in s]) for s in (a, b)]
+        ha, hb = (np.array(s, np.int64).reshape(-1) for s in (a, b))
+        words = {v: k for v, k in zip(a, w[0])}
+        w[0], w[1] = (np.array([words.get(v, 2) for v in s], np.int64) for s in (a, b))
+        gone = {i for x, y in lines.shared(ha, w[0], hb, w[1], 8) for i in range(x, y)}
+        inside = {tuple(b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1)}
+        assert gone == {i for x in range(len(a)) for y in range(x + 1, len(a) + 1) if tuple(a[x:y]) in inside and w[0][x:y].sum() >= 8 for i in range(x, y)}
+
+
+def test_long_sequences_in_another_order_take_no_square():
+    a = np.random.RandomState(2).randint(1, 1 << 62, 20_000)
+    w = np.full(len(a), 8)
+    start = time.process_time()
+    got = lines.shared(a, w, a[::-1].copy(), w)
+    mixed = lines.shared(a, w, np.random.RandomState(3).permutation(a), w)
+    assert time.process_time() - start < 20
+    assert all({i for x, y in g for i in range(x, y)} == set(range(len(a))) for g in (got, mixed))
 
 
 def test_line_dedup(spark, odd, empty):
@@ -406,6 +423,33 @@ def test_short_items_inside_longer_texts(spark):
     assert len(texts) == 240 and len(missed) <= 12, sorted(missed)
 
 
+def test_paraphrases(spark):
+    """Items of which a fifth to two fifths of the words are replaced: of what alignment at every word accepts, at least 0.9 is found."""
+    rng = random.Random(14)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 1500").orderBy("doc_id").limit(240)
+    texts = [r["text"].split() for r in d.collect()]
+    vocabulary = sorted({w for t in texts for w in t if w.isascii() and w.isalpha()})
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(15 + i % 45))) for i in range(240)]
+    for (i, item), t in zip(items, texts):
+        at = rng.randrange(len(t))
+        t[at:at] = [rng.choice(vocabulary) if rng.random() < 0.2 + 0.1 * (i % 3) else w for w in item.split()]
+    found = latent.search(docs_of(spark, [" ".join(t) for t in texts]), spark.createDataFrame(items, "item_id int, text string"))
+    assert found.schema["item_id"].dataType.simpleString() == "int"
+    found = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    hashes = lambda t: np.concatenate([p.hashes for p in pieces(pa.array([t]), latent.APART)])
+    whole = latent.Verifier(latent.Items([i for i, _ in items], [hashes(t) for _, t in items], None, None))
+    truth = {(i, i) for i, t in enumerate(texts) if whole.check(i, hashes(" ".join(t)))}
+    assert len(truth) > 180 and len(found & truth) >= 0.9 * len(truth) and len(found - truth) <= 2, (len(truth), len(found & truth))
+
+
+def test_item_ids_of_any_type(spark):
+    docs = docs_of(spark, ["one two three four five six seven eight nine ten eleven twelve"])
+    for kind, i in (("string", "a"), ("int", 3), ("smallint", 3), ("decimal(5,0)", None)):
+        bench = spark.createDataFrame([(i, "three four five six seven eight nine ten"), (i, None), (i, "..")], f"item_id {kind}, text string")
+        got = latent.search(docs, bench).collect()
+        assert [r["item_id"] for r in got] == [i] and got[0]["share"] == 1
+
+
 def test_stretch_is_aligned_whenever_it_can_agree():
     """A stretch with six of ten words, all common, is aligned although their weight is small."""
     words = np.arange(1, 11).astype(np.uint64)
@@ -426,7 +470,7 @@ def test_lcs():
 
     for _ in range(300):
         a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 30))] for _ in range(2))
-        assert latent.lcs(latent.masks(np.array(a, np.uint64)), len(a), b) == plain(a, b)
+        assert latent.lcs([m[x] for x in b if x in (m := latent.masks(np.array(a, np.uint64)))], len(a)) == plain(a, b)
 
 
 # ---- 2 ----
