@@ -1,6 +1,7 @@
 """Truth tables of the rule language, in columns and in single values."""
 
 import itertools
+import ipaddress
 import random
 
 import pytest
@@ -126,3 +127,37 @@ def test_fan_out(spark):
     mixed = _directive(rules=[Rule(1, plugin_id=1001, plugin_sid=[5]), Rule(2, type="TaxonomyRule", product=["IDS"], category="error")])
     taxonomy = _directive(id=2, rules=[Rule(1, type="TaxonomyRule", product=["IDS"], category="error")])
     assert sorted((r["directive_id"], r["plugin_sid"]) for r in fan_out(e, [mixed, taxonomy]).collect()) == [(1, 5), (2, 5), (2, 9)]
+
+
+def test_ipv6_columns(spark):
+    rng = random.Random(6)
+    texts = ["::", "::1", "1::", "2002:c0a8:1::1", "fe80::1", "FC00::a", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4"]
+    texts += [":", "", ":::", "1:2", "1:2:3:4:5:6:7:8:9", "1::2::3", "12345::", "g::", "1:2:3:4:5:6:7:8::", "::1.2.3", "::1.2.3.456", "1.2.3.4", "x", ":1::2", "1::2:", "::1.2.3.4:5"]
+    texts += [str(ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([-1, ~(((1 << 64) - 1) << 32), (1 << 40) - 1]))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", net.ip6_to_hex("ip").alias("h"), net.is_private("ip").alias("p")).collect()
+    for r in rows:
+        a = net.address(r["ip"])
+        assert r["h"] == (f"{a[1]:032x}" if a and a[0] == 6 else None), r["ip"]
+        assert r["p"] == net.is_private_any(r["ip"]), r["ip"]
+    lists = ["2002:c0a8:1::/48", "!fe80::/10", "::/0", "!1.2.3.0/24,2002::1", "fe80::/10,bad,!::/0"]
+    rows = spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", *(net.address_in_list("ip", c).alias(str(k)) for k, c in enumerate(lists))).collect()
+    assert all(r[k + 1] == match.address_in_list(r["ip"], c) for r in rows for k, c in enumerate(lists))
+
+
+def test_ipv6_assets_both_plans(spark, sf):
+    from wardline.operators import assets
+    from wardline.plans import catalogue
+
+    made = catalogue.queries()["event_asset_v6"](spark, sf).count()
+    one = assets.Assets(catalogue._V6)
+    ips = catalogue._six(spark, sf).select("ip").distinct()
+    joined = {r["ip"]: tuple(r)[1:] for r in assets.lookup(ips, assets.asset_table(spark, catalogue._V6)).drop("whitelisted").collect()}
+    inline = {r["ip"]: tuple(r)[1:] for r in ips.select("ip", one.home("ip"), one.value("ip"), one.name("ip"), one.networks("ip")).collect()}
+    assert made and joined == inline and any(v[2] for v in inline.values())
+
+
+def test_keys_are_split_only_where_that_is_sound(spark):
+    from wardline.plans.directives import Directive, Rule, names_v6
+
+    d = lambda to: Directive(1, "n", 1, "k", "c", [Rule(1, from_="ANY", to=to), Rule(2, from_=":1", to=":1")])
+    assert [names_v6([d(x)]) for x in ("ANY", "10.0.0.0/8, 1.2.3.4", "10.0.0.1, 2002::/16", "!::1")] == [False, False, True, True]

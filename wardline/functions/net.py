@@ -1,7 +1,7 @@
 """IP addresses as columns: numeric forms, CIDR bounds, private ranges, address lists.
 
-IPv4 addresses are LONG columns (native, foldable); IPv6 goes through ``ipaddress`` in one Arrow-batched function that
-is only planned where a caller asks for it.
+IPv4 addresses are LONG columns, IPv6 ones strings of 32 lower-case hexadecimal digits, which compare like the numbers
+they stand for.  Both are built-in expressions, so a filter on them stays in the JVM.
 """
 
 from __future__ import annotations
@@ -27,6 +27,26 @@ def ip_to_long(ip: Column | str) -> Column:
     return F.when(ip.rlike(V4) & (F.greatest(*octets) <= 255), value)
 
 
+def ip6_to_hex(ip: Column | str) -> Column:
+    """An IPv6 address as 32 hexadecimal digits; NULL for anything else."""
+    ip = F.lower(F.col(ip) if isinstance(ip, str) else ip)
+    last = F.substring_index(ip, ":", -1)
+    v4 = ip_to_long(last)
+    low = F.lower(F.lpad(F.hex(v4), 8, "0"))
+    # a last part in IPv4 form is two groups
+    text = F.when(F.contains(last, F.lit(".")), F.concat(F.left(ip, F.length(ip) - F.length(last)), F.left(low, F.lit(4)), F.lit(":"), F.right(low, F.lit(4)))).otherwise(ip)
+    gap = F.instr(text, "::")
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    a = groups(F.when(gap > 0, F.substring_index(text, "::", 1)).otherwise(text))
+    b = groups(F.when(gap > 0, F.substring_index(text, "::", -1)).otherwise(F.lit("")))
+    held = F.size(a) + F.size(b)
+    wide = lambda x: F.array_join(F.transform(x, lambda g: F.lpad(g, 4, "0")), "")
+    value = F.concat(wide(a), F.repeat(F.lit("0"), 4 * (8 - held)), wide(b))
+    # no group is empty but for the gap, which stands for one at least
+    plain = text.rlike("^[0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}$") | (text.rlike("^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$") & (held <= 7))
+    return F.when(F.contains(ip, F.lit(":")) & F.coalesce(plain, F.lit(False)), value)
+
+
 @dataclass(frozen=True)
 class Net:
     """A network, by its bounds as integers; version 4 or 6."""
@@ -63,21 +83,23 @@ def items(csv: str) -> list[tuple[bool, str]]:
     return [(w.startswith("!"), w[1:].strip() if w.startswith("!") else w) for w in csv.replace(",", " ").split()]
 
 
+def holds(n: Net, ip: Column | str) -> Column:
+    """Is an address in a network?  NULL or FALSE for what is no address of its version."""
+    return ip_to_long(ip).between(n.lo, n.hi) if n.version == 4 else ip6_to_hex(ip).between(f"{n.lo:032x}", f"{n.hi:032x}")
+
+
 def in_nets(ip: Column | str, cidrs: tuple[str, ...] | list[str]) -> Column:
-    """Is an IPv4 address in any of the networks?  FALSE for what is no IPv4 address."""
-    v = ip_to_long(ip)
+    """Is an address in any of the networks?  FALSE for what is no address."""
     found = F.lit(False)
-    for c in cidrs:
-        n = net(c)
-        if n and n.version == 4:
-            found = found | v.between(n.lo, n.hi)
-    return F.coalesce(found, F.lit(False))
+    for n in map(net, cidrs):
+        if n:
+            found = found | F.coalesce(holds(n, ip), F.lit(False))
+    return found
 
 
 def is_private(ip: Column | str) -> Column:
-    """NULL where the text is no IPv4 address."""
-    v = ip_to_long(ip)
-    return F.when(v.isNotNull(), in_nets(ip, PRIVATE_V4))
+    """NULL where the text is no address."""
+    return F.when(ip_to_long(ip).isNotNull(), in_nets(ip, PRIVATE_V4)).when(ip6_to_hex(ip).isNotNull(), in_nets(ip, PRIVATE_V6))
 
 
 def is_private_any(ip: str) -> bool | None:
@@ -87,20 +109,19 @@ def is_private_any(ip: str) -> bool | None:
 
 
 def address_in_list(ip: Column | str, csv: str) -> Column:
-    """A rule's address list over an IPv4 column.
+    """A rule's address list over a column of addresses.
 
     The first item that holds the address decides; without one, the list passes if it has a negated item.  An item
     that can't be read fails the address where it is reached, and what is no address never passes.
     """
-    v = ip_to_long(ip)
     out, rest = None, any(neg for neg, _ in items(csv))
     for neg, text in items(csv):
         n = net(text)
         if n is None:
             rest = False
             break
-        if n.version == 4:
-            hit = v.between(n.lo, n.hi)
-            out = F.when(hit, F.lit(not neg)) if out is None else out.when(hit, F.lit(not neg))
-    passed = F.lit(rest) if out is None else out.otherwise(F.lit(rest))
-    return F.coalesce(v.isNotNull() & passed, F.lit(False))
+        hit = holds(n, ip)
+        out = F.when(hit, F.lit(not neg)) if out is None else out.when(hit, F.lit(not neg))
+    # where nothing holds it, a list with a negated item passes what is an address
+    left = (ip_to_long(ip).isNotNull() | ip6_to_hex(ip).isNotNull()) if rest else F.lit(False)
+    return F.coalesce(left if out is None else out.otherwise(left), F.lit(False))

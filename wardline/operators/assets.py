@@ -2,7 +2,7 @@
 
 Two plans.  A handful of assets (``INLINE`` at most) become column expressions, which cost no join.  More are joined
 by equality on (prefix length, network): each distinct address is masked once for every prefix length in use, so
-the work does not grow with the number of assets, and no nested loop is planned.
+the work does not grow with the number of assets, and no nested loop is planned.  Both address versions.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import ipaddress
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.net import ip_to_long, net
+from wardline.functions.net import holds, ip6_to_hex, ip_to_long, net
 from wardline.schemas import ASSET
 
 INLINE = 64
@@ -33,10 +33,9 @@ def validate_assets(rows: list[dict]) -> list[str]:
 
 
 def asset_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Assets with numeric bounds; v6 networks have none and are looked up by name of their text form only."""
-    bounds = {r["cidr"]: net(r["cidr"]) for r in rows}
-    table = [(r["name"], r["cidr"], int(r["value"]), bool(r.get("whitelisted")), *((n.lo, n.hi, n.prefix) if (n := bounds[r["cidr"]]) and n.version == 4 else (None, None, None))) for r in rows]
-    return spark.createDataFrame(table, ASSET.simpleString()[7:-1].replace(":", " ") + ", lo bigint, hi bigint, prefix int")
+    """Assets with their version, prefix length and first address: a number for IPv4 and 32 hexadecimal digits for IPv6, as text."""
+    table = [(r["name"], r["cidr"], int(r["value"]), bool(r.get("whitelisted")), n.version, n.prefix, str(n.lo) if n.version == 4 else f"{n.lo:032x}") for r in rows if (n := net(r["cidr"]))]
+    return spark.createDataFrame(table, ASSET.simpleString()[7:-1].replace(":", " ") + ", version int, prefix int, lo string")
 
 
 class Assets:
@@ -45,15 +44,14 @@ class Assets:
     def __init__(self, rows: list[dict]):
         if len(rows) > INLINE:
             raise ValueError(f"{len(rows)} assets: join the table with `lookup` instead")
-        self.rows = [(r, net(r["cidr"])) for r in rows]
-        self.v4 = [(r, n) for r, n in self.rows if n and n.version == 4]
+        self.rows = [(r, n) for r in rows if (n := net(r["cidr"]))]
 
     def _any(self, ip: str, keep) -> Column:
-        v, out = ip_to_long(ip), F.lit(False)
-        for r, n in self.v4:
+        out = F.lit(False)
+        for r, n in self.rows:
             if keep(r):
-                out = out | v.between(n.lo, n.hi)
-        return F.coalesce(out, F.lit(False))
+                out = out | F.coalesce(holds(n, ip), F.lit(False))
+        return out
 
     def home(self, ip: str) -> Column:
         return self._any(ip, lambda r: not r.get("whitelisted"))
@@ -62,21 +60,19 @@ class Assets:
         return self._any(ip, lambda r: r.get("whitelisted"))
 
     def value(self, ip: str) -> Column:
-        v = ip_to_long(ip)
-        values = [F.when(v.between(n.lo, n.hi), F.lit(int(r["value"]))).otherwise(0) for r, n in self.v4]
+        values = [F.when(holds(n, ip), F.lit(int(r["value"]))).otherwise(0) for r, n in self.rows]
         return F.greatest(F.lit(0), F.lit(0), *values)
 
     def name(self, ip: str) -> Column:
         out = F.lit("")
         for r, n in reversed(self.rows):
-            if n and n.lo == n.hi:
-                out = F.when(F.col(ip) == r["cidr"].partition("/")[0], F.lit(r["name"])).otherwise(out)
+            if n.lo == n.hi:
+                out = F.when(holds(n, ip), F.lit(r["name"])).otherwise(out)
         return out
 
     def networks(self, ip: str) -> Column:
         """Networks that hold the address, without single hosts, sorted."""
-        v = ip_to_long(ip)
-        found = [F.when(v.between(n.lo, n.hi), F.lit(r["cidr"])) for r, n in self.v4 if n.lo != n.hi]
+        found = [F.when(holds(n, ip), F.lit(r["cidr"])) for r, n in self.rows if n.lo != n.hi]
         return F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))) if found else F.array().cast("array<string>")
 
     def with_lookups(self, events: DataFrame) -> DataFrame:
@@ -85,16 +81,27 @@ class Assets:
 
 def lookup(ips: DataFrame, assets: DataFrame, ip: str = "ip") -> DataFrame:
     """(ip, home, whitelisted, value, name, networks) of each distinct address, by equality joins."""
-    lengths = [r[0] for r in assets.where("prefix is not null").select("prefix").distinct().collect()]  # 33 at most
-    one = ips.select(F.col(ip).alias("ip")).distinct().withColumn("v", ip_to_long("ip"))
-    masks = F.array(*(F.struct(F.lit(p).alias("prefix"), (F.floor(F.col("v") / (1 << (32 - p))) * (1 << (32 - p))).cast("bigint").alias("lo")) for p in lengths))
-    hit = one.where("v is not null").select("ip", F.explode(masks).alias("m")).select("ip", "m.prefix", "m.lo") if lengths else one.select("ip", F.lit(-1).alias("prefix"), F.lit(0).cast("bigint").alias("lo"))
-    found = hit.join(assets.where("prefix is not null"), ["prefix", "lo"]).groupBy("ip").agg(
+    lengths = [(r["version"], r["prefix"]) for r in assets.select("version", "prefix").distinct().collect()]  # 33 and 129 at most
+    one = ips.select(F.col(ip).alias("ip")).distinct().withColumns({"v": ip_to_long("ip"), "h": ip6_to_hex("ip") if any(v == 6 for v, _ in lengths) else F.lit(None).cast("string")})
+
+    def first(version: int, p: int) -> Column:
+        """The first address of the network of p bits that the address is in, as text."""
+        if version == 4:
+            return (F.floor(F.col("v") / (1 << (32 - p))) * (1 << (32 - p))).cast("bigint").cast("string")
+        whole, rest = divmod(p, 4)
+        digit = F.conv(F.substring("h", whole + 1, 1), 16, 10).cast("int")
+        part = F.lower(F.hex((F.floor(digit / (1 << (4 - rest))) * (1 << (4 - rest))).cast("bigint"))) if rest else F.lit("")
+        return F.rpad(F.concat(F.left("h", F.lit(whole)), part), 32, "0")
+
+    masks = [F.when(F.col("v" if v == 4 else "h").isNotNull(), F.struct(F.lit(v).alias("version"), F.lit(p).alias("prefix"), first(v, p).alias("lo"))) for v, p in lengths]
+    hit = one.select("ip", F.explode(F.array_compact(F.array(*masks))).alias("m")).select("ip", "m.*") if lengths else one.selectExpr("ip", "0 as version", "0 as prefix", "'' as lo")
+    host = F.col("prefix") == F.when(F.col("version") == 4, 32).otherwise(128)
+    found = hit.join(assets, ["version", "prefix", "lo"]).groupBy("ip").agg(
         F.max(~F.coalesce("whitelisted", F.lit(False))).alias("home"),
         F.max(F.coalesce("whitelisted", F.lit(False))).alias("whitelisted"),
         F.max("value").alias("value"),
-        F.max(F.when(F.col("prefix") == 32, F.col("name"))).alias("name"),
-        F.array_sort(F.collect_set(F.when(F.col("prefix") < 32, F.col("cidr")))).alias("networks"),
+        F.max(F.when(host, F.col("name"))).alias("name"),
+        F.array_sort(F.collect_set(F.when(~host, F.col("cidr")))).alias("networks"),
     )
     return one.join(found, "ip", "left").select("ip", F.coalesce("home", F.lit(False)).alias("home"), F.coalesce("whitelisted", F.lit(False)).alias("whitelisted"), F.coalesce("value", F.lit(0)).alias("value"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("networks", F.array().cast("array<string>")).alias("networks"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators import machine
-from wardline.plans.directives import Directive, correlation_key, fan_out
+from wardline.plans.directives import Directive, correlation_key, fan_out, names_v6, pinned
 from wardline.schemas import OUTPUT
 
 FIELDS = "event_id ts_unix plugin_id plugin_sid product category subcategory src_ip dst_ip src_port dst_port custom_data1 custom_data2 custom_data3 custom_label1 custom_label2 custom_label3 src_home dst_home src_value dst_value src_name dst_name".split()
@@ -38,8 +38,19 @@ def _rows(pdf: pd.DataFrame) -> Iterator[tuple[int, dict]]:
         yield int(r["seq"]), r
 
 
-def correlate(events: DataFrame, directives: list[Directive], life_minutes: int = 0, unique_ids: bool = True, v6: bool = False) -> DataFrame:
-    """Alarm events and alarm upserts (schema OUTPUT) of normalised events with seq, ts_unix and asset lookups."""
+def ids_are_unique(events: DataFrame) -> bool:
+    return events.groupBy("event_id").count().where("count > 1").isEmpty()
+
+
+def correlate(events: DataFrame, directives: list[Directive], life_minutes: int = 0, unique_ids: bool | None = None, v6: bool | None = None) -> DataFrame:
+    """Alarm events and alarm upserts (schema OUTPUT) of normalised events with seq, ts_unix and asset lookups.
+
+    Work is split by pinned fields only where that is sound.  unique_ids and v6 (a rule names an IPv6 network) say so; left
+    out, ids are counted and the rules read.
+    """
+    v6 = names_v6(directives) if v6 is None else v6
+    if unique_ids is None:
+        unique_ids = not v6 and any(map(pinned, directives)) and ids_are_unique(events)
     by_id = {d.id: d for d in directives}
     rows = keyed(events, directives, unique_ids, v6)
     clock = rows.groupBy("directive_id").agg(F.max("ts_unix").alias("clock"))

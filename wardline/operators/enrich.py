@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +102,10 @@ class NessusProvider(VulnProvider):
         return scan_results(read_nessus(spark, self.config["path"]))
 
 
+#: Seconds that one call of a checker may take.
+DEADLINE = 5.0
+
+
 def vulnerabilities_of(scans: DataFrame, host: str, port: int) -> DataFrame:
     """(cve, risk, name) of one service: what the scanner's lookup answers."""
     return scans.where((F.col("Host") == host) & (F.col("Port") == port)).select(F.col("CVE").alias("cve"), F.col("Risk").alias("risk"), F.col("Name").alias("name"))
@@ -147,17 +152,27 @@ def attach(alarms: DataFrame, hits: DataFrame, column: str) -> DataFrame:
     return alarms.join(per, "alarm_id", "left")
 
 
-def check_each(terms: DataFrame, check: Callable[[str], list[tuple[str, str]]], column: str = "term") -> DataFrame:
-    """(term, provider, result) from a checker that must be called for each term: distinct terms, errors are skipped."""
+def check_each(terms: DataFrame, check: Callable[[str], list[tuple[str, str]]], column: str = "term", seconds: float = DEADLINE) -> DataFrame:
+    """(term, provider, result, error) from a checker that must be called for each distinct term.
+
+    A call that fails, or takes more than so many seconds, gives a row with the error and no result, so that a
+    service that is down does not look like one that found nothing; ``error is null`` are the hits.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = ThreadPoolExecutor(1)
         for b in batches:
             rows = []
             for t in b[column]:
+                call = pool.submit(check, t)
                 try:
-                    rows += [(t, p, r) for p, r in check(t)]
-                except Exception:  # noqa: BLE001  a checker that fails finds nothing
-                    continue
-            yield pd.DataFrame(rows, columns=["term", "provider", "result"])
-
-    return terms.select(column).distinct().mapInPandas(run, "term string, provider string, result string")
+                    rows += [(t, p, r, None) for p, r in call.result(seconds)]
+                except Exception as e:  # noqa: BLE001  told to the caller
+                    rows.append((t, None, None, f"{type(e).__name__}: {e}".strip(": ")))
+                    if not call.done():  # the thread hangs; a new one takes the next term
+                        pool.shutdown(wait=False)
+                        pool = ThreadPoolExecutor(1)
+            yield pd.DataFrame(rows, columns=["term", "provider", "result", "error"])
+        pool.shutdown(wait=False)
+
+    return terms.select(column).distinct().mapInPandas(run, "term string, provider string, result string, error string")

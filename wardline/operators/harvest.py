@@ -14,22 +14,23 @@ def _top_titles(rows: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title").limit(most)
 
 
-def _most_common(rows: DataFrame, column: str) -> DataFrame:
-    """The value of a column that stands most often beside each title; the smallest of those that tie."""
-    by = rows.groupBy("title", column).agg(F.count("*").alias("k"))
+def _most_common(rows: DataFrame, top: DataFrame, column: str) -> DataFrame:
+    """The value of a column that stands most often beside each of the top titles; the smallest of those that tie."""
+    by = rows.join(F.broadcast(top.select("title")), "title", "left_semi")  # as many as a report has
+    by = by.groupBy("title", column).agg(F.count("*").alias("k"))
     return by.groupBy("title").agg(F.min(F.struct((-F.col("k")).alias("k"), F.col(column)))[column].alias(column))
 
 
 def collect_pairs(rows: DataFrame, most: int = TITLES) -> DataFrame:
     """(title, n, sid, category): the most frequent titles, each with its most common SID and category."""
     top = _top_titles(rows, most)
-    return top.join(_most_common(rows, "sid"), "title").join(_most_common(rows, "category"), "title")
+    return top.join(_most_common(rows, top, "sid"), "title").join(_most_common(rows, top, "category"), "title")
 
 
 def collect_titles(rows: DataFrame, first_sid: int = 1, most: int = TITLES) -> DataFrame:
     """(title, n, category, sid): the most frequent titles, numbered in order."""
     top = _top_titles(rows, most).withColumn("sid", (F.row_number().over(Window.orderBy(F.desc("n"), "title")) + (first_sid - 1)).cast("int"))
-    return top.join(_most_common(rows, "category"), "title").select("title", "n", "category", "sid")
+    return top.join(_most_common(rows, top, "category"), "title").select("title", "n", "category", "sid")
 
 
 def exists(rows: DataFrame, column: str) -> bool:

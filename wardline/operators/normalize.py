@@ -75,10 +75,12 @@ def identified(raw: DataFrame, m: PluginMapping) -> DataFrame:
     return raw.where(m.where) if m.where else raw
 
 
-def normalize(raw: DataFrame, m: PluginMapping, seed: str = "wardline") -> DataFrame:
+def normalize(raw: DataFrame, m: PluginMapping, seed: str = "wardline", position: tuple[str, ...] = ()) -> DataFrame:
     """Events of the plugin's rows: only the columns of an event, typed, titles translated to SIDs where they are listed.
 
-    Event ids are digests of the row, so that a run can be repeated; a missing address is 0.0.0.0.
+    Event ids are digests, so that a run can be repeated, of the row, and of where it comes from: columns of the source that
+    tell equal rows apart, such as file and line or partition and offset.  Without any, equal rows share an id.
+    A missing address is 0.0.0.0.
     """
     if lacking := m.missing(raw):
         raise ValueError(f"the data have no field {lacking[0]!r}")
@@ -101,13 +103,13 @@ def normalize(raw: DataFrame, m: PluginMapping, seed: str = "wardline") -> DataF
             own[f"custom_label{k}"] = F.when(own[f"custom_data{k}"] == "", "").otherwise(own[f"custom_label{k}"])
     for ip in ("src_ip", "dst_ip"):
         own[ip] = F.when(own[ip] == "", "0.0.0.0").otherwise(own[ip])
-    picked = out.select(*(c.alias(n) for n, c in own.items()))
+    picked = out.select(*(c.alias(n) for n, c in own.items()), *(F.col(c).cast("string").alias(f"_at{k}") for k, c in enumerate(position)))
     if m.sids:
         picked = picked.where("plugin_sid <> 0")
     for g in m.custom:
         picked = inject_custom(picked, g["sids"], g["pairs"])
     body = [c for c in picked.columns if c != "event_id"]
-    return picked.withColumn("event_id", F.left(F.sha2(F.concat_ws("\u0001", F.lit(seed), *body), 256), F.lit(32)))
+    return picked.withColumn("event_id", F.left(F.sha2(F.concat_ws("\u0001", F.lit(seed), *body), 256), F.lit(32))).drop(*(f"_at{k}" for k in range(len(position))))
 
 
 def inject_custom(events: DataFrame, sids: list[int], pairs: list[tuple[str, str]]) -> DataFrame:

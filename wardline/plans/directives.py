@@ -256,6 +256,12 @@ def pinned(d: Directive) -> tuple[str, ...]:
     return tuple(out)
 
 
+def names_v6(directives: list[Directive]) -> bool:
+    """Does a rule's address list hold an IPv6 network?"""
+    lists = (x for d in directives for r in d.rules for x in (r.from_, r.to))
+    return any(n.version == 6 for x in lists if ":" in x and not _REFERENCE.match(x) for n in (net.net(v) for _, v in net.items(x)) if n)
+
+
 def correlation_key(directives: list[Directive], unique_ids: bool = True, v6: bool = False) -> Column:
     """The key within a directive: its pinned columns, or a constant.
 

@@ -125,7 +125,7 @@ def parse_tsv(text: str, defaults: dict[str, str] | None = None) -> list[dict]:
 def write_by_day(table: DataFrame, path: str, seconds: str) -> None:
     """Parquet by day of an epoch column; only the days written are replaced."""
     day = F.date_format(F.timestamp_seconds(F.col(seconds)), "yyyy-MM-dd")
-    table.withColumn("day", day).repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    table.withColumn("day", day).hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def tagged(spark: SparkSession, path: str, schema: str, application: str, kind: str) -> DataFrame:

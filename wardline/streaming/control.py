@@ -1,68 +1,14 @@
-"""Flow control: an adaptive rate for source options, a held overload signal, and progress metrics."""
+"""Metrics: progress of streaming queries, rates and delays."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 
-@dataclass
-class AdaptiveRate:
-    """Events a second, from the middle of a range: a hundredth of the range up when calm, a tenth down under load."""
-
-    low: int
-    high: int
-    rate: float = field(init=False)
-
-    def __post_init__(self):
-        if not 0 < self.low <= self.high:
-            raise ValueError("low must be above 0 and at most high")
-        self.rate = self.high - (self.high - self.low) / 2
-
-    def calm(self) -> float:
-        self.rate = min(self.high, self.rate + 0.01 * (self.high - self.low))
-        return self.rate
-
-    def overloaded(self) -> float:
-        self.rate = max(self.low, self.rate - 0.1 * (self.high - self.low))
-        return self.rate
-
-    def source_options(self, trigger_seconds: float) -> dict[str, str]:
-        """For the next start of a query whose source takes a limit by trigger."""
-        return {"maxOffsetsPerTrigger": str(max(1, round(self.rate * trigger_seconds)))}
-
-
-@dataclass
-class HoldSignal:
-    """True from a signal on until ``hold`` seconds have passed without one."""
-
-    hold: float
-    last: float | None = None
-
-    def signal(self, now: float) -> None:
-        self.last = now
-
-    def on(self, now: float) -> bool:
-        return self.last is not None and now - self.last < self.hold
-
-
-class OverloadManager:
-    """Moves a rate once in every second tick, down while the signal holds and up otherwise."""
-
-    def __init__(self, rate: AdaptiveRate, signal: HoldSignal):
-        self.rate, self.signal, self._ticks = rate, signal, 0
-
-    def tick(self, now: float) -> float:
-        self._ticks += 1
-        if self._ticks % 2 == 0:
-            return self.rate.overloaded() if self.signal.on(now) else self.rate.calm()
-        return self.rate.rate
-
-
 class Watchdog(StreamingQueryListener):
     """Keeps the last progress of each query: input rate, rows kept in state and dropped late, and delay as observed."""
 

@@ -14,8 +14,12 @@ from wardline.streaming.stream import correlate_stream
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wardline-")
+    """A new folder below spark.checkpoint.dir; where that is unset, on one machine only, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="wardline-")
     return f"{base.rstrip('/')}/replay-{uuid.uuid4().hex}"
 
 
@@ -27,7 +31,7 @@ def stream_links(spark: SparkSession, events: DataFrame, directives: list[Direct
     for i in range(parts):  # one file each, so that a trigger of one file is one part
         events.where(slot == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    found = correlate_stream(source, directives)
+    found = correlate_stream(source, directives, unique_ids=True)
     q = found.where("kind = 'event'").select("alarm_id", "directive_id", "stage", "event_id").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
@@ -36,6 +40,6 @@ def stream_links(spark: SparkSession, events: DataFrame, directives: list[Direct
 
 def differences(spark: SparkSession, events: DataFrame, directives: list[Directive]) -> DataFrame:
     """(side, alarm_events): how many links one side has alone."""
-    a, b = alarm_events(correlate(events, directives)), stream_links(spark, events, directives)
+    a, b = alarm_events(correlate(events, directives, unique_ids=True)), stream_links(spark, events, directives)
     only = lambda x, y, side: x.exceptAll(y).agg(F.count("*").alias("alarm_events")).select(F.lit(side).alias("side"), "alarm_events")
     return only(a, b, "batch").union(only(b, a, "stream"))

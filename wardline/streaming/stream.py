@@ -14,18 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline.operators import machine
-from wardline.operators.correlate import FIELDS, keyed, records
-from wardline.plans.directives import Directive
+from wardline.operators.correlate import keyed, records
+from wardline.plans.directives import Directive, names_v6
 from wardline.schemas import OUTPUT
 
 #: Allowed lateness: no less than the machine's own slack.
 WATERMARK = "10 seconds"
 
 
-def correlate_stream(events: DataFrame, directives: list[Directive], life_minutes: int = 0, watermark: str = WATERMARK, unique_ids: bool = True) -> DataFrame:
-    """Alarm events and alarm upserts (schema OUTPUT) of a stream of normalised events with ts, seq and lookups."""
+def correlate_stream(events: DataFrame, directives: list[Directive], life_minutes: int = 0, watermark: str = WATERMARK, unique_ids: bool = False) -> DataFrame:
+    """Alarm events and alarm upserts (schema OUTPUT) of a stream of normalised events with ts, seq and lookups.
+
+    unique_ids: no event id comes twice, so that work can be split by pinned fields; otherwise a directive is one key.
+    """
     by_id, life, columns = {d.id: d for d in directives}, life_minutes * 60, OUTPUT.names
-    rows = keyed(events, directives, unique_ids)
+    rows = keyed(events, directives, unique_ids, names_v6(directives))
     rows = rows.selectExpr("*", "timestamp_seconds(ts_unix) as ts").withWatermark("ts", watermark)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,5 +67,3 @@ def write_outputs(found: DataFrame, path: str, checkpoint: str, enrich: Callable
 
     return found.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")
 
-
-__all__ = ["FIELDS", "correlate_stream", "write_outputs"]
