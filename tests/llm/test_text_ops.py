@@ -333,6 +333,24 @@ def test_deobfuscation(spark):
     assert list(toxicity.Scorer(toxicity.Model(d.chars)).spaced("you i d i o t now")) == ["idiot"]
 
 
+def test_passing_over_words_loses_nothing(spark):
+    rng = random.Random(3)
+    docs = docs_of(spark, ["".join(rng.choice("abdiot ") for _ in range(400)) for _ in range(20)] + [None, "", "x"])
+    counts = toxicity.char_counts(docs)
+    want = np.zeros(toxicity.SIDE**3, np.int64)
+    for t in (r["text"] for r in docs.collect()):
+        for w in (t or "").split():
+            x = [0, 0, *(toxicity._index[c] for c in w), 0]
+            for a, b, c in zip(x, x[1:], x[2:]):
+                want[(a * toxicity.SIDE + b) * toxicity.SIDE + c] += 1
+    assert (counts == want).all()
+    s = toxicity.Scorer(toxicity.Model(toxicity.CharModel(counts), {"idio": 2.0, "idiot$": 3.0, "bott": 1.0, "aab$": 1.5}))
+    for _ in range(2000):
+        w = "".join(rng.choice(["i", "d", "o", "t", "a", "b"]) * rng.choice([1, 1, 2, 3]) for _ in range(rng.randrange(1, 8)))
+        w = rng.choice([w, "iddiioott" + w[:2], "bbott" + w])
+        assert s.weight(w) == max((s.model.weights.get(f, 0.0) for x in s.decoder.readings(w) for f in toxicity.starts(x)), default=0.0), w
+
+
 def test_deobfuscation_of_whole_words_and_runs(spark):
     docs = docs_of(spark, ["the idiot and the moron are here with trash and scum", "clown loser idiot moron you are a letter"] * 30)
     d = toxicity.Decoder(toxicity.CharModel(toxicity.char_counts(docs)))

@@ -44,6 +44,7 @@ _plain = re.compile(rf"[{LETTERS}]+$").match
 _edges = re.compile(rf"^[^{LETTERS}]+|[^{LETTERS}]+$").sub
 _triple = re.compile(r"(.)\1\1").search
 _double = re.compile(r"(.)\1").search
+_single = re.compile(r"(.)\1+").sub
 _apart = re.compile(rf"(?<!\S)(?:[^\W_]|[{re.escape(''.join(c for c in LEET if not c.isalnum()))}])(?:[ ._\-*](?:[^\W_]|[{re.escape(''.join(c for c in LEET if not c.isalnum()))}])){{3,}}(?!\S)")
 _apart_likely = re.compile(r"[^\W_] [^\W_] [^\W_] ").search
 _between = re.compile(r"[ ._\-*]").sub
@@ -77,16 +78,12 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIDE**3, np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                s = t.as_py()
-                if not s:
-                    continue
-                for lo in range(0, len(s), 1 << 20):  # whole text, in pieces that overlap by two signs
-                    x = table[np.frombuffer(("  " * (not lo) + s[max(0, lo - 2) : lo + (1 << 20)].lower() + " ").encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
-                    code = x[:-2] * SIDE * SIDE + x[1:-1] * SIDE + x[2:]
-                    code[(x[1:-1] == 0) & (x[2:] == 0)] = 0
-                    keep = np.where((x[1:-1] == 0), x[2:], code)  # after a border nothing before it counts
-                    total += np.bincount(keep, minlength=SIDE**3)
+            s = "  ".join(["", *(t for t in batch.column(0).to_pylist() if t), ""]).lower()
+            for lo in range(2, len(s), 1 << 20):  # whole texts, in pieces that overlap by two signs
+                x = table[np.frombuffer(s[lo - 2 : lo + (1 << 20)].encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+                code = x[:-2] * (SIDE * SIDE) + x[1:-1] * SIDE + x[2:]
+                keep = np.where(x[1:-1] == 0, x[2:], code)  # after a border nothing before it counts
+                total += np.bincount(keep, minlength=SIDE**3)
         total[0] = 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["code", "n"])
@@ -178,6 +175,8 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.decoder, self.known = model, Decoder(model.chars), {}
         self.lengths = sorted({len(f.rstrip("$")) for f in model.weights})
+        self.singles = {_single(r"\1", f.rstrip("$")) for f in model.weights}
+        self.single_lengths = sorted({len(f) for f in self.singles})
 
     def words(self, text: str) -> Iterator[str]:
         """Restored words of a whole text."""
@@ -201,6 +200,11 @@ class Scorer:
 
     def weight(self, raw: str) -> float:
         get = self.model.weights.get
+        if _plain(raw) and _double(raw):
+            # a reading drops repeats at most, so without them it begins like this
+            once = _single(r"\1", raw)
+            if not any(once[:n] in self.singles for n in self.single_lengths):
+                return 0.0
         return max((get(f, 0.0) for w in self.decoder.readings(raw) for f in starts(w)), default=0.0)
 
     def features(self, text: str | None) -> tuple[float, ...]:
