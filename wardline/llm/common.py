@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; only where that is unset, on one machine (tests), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wardline-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
