@@ -165,7 +165,7 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, of_doc_id, first_line, last_line, n_words): blocks to delete, lines counted from 0 without empty ones."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     seq = _sequences(docs)
-    keys = _keys(seq, block_words)
+    keys = staged(_keys(seq, block_words))
     first = keys.groupBy("run").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last")).where("of < last").drop("last")
     pairs = staged(keys.join(first, "run").where("doc_id > of").select("doc_id", "of").distinct())
     later = seq.select("doc_id", F.col("lines").alias("a"), F.col("words").alias("w"))
