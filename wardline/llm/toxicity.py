@@ -35,6 +35,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôö
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y"}
 #: Marks that may be put between the letters of a word.
 MARKS = ".-_*~'`^/\\,:;#%&="
+#: Signs around words that are no letters of them.
+OPENING, CLOSING = "\"'([{", ".,;:?\"')]}"
 SHORTEST, LONGEST = 4, 9
 #: Signs between two looks for what all survivors of a decoding begin with.
 PREFIX = 64
@@ -152,7 +154,7 @@ class Decoder:
         """What a word without white space may say: with the marks at its edges taken off, or as signs for letters."""
         w = _edges("", raw)
         out = [w] if w else []
-        core = raw.rstrip(".,;:?\"')]}").lstrip("\"'([{")
+        core = raw.rstrip(CLOSING).lstrip(OPENING)
         if w and _plain(w) and (core == w or not any(c in LEET for c in core.replace(w, "", 1))):
             if not _double(w):
                 return out
@@ -175,8 +177,11 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.decoder, self.known = model, Decoder(model.chars), {}
         self.lengths = sorted({len(f.rstrip("$")) for f in model.weights})
+        #: Every feature of a word has the word's first letters.
+        self.heads = {f.rstrip("$")[:SHORTEST] for f in model.weights}
         self.singles = {_single(r"\1", f.rstrip("$")) for f in model.weights}
         self.single_lengths = sorted({len(f) for f in self.singles})
+        self.held: dict[str, tuple[str, ...]] = {}
 
     def words(self, text: str) -> Iterator[str]:
         """Restored words of a whole text."""
@@ -185,10 +190,26 @@ class Scorer:
         yield from self.spaced(text)
 
     def spaced(self, text: str) -> Iterator[str]:
-        if _apart_likely(text) or "." in text:
-            for m in _apart.finditer(text) if _apart_likely(text) else ():
+        if _apart_likely(text):
+            for m in _apart.finditer(text):
                 yield self.decoder.read(_between("", m.group().lower()))
 
+    def evidence(self, text: str) -> set[str]:
+        """The distinct features of a text's restored words."""
+        out: set[str] = set()
+        for raw in set(text.lower().split()):
+            got = self.held.get(raw)
+            if got is None:
+                got = tuple(f for w in self.decoder.readings(raw) for f in starts(w))
+                if len(raw) < 48:
+                    if len(self.held) >= self.CACHE // 8:
+                        self.held.clear()
+                    self.held[raw] = got
+            out.update(got)
+        for w in self.spaced(text):
+            out.update(starts(w))
+        return out
+
     def inside(self, run: str) -> Iterator[float]:
         """Weights of the toxic words at any place of a joined run, from left to right and without overlap."""
         i, get = 0, self.model.weights.get
@@ -200,29 +221,31 @@ class Scorer:
 
     def weight(self, raw: str) -> float:
         get = self.model.weights.get
-        if _plain(raw) and _double(raw):
-            # a reading drops repeats at most, so without them it begins like this
-            once = _single(r"\1", raw)
-            if not any(once[:n] in self.singles for n in self.single_lengths):
-                return 0.0
+        core = raw.rstrip(CLOSING).lstrip(OPENING)
+        if _plain(core):
+            if not _double(core):
+                return max((get(f, 0.0) for f in starts(core)), default=0.0) if core[:SHORTEST] in self.heads else 0.0
+            if "(" not in raw:
+                # a reading drops repeats at most, so without them it begins like this
+                once = _single(r"\1", core)
+                if not any(once[:n] in self.singles for n in self.single_lengths):
+                    return 0.0
         return max((get(f, 0.0) for w in self.decoder.readings(raw) for f in starts(w)), default=0.0)
 
     def features(self, text: str | None) -> tuple[float, ...]:
         """Toxic words, the strongest of them, their sum, and their share of all words."""
-        known, total, hits, most = self.known, 0.0, 0, 0.0
+        known = self.known
         words = (text or "").lower().split()
-        for raw in words:
-            v = known.get(raw)
-            if v is None:
-                v = self.weight(raw)
-                if len(raw) < 48:
-                    if len(known) >= self.CACHE:
-                        known.clear()
-                    known[raw] = v
-            if v:
-                hits += 1
-                total += v
-                most = max(most, v)
+        weights = list(map(known.get, words))
+        if None in weights:
+            new = {raw: self.weight(raw) for raw in {w for w, v in zip(words, weights) if v is None}}
+            weights = [new[w] if v is None else v for w, v in zip(words, weights)]
+            if len(known) + len(new) > self.CACHE:
+                known.clear()
+            if len(new) <= self.CACHE:
+                known.update((w, v) for w, v in new.items() if len(w) < 48)
+        toxic = [v for v in weights if v]
+        hits, total, most = len(toxic), sum(toxic), max(toxic, default=0.0)
         for w in self.spaced(text or ""):
             for v in self.inside(w):
                 hits, total, most = hits + 1, total + v, max(most, v)
@@ -241,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         s = Scorer(Model(chars.value))
         for b in batches:
             for y, t in zip(b.column("y").to_pylist(), b.column("text")):
-                f = list({f for w in s.words(t.as_py()) for f in starts(w)})
+                f = list(s.evidence(t.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array([y] * len(f), pa.int32()), pa.array(f, pa.string())], ["y", "f"])
 
     n1, n0 = sizes[1], sizes[0]
