@@ -161,3 +161,15 @@ def test_keys_are_split_only_where_that_is_sound(spark):
 
     d = lambda to: Directive(1, "n", 1, "k", "c", [Rule(1, from_="ANY", to=to), Rule(2, from_=":1", to=":1")])
     assert [names_v6([d(x)]) for x in ("ANY", "10.0.0.0/8, 1.2.3.4", "10.0.0.1, 2002::/16", "!::1")] == [False, False, True, True]
+
+
+def test_ipv6_expressions_stay_small(spark):
+    """An address stands in the plan a few times and not once for every use of every part of it."""
+    from wardline.operators.assets import Assets
+    from wardline.plans import catalogue
+
+    df = spark.createDataFrame([("2002:c0a8:1::0.0.0.1",)], "ip string")
+    a = Assets(catalogue._V6)
+    for c in (net.ip6_to_hex("ip"), net.address_in_list("ip", "10.0.0.0/8, !2002:c0a8:1::/48"), a.home("ip"), a.value("ip"), a.name("ip"), a.networks("ip")):
+        plan = df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert len(plan) < 10_000, len(plan)

@@ -7,6 +7,7 @@ they stand for.  Both are built-in expressions, so a filter on them stays in the
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -27,24 +28,34 @@ def ip_to_long(ip: Column | str) -> Column:
     return F.when(ip.rlike(V4) & (F.greatest(*octets) <= 255), value)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once and stands in the plan once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ip6_to_hex(ip: Column | str) -> Column:
     """An IPv6 address as 32 hexadecimal digits; NULL for anything else."""
-    ip = F.lower(F.col(ip) if isinstance(ip, str) else ip)
-    last = F.substring_index(ip, ":", -1)
-    v4 = ip_to_long(last)
-    low = F.lower(F.lpad(F.hex(v4), 8, "0"))
-    # a last part in IPv4 form is two groups
-    text = F.when(F.contains(last, F.lit(".")), F.concat(F.left(ip, F.length(ip) - F.length(last)), F.left(low, F.lit(4)), F.lit(":"), F.right(low, F.lit(4)))).otherwise(ip)
-    gap = F.instr(text, "::")
-    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    a = groups(F.when(gap > 0, F.substring_index(text, "::", 1)).otherwise(text))
-    b = groups(F.when(gap > 0, F.substring_index(text, "::", -1)).otherwise(F.lit("")))
-    held = F.size(a) + F.size(b)
-    wide = lambda x: F.array_join(F.transform(x, lambda g: F.lpad(g, 4, "0")), "")
-    value = F.concat(wide(a), F.repeat(F.lit("0"), 4 * (8 - held)), wide(b))
-    # no group is empty but for the gap, which stands for one at least
-    plain = text.rlike("^[0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}$") | (text.rlike("^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$") & (held <= 7))
-    return F.when(F.contains(ip, F.lit(":")) & F.coalesce(plain, F.lit(False)), value)
+    ip = F.col(ip) if isinstance(ip, str) else ip
+
+    def groups(t: Column) -> Column:
+        """The text with a last part in IPv4 form as two groups."""
+        last = F.substring_index(t, ":", -1)
+        low = F.regexp_replace(F.lpad(F.lower(F.hex(ip_to_long(last))), 8, "0"), "^(.{4})", "$1:")
+        return F.when(F.contains(last, F.lit(".")), F.concat(F.left(t, F.length(t) - F.length(last)), low)).otherwise(t)
+
+    def digits(t: Column) -> Column:
+        # no group is empty but for the gap, which stands for one at least
+        plain = t.rlike("^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$")
+        wide = F.regexp_replace(F.regexp_replace(t, "([0-9a-f]+)", "000$1"), "[0-9a-f]*([0-9a-f]{4})(?![0-9a-f])", "$1")
+
+        def filled(w: Column) -> Column:
+            held = F.length(F.replace(w, F.lit(":"), F.lit("")))
+            whole = F.when(F.contains(w, F.lit("::")), held <= 28).otherwise(held == 32)
+            return F.when(whole, F.replace(F.replace(w, F.lit("::"), F.repeat(F.lit("0"), 32 - held)), F.lit(":"), F.lit("")))
+
+        return F.when(plain, bound(wide, filled))
+
+    return F.when(F.contains(ip, F.lit(":")), bound(F.lower(ip), lambda t: bound(groups(t), digits)))
 
 
 @dataclass(frozen=True)
@@ -83,18 +94,30 @@ def items(csv: str) -> list[tuple[bool, str]]:
     return [(w.startswith("!"), w[1:].strip() if w.startswith("!") else w) for w in csv.replace(",", " ").split()]
 
 
-def holds(n: Net, ip: Column | str) -> Column:
-    """Is an address in a network?  NULL or FALSE for what is no address of its version."""
-    return ip_to_long(ip).between(n.lo, n.hi) if n.version == 4 else ip6_to_hex(ip).between(f"{n.lo:032x}", f"{n.hi:032x}")
+def over(ip: Column | str, nets: list[Net], f: Callable[[Callable[[Net], Column], Column], Column]) -> Column:
+    """f(holds, known): holds(net) is whether the address is in a network, NULL or FALSE for what is no address of its version,
+    and known whether it is an address.  Where a network is an IPv6 one the address is read once for all of them.
+    """
+
+    def given(v4: Column, v6: Column) -> Column:
+        return f(lambda n: v4.between(n.lo, n.hi) if n.version == 4 else v6.between(f"{n.lo:032x}", f"{n.hi:032x}"), v4.isNotNull() | v6.isNotNull())
+
+    if all(n.version == 4 for n in nets):
+        return given(ip_to_long(ip), ip6_to_hex(ip))
+    return bound(ip_to_long(ip), lambda v4: bound(ip6_to_hex(ip), lambda v6: given(v4, v6)))
 
 
 def in_nets(ip: Column | str, cidrs: tuple[str, ...] | list[str]) -> Column:
     """Is an address in any of the networks?  FALSE for what is no address."""
-    found = F.lit(False)
-    for n in map(net, cidrs):
-        if n:
-            found = found | F.coalesce(holds(n, ip), F.lit(False))
-    return found
+    nets = [n for n in map(net, cidrs) if n]
+
+    def found(holds: Callable[[Net], Column], _: Column) -> Column:
+        out = F.lit(False)
+        for n in nets:
+            out = out | F.coalesce(holds(n), F.lit(False))
+        return out
+
+    return over(ip, nets, found)
 
 
 def is_private(ip: Column | str) -> Column:
@@ -114,14 +137,21 @@ def address_in_list(ip: Column | str, csv: str) -> Column:
     The first item that holds the address decides; without one, the list passes if it has a negated item.  An item
     that can't be read fails the address where it is reached, and what is no address never passes.
     """
-    out, rest = None, any(neg for neg, _ in items(csv))
+    rules, rest = [], any(neg for neg, _ in items(csv))
     for neg, text in items(csv):
         n = net(text)
         if n is None:
             rest = False
             break
-        hit = holds(n, ip)
-        out = F.when(hit, F.lit(not neg)) if out is None else out.when(hit, F.lit(not neg))
-    # where nothing holds it, a list with a negated item passes what is an address
-    left = (ip_to_long(ip).isNotNull() | ip6_to_hex(ip).isNotNull()) if rest else F.lit(False)
-    return F.coalesce(left if out is None else out.otherwise(left), F.lit(False))
+        rules.append((neg, n))
+
+    def first(holds: Callable[[Net], Column], known: Column) -> Column:
+        out = None
+        for neg, n in rules:
+            hit = holds(n)
+            out = F.when(hit, F.lit(not neg)) if out is None else out.when(hit, F.lit(not neg))
+        # where nothing holds it, a list with a negated item passes what is an address
+        left = known if rest else F.lit(False)
+        return F.coalesce(left if out is None else out.otherwise(left), F.lit(False))
+
+    return over(ip, [n for _, n in rules], first)

@@ -12,7 +12,7 @@ import ipaddress
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.net import holds, ip6_to_hex, ip_to_long, net
+from wardline.functions.net import ip6_to_hex, ip_to_long, net, over
 from wardline.schemas import ASSET
 
 INLINE = 64
@@ -46,12 +46,18 @@ class Assets:
             raise ValueError(f"{len(rows)} assets: join the table with `lookup` instead")
         self.rows = [(r, n) for r in rows if (n := net(r["cidr"]))]
 
+    def _over(self, ip: str, f) -> Column:
+        return over(ip, [n for _, n in self.rows], lambda holds, _: f(holds))
+
     def _any(self, ip: str, keep) -> Column:
-        out = F.lit(False)
-        for r, n in self.rows:
-            if keep(r):
-                out = out | F.coalesce(holds(n, ip), F.lit(False))
-        return out
+        def found(holds) -> Column:
+            out = F.lit(False)
+            for r, n in self.rows:
+                if keep(r):
+                    out = out | F.coalesce(holds(n), F.lit(False))
+            return out
+
+        return self._over(ip, found)
 
     def home(self, ip: str) -> Column:
         return self._any(ip, lambda r: not r.get("whitelisted"))
@@ -60,20 +66,26 @@ class Assets:
         return self._any(ip, lambda r: r.get("whitelisted"))
 
     def value(self, ip: str) -> Column:
-        values = [F.when(holds(n, ip), F.lit(int(r["value"]))).otherwise(0) for r, n in self.rows]
-        return F.greatest(F.lit(0), F.lit(0), *values)
+        return self._over(ip, lambda holds: F.greatest(F.lit(0), F.lit(0), *(F.when(holds(n), F.lit(int(r["value"]))).otherwise(0) for r, n in self.rows)))
 
     def name(self, ip: str) -> Column:
-        out = F.lit("")
-        for r, n in reversed(self.rows):
-            if n.lo == n.hi:
-                out = F.when(holds(n, ip), F.lit(r["name"])).otherwise(out)
-        return out
+        def found(holds) -> Column:
+            out = F.lit("")
+            for r, n in reversed(self.rows):
+                if n.lo == n.hi:
+                    out = F.when(holds(n), F.lit(r["name"])).otherwise(out)
+            return out
+
+        return self._over(ip, found)
 
     def networks(self, ip: str) -> Column:
         """Networks that hold the address, without single hosts, sorted."""
-        found = [F.when(holds(n, ip), F.lit(r["cidr"])) for r, n in self.rows if n.lo != n.hi]
-        return F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))) if found else F.array().cast("array<string>")
+
+        def found(holds) -> Column:
+            held = [F.when(holds(n), F.lit(r["cidr"])) for r, n in self.rows if n.lo != n.hi]
+            return F.array_sort(F.array_distinct(F.array_compact(F.array(*held)))) if held else F.array().cast("array<string>")
+
+        return self._over(ip, found)
 
     def with_lookups(self, events: DataFrame) -> DataFrame:
         return events.withColumns({f"{s}_{k}": f(f"{s}_ip") for s in ("src", "dst") for k, f in (("home", self.home), ("value", self.value), ("name", self.name))})
