@@ -28,7 +28,10 @@ from wardline.llm.common import lean, staged
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct instances that a pattern needs, its least confidence, the least score of an instance, and rounds.
 SUPPORT, CONFIDENT, ACCEPT, ROUNDS = 5, 0.5, 0.75, 3
-BUCKETS = 1 << 16
+#: Bits of the table of phrases to count; a place stands for few phrases, so that little else is counted.
+BUCKETS = 1 << 24
+#: Places, and different phrases, that a task counts before it sums or reports them.
+HELD = 1 << 20
 
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").match
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -132,7 +135,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def _occurrences(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(words, n): how often each of the phrases of one or two words stands anywhere in the corpus.
 
-    A bit for each of a fixed number of hash buckets tells tasks which phrases to count; the join then is exact.
+    A bit for each of a fixed number of hash buckets tells tasks which phrases to count; a task reports each of them
+    once, so that no more rows are made than tasks meet phrases; the join then is exact.
     """
     spark = docs.sparkSession
 
@@ -149,12 +153,23 @@ def _occurrences(docs: DataFrame, phrases: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([col, pa.array(h.view(np.int64))], ["words", "h"])
 
     named = staged(phrases.select("words").mapInArrow(lean(hashed), "words string, h bigint"))
-    bits = np.zeros(BUCKETS, bool)
-    bits[[r[0] for r in named.select(F.pmod("h", F.lit(BUCKETS)).cast("int")).distinct().collect()]] = True
+    spot = F.pmod("h", F.lit(BUCKETS))
+    maps = named.select((spot + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
+    bits = np.zeros(BUCKETS // 8, np.uint8)
+    for r in maps:  # numbers and parts count from 1; a part holds 4096 bytes
+        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = shared.value
+        on, keys, total = shared.value, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            if not held:
+                return keys, total
+            h, at = np.unique(np.concatenate([keys, *held]), return_inverse=True)
+            return h, np.bincount(at, np.r_[total, np.ones(sum(map(len, held)), np.int64)], len(h)).astype(np.int64)
+
         for b in batches:
             for p in pieces(b.column(0), size=1 << 21):
                 two = run_hash(p.hashes, 2)
@@ -162,8 +177,15 @@ def _occurrences(docs: DataFrame, phrases: DataFrame) -> DataFrame:
                 apart = np.ones(len(two), bool)
                 apart[inner[(inner > 0) & (inner <= len(two))] - 1] = False  # the words of two documents
                 both = np.r_[p.hashes, two[apart]]
-                h, n = np.unique(both[on[(both & np.uint64(BUCKETS - 1)).astype(np.int64)]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+                at = (both & np.uint64(BUCKETS - 1)).astype(np.int64)
+                held.append(both[((on[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)])
+                if sum(map(len, held)) > HELD:
+                    (keys, total), held = merged(), []
+                if len(keys) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], ["h", "n"])
+                    keys, total = keys[:0], total[:0]
+        keys, total = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], ["h", "n"])
 
     counted = docs.select("text").mapInArrow(lean(count), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     return named.join(counted, "h").select("words", "n")
