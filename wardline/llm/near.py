@@ -248,16 +248,25 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     crowd = staged(members.where("cid <> lead").join(sizes, "lead").select("lead", "cid", "n", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("own")))
     # pairs of groups with different leaders
     side = staged(tokens.select("token", "gid").join(led, "gid"))
-    held = staged(side.groupBy("token", "lead").agg(F.count("*").alias("size")))
+    # what all groups of a crowd under one key agree on, and the range of their sizes
+    same = [F.bit_and(f"a{k}").alias(f"a{k}") for k in (1, 2)] + [F.bit_or(F.col(f"v{k}")).bitwiseOR(F.bit_and(f"a{k}").bitwiseXOR(F.bit_or(f"a{k}"))).alias(f"v{k}") for k in (1, 2)]
+    held = staged(side.groupBy("token", "lead").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), *same))
     fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (apart("x", "y") <= F.col("x.n") + F.col("y.n") - 2 * least_overlap(F.col("x.n"), F.col("y.n"), percent))
+
+    def may_fit(x: str, lo: str, hi: str, y: str) -> Column:
+        """Could something of sizes lo..hi and what y agrees on fit a group of y?  True wherever a pair fits."""
+        return (100 * F.col(hi) >= percent * F.col(f"{y}.lo")) & (100 * F.col(f"{y}.hi") >= percent * F.col(lo)) & (apart(x, y) * (100 + percent) <= (F.col(hi) + F.col(f"{y}.hi")) * (100 - percent))
+
     # a crowd under one key meets what has other leaders, and never itself; groups that stand alone there meet one another
     alone = side.join(held.where("size = 1").select("token", "lead"), ["token", "lead"])
     x, y = alone.alias("x"), alone.alias("y")
     one = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & fits).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
-    heads = held.where("size > 1").select("token", F.col("lead").alias("u"))
-    meet = heads.join(held.select("token", F.col("lead").alias("v"), "size"), "token").where("u <> v and (size = 1 or u < v)").select("token", "u", "v")
+    u, v = held.where("size > 1").alias("u"), held.alias("v")
+    meet = u.join(v, (F.col("u.token") == F.col("v.token")) & (F.col("u.lead") != F.col("v.lead")) & ((F.col("v.size") == 1) | (F.col("u.lead") < F.col("v.lead"))) & may_fit("u", "u.lo", "u.hi", "v"))
+    meet = meet.select("u.token", F.col("u.lead").alias("u"), F.col("v.lead").alias("v"), "v.lo", "v.hi", "v.a1", "v.a2", "v.v1", "v.v2")
     x, y = side.alias("x"), side.alias("y")
-    two = x.join(meet.alias("m"), (F.col("x.token") == F.col("m.token")) & (F.col("x.lead") == F.col("m.u")))
+    # only those groups of the crowd go on that may fit the other side
+    two = x.join(meet.alias("m"), (F.col("x.token") == F.col("m.token")) & (F.col("x.lead") == F.col("m.u")) & may_fit("x", "x.n", "x.n", "m"))
     two = two.join(y, (F.col("m.token") == F.col("y.token")) & (F.col("m.v") == F.col("y.lead")) & fits).select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
     pairs = staged(one.unionByName(two).distinct())
     ma, mb = members.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), members.select(F.col("gid").alias("gb"), F.col("cid").alias("b"))
