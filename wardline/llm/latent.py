@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of words.  Word hashes fall into a fixed number of features, weighted by the document
-frequencies of all documents.  One pass over the passages of a bounded sample of documents (``SAMPLE``, by the order
-of a hash) gives the sketch A'(A W) of the TF-IDF matrix A for random W, summed within tasks and then by Spark; its
+frequencies of all documents.  One pass over the passages of all documents gives the sketch A'(A W) of the TF-IDF
+matrix A for random W, summed within tasks and then by Spark; its
 Nystrom form is the randomised SVD (directions and singular values), of fixed size, on the driver.  Benchmark items, in blocks of ``ITEMS``, are projected into the whitened latent
 space and broadcast; every window of every document is projected and compared by cosine, and what is near is
 verified on the words themselves: the longest common subsequence with the item over a stretch of about the item's
@@ -34,8 +34,8 @@ RANK = 64
 STEP, STEPS = 6, 4
 #: Least cosine; times sqrt(n / window) for items of n words that are shorter than a window, as only so much of it can be theirs.
 NEAR = 0.58
-#: Documents whose passages the SVD is fitted on, about; frequencies, search and verification cover all of them.
-SAMPLE = 20_000
+#: Steps whose words are counted in one dense product while the SVD is fitted.
+PRODUCT = 64
 #: LCS shares: of the whole; or of the whole together with the answer.
 WHOLE, PART, ANSWER = 0.6, 0.45, 0.8
 #: Items that are broadcast at a time, about one KB each, and those whose places of words a task remembers.
@@ -126,6 +126,22 @@ def padded(weights: np.ndarray) -> np.ndarray:
     return np.r_[weights, np.zeros((1, weights.shape[1]), np.float32)]
 
 
+def add_products(z: np.ndarray, f: np.ndarray, s: Steps, y: np.ndarray) -> None:
+    """Adds to z, for each step, the step's row of y to the rows of its words' features; by small dense products."""
+    ends = np.r_[s.starts, len(f)]
+    step = np.repeat(np.arange(len(s.starts)), np.diff(ends))
+    place = np.zeros(FEATURES, np.int64)
+    for lo in range(0, len(s.starts), PRODUCT):
+        hi = min(lo + PRODUCT, len(s.starts))
+        own, n = slice(ends[lo], ends[hi]), hi - lo
+        held = np.zeros(FEATURES, bool)
+        held[f[own]] = True
+        names = np.flatnonzero(held)
+        place[names] = np.arange(len(names)) * n
+        counts = np.bincount(place[f[own]] + (step[own] - lo), minlength=len(names) * n).reshape(len(names), n)
+        z[names] += counts.astype(np.float32) @ y[lo:hi]
+
+
 def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """idf of the features, and the projection of features into the whitened latent space (features x rank)."""
     df, n = document_frequencies(docs)
@@ -145,18 +161,13 @@ def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
                 f, s = features(p.hashes), Steps.of(p.bounds, STEP * STEPS)
                 y = step_sums(f, w, s)
                 y /= np.einsum("ij,ij->i", y, y)[:, None] / RANK + 1e-9  # squared length of the row, from its sketch
-                order = np.argsort(f, kind="stable")
-                cut = np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]])
-                step = np.repeat(np.arange(len(s.starts)), np.diff(np.r_[s.starts, len(f)]))
-                z[f[order][cut]] += np.add.reduceat(y[step[order]], cut, axis=0)
+                add_products(z, f, s, y)
         at = np.flatnonzero(z.any(1))
         z = z[at] * idf[at, None]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(z[:, j].astype(np.float32)) for j in range(RANK))], ["f", *(f"z{j}" for j in range(RANK))])
 
     schema = "f int, " + ", ".join(f"z{j} float" for j in range(RANK))
-    # by id, so that copies of one text are sampled like other documents
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < SAMPLE) if n > SAMPLE else docs
-    rows = some.select("text").mapInArrow(lean(run), schema).groupBy("f").agg(*(F.sum(f"z{j}").alias(f"z{j}") for j in range(RANK))).toPandas()
+    rows = docs.select("text").mapInArrow(lean(run), schema).groupBy("f").agg(*(F.sum(f"z{j}").alias(f"z{j}") for j in range(RANK))).toPandas()
     z = np.zeros((FEATURES, RANK))
     z[rows["f"].to_numpy(int)] = rows.drop(columns="f").to_numpy(float)
     g = omega.T.astype(float) @ z
