@@ -307,6 +307,24 @@ def test_quality_held_out(spark):
     assert auc(got["score"], got["quality"]) > 0.9 and got["score"].between(0, 1).all()
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """The bad rows that tell are the last by the order that samples were once drawn in; chunks are trained on apart, and merged."""
+    rng = random.Random(4)
+    words = {k: [f"{k}{rng.randrange(10**6)}" for _ in range(300)] for k in "abc"}
+    made = lambda k: " ".join(rng.choice(words[k]) for _ in range(60))
+    ids = [r["id"] for r in spark.range(12000).where("crc32(cast(id as string)) % 4 <> 2").orderBy(F.xxhash64("id")).collect()]
+    kind = {i: (("b" if n < 8000 else "c"), 0) if n % 2 else ("a", 1) for n, i in enumerate(ids)}
+    docs = spark.createDataFrame([(i, made(k)) for i, (k, _) in kind.items()], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i, (_, y) in kind.items()], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(quality, "CHUNK", 400_000)
+    monkeypatch.setattr(quality, "DICTIONARY", 16 << 10)
+    model = quality.fit(docs, labels)
+    fresh = docs_of(spark, [made(k) for k in "abc" for _ in range(40)])
+    got = [r["predicted"] for r in quality.score(fresh, model).orderBy("doc_id").collect()]
+    assert sum(got[:40]) >= 38 and sum(got[40:]) <= 2
+    assert sum(w.encode() in model.bad for w in words["c"]) > 50
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = QUERIES["op8_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
@@ -404,6 +422,12 @@ def test_pii_discovers(spark, odd, empty):
 # ---- 10 ----
 
 
+def test_directions_are_fitted_on_every_document(spark):
+    texts = ["common words stand here"] * 21000 + [f"rare{i} words stand here" for i in range(200)]
+    _, projection = latent.fit(docs_of(spark, texts))
+    hashes = np.concatenate([p.hashes[:1] for i in range(200) for p in pieces(pa.array([f"rare{i}"]), latent.APART)])
+    assert np.abs(projection[latent.features(hashes)]).max(1).all()
+
 def test_decontamination(spark, odd, empty, sf):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
@@ -561,3 +585,13 @@ def test_license_runs(spark):
     for i, t in enumerate(texts):
         assert got.get(i, set()) == brute_runs(t, licenses.DICE), i
     assert (1, 3, "MIT") in got[0] and {x[2] for x in got[1]} >= {"MIT", "BSD-3-Clause", "GPL-3.0 header"} and 2 not in got
+
+
+def test_pii_tasks_report_a_phrase_once(spark):
+    """Counts are exact, over pieces of text and batches, and few other phrases share a bit."""
+    other = " ".join(f"w{i} v{i}" for i in range(40000))
+    docs = docs_of(spark, ["call me now " * 3, other, *["call me"] * 50]).coalesce(1)
+    phrases = spark.createDataFrame([("call me",), ("me",), ("now call",)], "words string")
+    found = pii._occurrences(docs, phrases)
+    assert {r["words"]: r["n"] for r in found.collect()} == {"call me": 53, "me": 53, "now call": 2}
+    assert pii.BUCKETS >= 1 << 22

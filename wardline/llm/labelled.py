@@ -1,8 +1,10 @@
-"""Bounded samples of labelled rows, and logistic calibration."""
+"""Labelled rows, bounded samples of them, and logistic calibration."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +16,24 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _seen(labels: DataFrame, label: str) -> tuple[DataFrame, dict[int, int]]:
+    seen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    seen = staged(seen.withColumn("_order", F.xxhash64("doc_id")))
+    return seen, {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of every labelled row that may be learned from, and the classes' counts."""
+    seen, counts = _seen(labels, label)
+    return staged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(seen.select("doc_id", "y"), "doc_id")), counts
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, y) of at most per_class labelled rows of either class, by the order of a hash, and the classes' counts.
 
     Only the ids of the sample, bounded by per_class, are broadcast; the counts cover all labelled rows.
     """
-    seen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    seen = staged(seen.withColumn("_order", F.xxhash64("doc_id")))
-    counts = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    seen, counts = _seen(labels, label)
     picked = [seen.where(F.col("y") == y).orderBy("_order", "doc_id").limit(per_class) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
@@ -46,6 +58,21 @@ class Logistic:
             if np.abs(step).max() < 1e-8:
                 break
 
+    @staticmethod
+    def of_table(rows: DataFrame, size: int, weights: dict[int, float], ridge: float = 1.0) -> Logistic:
+        """The same over all rows (x array<double> of the size given, y) of a table, fitted by MLlib."""
+        out = Logistic.__new__(Logistic)
+        one = rows.agg(F.count("*").alias("n"), *(f(F.col("x")[i]).alias(f"{k}{i}") for i in range(size) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+        out.mean, out.scale = (np.array([one[f"{k}{i}"] for i in range(size)], float) for k in "ms")
+        out.scale += 1e-9
+        weight = F.when(F.col("y") == 1, weights[1]).otherwise(weights[0])
+        total = rows.agg(F.sum(weight)).first()[0]
+        standard = F.array(*(F.least(F.greatest((F.col("x")[i] - float(out.mean[i])) / float(out.scale[i]), F.lit(-20.0)), F.lit(20.0)) for i in range(size)))
+        given = rows.select(array_to_vector(standard).alias("features"), F.col("y").cast("double").alias("label"), weight.alias("weight"))
+        m = LogisticRegression(weightCol="weight", regParam=ridge / total, standardization=False, maxIter=100, tol=1e-9).fit(given)
+        out.w = np.r_[m.coefficients.toArray(), m.intercept]
+        return out
+
     def _design(self, x: np.ndarray) -> np.ndarray:
         return np.c_[np.clip((x - self.mean) / self.scale, -20, 20), np.ones(len(x))]
 

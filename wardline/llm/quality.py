@@ -1,10 +1,10 @@
 """Quality classifier: compression with zstandard dictionaries built from good and from bad labelled text.
 
-Texts are cut into blocks, however long they are, and every block is compressed against either dictionary.  All blocks of the sampled
-texts train the dictionaries; where they are too few to train on, they are the dictionaries.  Features of a text are the
+Texts are cut into blocks, however long they are, and every block is compressed against either dictionary.  Half of all labelled
+texts train the dictionaries with all their blocks: in chunks of bounded size, a dictionary each, and what these hold is trained on
+again until one is left; where blocks are too few to train on, they are the dictionary.  Features of a text are the
 compressed-size difference over the sum of both sizes, both sizes over the text's length, and the largest and
-smallest difference of a block (junk may fill only a part).  A logistic calibration over labelled rows that neither
-dictionary saw turns them into a score.
+smallest difference of a block (junk may fill only a part).  A logistic calibration over the other half of the labelled rows turns them into a score.
 
 Null and empty texts have the features of nothing and so get a defined score between 0 and 1; repeated rows score
 alike; an empty table gives an empty result; without labels of both classes the score is the share of good labels (0.5 without any).  Extra columns of
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import lean
-from wardline.llm.labelled import Logistic, held_out, prior_weights, sample
+from wardline.llm.common import lean, staged
+from wardline.llm.labelled import Logistic, held_out, labelled, prior_weights
 
 BLOCK = 2048
-#: Labelled rows of either class that a model learns from at most: half build the dictionaries, half calibrate.
-PER_CLASS = 4000
+#: Bytes of text that one dictionary is trained on at a time, about.
+CHUNK = 8 << 20
 DICTIONARY = 96 << 10
 THRESHOLD = 0.7
 
@@ -49,9 +49,9 @@ def blocks(text: bytes) -> list[bytes]:
 
 
 def dictionary(samples: list[bytes]) -> tuple[bytes, bool]:
-    """A trained dictionary, or where there is too little to train on, the samples themselves as raw content."""
+    """A dictionary trained on all samples, or where there is too little to train on, the samples themselves as raw content."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples, level=3).as_bytes(), False
+        return zstandard.train_dictionary(DICTIONARY, samples, level=3, split_point=1.0).as_bytes(), False
     except zstandard.ZstdError:
         return b"".join(samples), True
 
@@ -86,35 +86,45 @@ def _features(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(lean(run), schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
-    rows, counts = sample(docs, labels, label, per_class)
+def _dictionaries(rows: DataFrame) -> dict[int, tuple[bytes, bool]]:
+    """For each class of rows (doc_id, text, y) a dictionary of all its texts, and whether it is raw content."""
+    schema = "y int, chunk int, data binary, raw boolean"
+
+    def train(t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        data, raw = dictionary([x for d in t.column("data").to_pylist() for x in blocks(d)])
+        return pa.table({"y": t.column("y")[:1], "chunk": t.column("chunk")[:1], "data": pa.array([data], pa.binary()), "raw": pa.array([raw])})
+
+    parts, before = rows.select("y", F.xxhash64("doc_id").alias("place"), F.encode("text", "utf-8").alias("data")), None
+    while True:
+        sizes = {r["y"]: r["n"] for r in parts.groupBy("y").agg(F.sum(F.octet_length("data")).alias("n")).collect()}
+        chunks = {y: max(1, -(-n // CHUNK)) for y, n in sizes.items()}
+        if chunks == before:  # no smaller any more, as nothing could be trained
+            chunks = dict.fromkeys(sizes, 1)
+        before = chunks
+        own = F.coalesce(*(F.when(F.col("y") == y, F.pmod("place", F.lit(n))) for y, n in chunks.items()), F.lit(0)).cast("int")
+        found = staged(parts.withColumn("chunk", own).groupBy("y", "chunk").applyInArrow(train, schema))
+        if all(n == 1 for n in chunks.values()):
+            return {r["y"]: (bytes(r["data"]), r["raw"]) for r in found.collect()}
+        parts = found.select("y", F.col("chunk").cast("bigint").alias("place"), "data")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Learns from all labelled rows but held-out ones; what reaches the driver is of fixed size."""
+    rows, counts = labelled(docs, labels, label)
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     rows = rows.withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)))
-    got: dict[int, list[bytes]] = {0: [], 1: []}
-    schema = "y int, part binary"
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ys, parts = [], []
-            for y, t in zip(b.column("y").to_pylist(), b.column("text")):
-                own = blocks(t.as_py().encode())
-                ys += [y] * len(own)
-                parts += own
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(parts, pa.binary())], ["y", "part"])
-
-    for r in rows.where("_half = 0").select("y", "text").mapInArrow(lean(spread), schema).toLocalIterator():
-        got[r["y"]].append(bytes(r["part"]))
-    if not got[0] or not got[1]:
+    got = _dictionaries(rows.where("_half = 0"))
+    if len(got) < 2:
         return Model(b"", b"", True, None, share)
-    (good, raw_g), (bad, raw_b) = dictionary(got[1]), dictionary(got[0])
-    if raw_g != raw_b:  # both of one kind
-        good, bad, raw_g = b"".join(got[1]), b"".join(got[0]), True
-    model = Model(good, bad, raw_g, None, share)
-    seen = _features(rows.where("_half = 1"), model, "y").collect()
-    y = np.array([r["y"] for r in seen], float)
-    if len(set(y)) == 2:
-        x = np.array([r["x"] for r in seen], float)
-        model.calibration = Logistic(x, y, prior_weights(y, counts))
+    (good, raw_g), (bad, raw_b) = got[1], got[0]
+    model = Model(good, bad, raw_g or raw_b, None, share)  # both of one kind: any bytes can be raw content
+    seen = staged(_features(rows.where("_half = 1"), model, "y"))
+    have = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(have) == 2:
+        y = np.repeat([0, 1], [have[0], have[1]])
+        weight = prior_weights(y, counts)
+        model.calibration = Logistic.of_table(seen, 5, {0: float(weight[0]), 1: float(weight[-1])})
     return model
 
 
