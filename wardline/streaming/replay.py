@@ -28,13 +28,11 @@ def stream_links(spark: SparkSession, events: DataFrame, directives: list[Direct
     base = shared_dir(spark)
     bounds = events.stat.approxQuantile("ts_unix", [i / parts for i in range(1, parts)], 0.0)
     slot = sum(((F.col("ts_unix") > b).cast("int") for b in bounds), F.lit(0))
-    for i in range(parts):  # one file each, so that a trigger of one file is one part
-        events.where(slot == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    found = correlate_stream(source, directives, unique_ids=True)
-    q = found.where("kind = 'event'").select("alarm_id", "directive_id", "stage", "event_id").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    for i in range(parts):  # each run goes on from the checkpoint and takes in the files that are new, as one micro-batch
+        events.where(slot == i).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        found = correlate_stream(source, directives, unique_ids=True).where("kind = 'event'").select("alarm_id", "directive_id", "stage", "event_id")
+        found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("alarm_id string, directive_id int, stage int, event_id string").parquet(f"{base}/out")
 
 
