@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from wardline.operators import machine, tools
-from wardline.operators.correlate import FIELDS, alarm_events, correlate
+from wardline.operators.correlate import FIELDS, alarm_events, correlate, links
 from wardline.plans import catalogue, sample
 from wardline.plans.directives import Directive, Rule
 from wardline.streaming.replay import differences
@@ -162,3 +162,27 @@ def test_plans_push_down_and_avoid_loops(spark, sf):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     plan = catalogue.QUERIES["quick_check_plugin"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "value" not in plan.partition("ReadSchema")[2].partition("\n")[0]
+
+
+def test_links_are_the_events_of_alarms(spark, sf):
+    events = sample.placed(spark, sf).where("seq < 3000").cache()
+    want = sorted(map(tuple, alarm_events(correlate(events, catalogue.MIXED, unique_ids=True)).collect()))
+    found = links(events, catalogue.MIXED, unique_ids=True)
+    assert want and sorted(map(tuple, found.collect())) == want
+    assert {d for _, d, _, _ in want} == {1, 2, 3}
+
+
+def test_events_are_read_once_and_make_no_alarms(spark, sf):
+    plan = catalogue.correlate_taxonomy(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "kingdom" not in plan and "custom_label1" not in plan
+
+
+def test_a_missing_port_changes_no_other_event(spark):
+    d = three()
+    d.rules[0].port_to = "80"
+    events = [event(0, 100), event(1, 101, dst_port=None), event(2, 102), event(3, 103)]
+    schema = ", ".join(f"{f} {'boolean' if f.endswith('_home') else 'bigint' if f in ('ts_unix', 'plugin_id', 'plugin_sid', 'src_port', 'dst_port', 'src_value', 'dst_value') else 'string'}" for f in FIELDS) + ", seq bigint"
+    df = spark.createDataFrame([tuple([*(e[f] for f in FIELDS), int(e["event_id"])]) for e in events], schema)
+    want = [("0", 1), ("1", 2), ("2", 2), ("3", 3)]
+    assert sorted((r["event_id"], r["stage"]) for r in alarm_events(correlate(df, [d])).collect()) == want
+    assert sorted((r["event_id"], r["stage"]) for r in links(df, [d]).collect()) == want

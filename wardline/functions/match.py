@@ -45,6 +45,7 @@ def text_matches(term: str, rule: str) -> bool:
     return ((rule[1:] if neg else rule).strip().lower() == term.strip().lower()) != neg
 
 
+@lru_cache(maxsize=4096)
 def reference(text: str) -> int | None:
     """The stage that `:N` names, or None."""
     if ":" not in text:

@@ -231,11 +231,15 @@ def fan_out(events: DataFrame, directives: list[Directive]) -> DataFrame:
     plugin, taxonomy = plugin_pairs(spark, directives), taxonomy_pairs(spark, directives)
     n = sum(len(r.plugin_sid) + len(r.product) for d in directives for r in d.rules)
     small = F.broadcast if n <= BROADCAST_PAIRS else (lambda x: x)
-    by_plugin = events.join(small(plugin), ["plugin_id", "plugin_sid"])
-    by_taxonomy = events.join(small(taxonomy), ["product", "category"])
     if not any(r.type == "TaxonomyRule" for d in directives for r in d.rules):
-        return by_plugin
-    return by_plugin.unionByName(by_taxonomy)
+        return events.join(small(plugin), ["plugin_id", "plugin_sid"])
+    # events are read and looked up once, whichever of the two lets them in
+    by = [(small(t.groupBy(*keys).agg(F.collect_list("directive_id").alias(name))), keys, name) for t, keys, name in ((plugin, ["plugin_id", "plugin_sid"], "_plugin"), (taxonomy, ["product", "category"], "_taxonomy"))]
+    for t, keys, _ in by:
+        events = events.join(t, keys, "left")
+    none = F.array().cast("array<int>")
+    into = F.concat(*(F.coalesce(name, none) for _, _, name in by))
+    return events.withColumn("directive_id", F.explode(into)).drop("_plugin", "_taxonomy")
 
 
 # ---- partitioning ------------------------------------------------------------------------------------------------
