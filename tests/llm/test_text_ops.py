@@ -595,3 +595,24 @@ def test_pii_tasks_report_a_phrase_once(spark):
     found = pii._occurrences(docs, phrases)
     assert {r["words"]: r["n"] for r in found.collect()} == {"call me": 53, "me": 53, "now call": 2}
     assert pii.BUCKETS >= 1 << 22
+
+
+def test_labels_are_joined_by_shuffle_of_few_texts(spark, monkeypatch):
+    from wardline.llm import labelled as module
+
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text").union(spark.sql("select null, 'no id'")).union(spark.sql("select 5L, null"))
+    labels = spark.range(0, 4000, 10).selectExpr("id as doc_id", "cast(id % 20 = 0 as int) as quality")
+    plans, staged = [], module.staged
+
+    def watched(df):
+        plans.append(df)
+        return staged(df)
+
+    monkeypatch.setattr(module, "staged", watched)
+    rows, counts = module.labelled(docs, labels, "quality")
+    want = docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 <> 2").selectExpr("doc_id", "coalesce(text, '')", "quality")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect())) and sum(counts.values()) == rows.count()
+    plan = plans[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    kept = module.likely(docs.where("doc_id is not null"), rows.select("doc_id"), "doc_id", module.FILTER_BITS)
+    assert rows.select("doc_id").exceptAll(kept.select("doc_id")).isEmpty() and kept.count() < 1.1 * rows.count()

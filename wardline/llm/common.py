@@ -71,6 +71,24 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def likely(rows: DataFrame, need: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows whose key falls on a bit that some needed key (of the same type) sets: a bitmap of fixed size, so that a join that
+    follows, and is exact, need not shuffle all of them.  Where most bits are set it lets all rows through."""
+    spot = F.pmod(F.xxhash64(key), F.lit(size))
+    maps = need.select((spot + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
+    every = np.zeros(size // 8, np.uint8)
+    for r in maps:  # numbers, parts and so bytes count from 1; a part holds 4096 bytes
+        every[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(every)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column("spot"))
+            yield b.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))).drop_columns(["spot"])
+
+    return rows.withColumn("spot", spot).mapInArrow(lean(run), rows.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import staged
+from wardline.llm.common import likely, staged
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -22,10 +22,20 @@ def _seen(labels: DataFrame, label: str) -> tuple[DataFrame, dict[int, int]]:
     return seen, {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
 
 
+#: Bits of the table of labelled ids; 2 MB.
+FILTER_BITS = 1 << 24
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, y) of every labelled row that may be learned from, and the classes' counts."""
+    """(doc_id, text, y) of every labelled row that may be learned from, and the classes' counts.
+
+    The join is a shuffle at every size, as a broadcast of ids would grow with the labels; few texts of other rows are in it.
+    """
     seen, counts = _seen(labels, label)
-    return staged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(seen.select("doc_id", "y"), "doc_id")), counts
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if docs.schema["doc_id"].dataType == seen.schema["doc_id"].dataType:
+        rows = likely(rows.where(F.col("doc_id").isNotNull() & ~held_out()), seen, "doc_id", FILTER_BITS)
+    return staged(rows.join(seen.select("doc_id", "y").hint("merge"), "doc_id")), counts
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:

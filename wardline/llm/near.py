@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.arrowtext import mix, pieces, shingles
-from wardline.llm.common import Union, components, lean, runs, staged
+from wardline.llm.common import Union, components, lean, likely, runs, staged
 
 WORDS, PERCENT = 5, 80
 #: Hash buckets of the table of frequent shingles, and the count from which a task reports one.
@@ -190,21 +190,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _likely(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """Rows whose id (cid) falls on a bit that some needed id sets: a bitmap of fixed size, so that a join that
-    follows, and is exact, need not shuffle all of them.  Where most bits are set it lets all rows through."""
-    spot = F.pmod(F.xxhash64("cid"), F.lit(FILTER_BITS))
-    maps = need.select((spot + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
-    every = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in maps:  # numbers, parts and so bytes count from 1; a part holds 4096 bytes
-        every[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(every)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.asarray(b.column("spot"))
-            yield b.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))).drop_columns(["spot"])
-
-    return rows.withColumn("spot", spot).mapInArrow(lean(run), rows.schema)
+    return likely(rows, need, "cid", FILTER_BITS)
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
