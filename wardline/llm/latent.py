@@ -36,6 +36,8 @@ STEP, STEPS = 6, 4
 NEAR = 0.58
 #: Steps whose words are counted in one dense product while the SVD is fitted.
 PRODUCT = 64
+#: Cosines that are held at a time; about what stays in a core's cache.
+CELLS = 1 << 18
 #: LCS shares: of the whole; or of the whole together with the answer.
 WHOLE, PART, ANSWER = 0.6, 0.45, 0.8
 #: Items that are broadcast at a time, about one KB each, and those whose places of words a task remembers.
@@ -59,11 +61,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         for b in batches:
             for p in pieces(b.column(0), APART):
                 f = features(p.hashes)
-                for d in range(0, len(p.bounds) - 1, 256):
-                    own = p.bounds[d : d + 257]
+                for d in range(0, len(p.bounds) - 1, 255):  # as many as a byte counts
+                    own = p.bounds[d : d + 256]
                     held = np.zeros((len(own) - 1, FEATURES), bool)
                     held[np.repeat(np.arange(len(own) - 1), np.diff(own)), f[own[0] : own[-1]]] = True
-                    total[:FEATURES] += np.count_nonzero(held, axis=0)
+                    total[:FEATURES] += np.add.reduce(held.view(np.uint8), axis=0, dtype=np.uint8)
                 total[FEATURES] += len(p.bounds) - 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["f", "n"])
@@ -284,6 +286,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             verifier, wide = Verifier(items), padded(projection)
             longest = np.array([len(w) for w in items.words], np.int64)
             least = (NEAR * np.sqrt(np.minimum(1, longest / (STEP * STEPS)))).astype(np.float32)[items.item]
+            lowest = least.min(initial=np.float32(1))
             for b in batches:
                 ids = b.column("doc_id")
                 found: list[tuple] = []
@@ -293,12 +296,11 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     s = Steps.of(p.bounds)
                     w, at = windows(step_sums(features(p.hashes), wide, s), s)
                     stretches: dict[tuple[int, int], list[list[int]]] = {}
-                    rows = max(1, (1 << 21) // max(1, len(items.vectors)))
+                    rows = max(1, CELLS // max(1, len(items.vectors)))
                     for lo in range(0, len(w), rows):
-                        over = w[lo : lo + rows] @ items.vectors.T
-                        over -= least
-                        row = np.flatnonzero(over.max(1) >= 0)
-                        near = np.argwhere(over[row] >= 0)
+                        cosine = w[lo : lo + rows] @ items.vectors.T
+                        row = np.flatnonzero(cosine.max(1) >= lowest)
+                        near = np.argwhere(cosine[row] >= least)
                         step, k = at[lo + row[near[:, 0]]], items.item[near[:, 1]]
                         d, n = s.doc[step], longest[k]
                         first, last = np.maximum(p.bounds[d], s.starts[step] - n), np.minimum(p.bounds[d + 1], s.starts[step] + STEP * STEPS + n)
