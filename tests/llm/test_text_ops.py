@@ -206,6 +206,31 @@ def test_ngram_join_against_brute_force(spark, monkeypatch):
             assert got == brute_components(texts, k, percent)
 
 
+def test_ngram_join_counts_reach_the_driver_as_bytes(spark, monkeypatch):
+    """Every task reports each bucket of long texts; the driver gets blocks of classes, and the classes are those of the summed counts."""
+    own = [" ".join(f"{x}{i}" for i in range(20_000)) for x in "ab"]
+    texts = [[own[0]] * 6 + [own[1]] * 5, [own[0]] * 10 + [None, ""]]  # a task each
+    df = docs_of(spark, texts[0]).coalesce(1).union(docs_of(spark, texts[1]).coalesce(1))
+    want = np.zeros(near.BUCKETS, np.int64)
+    for task in texts:
+        n = np.zeros(near.BUCKETS, np.int64)
+        for p in pieces(pa.array(task, pa.string())):
+            np.add.at(n, (near._all_shingles(p, 3) & np.uint64(near.BUCKETS - 1)).astype(np.int64), 1)
+        want += np.where(n >= near.OFTEN, n, 0)
+    rows, collect = [], type(df).collect
+
+    def counted(self):
+        got = collect(self)
+        rows.append(len(got))
+        return got
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    got = near._frequent(df, 3)
+    assert (want > 0).sum() > 19_000 and set(got[want == 16]) == {4}
+    assert np.array_equal(got, np.floor(np.log2(np.maximum(want, 1))).astype(np.uint8))
+    assert sum(rows) <= near.BUCKETS // near.PART
+
+
 def test_ngram_join_odd(spark, odd, empty):
     got = near.join(odd)
     assert got.count() == odd.count()

@@ -36,8 +36,9 @@ from wardline.llm.arrowtext import mix, pieces, shingles
 from wardline.llm.common import Union, components, lean, likely, runs, staged
 
 WORDS, PERCENT = 5, 80
-#: Hash buckets of the table of frequent shingles, and the count from which a task reports one.
-BUCKETS, OFTEN = 1 << 22, 6
+#: Hash buckets of the table of frequent shingles, the count from which a task reports one, and buckets in a row of what it reports
+#: (places in a row are 16 bits).
+BUCKETS, OFTEN, PART = 1 << 22, 6, 1 << 16
 #: Sets in a block, and keys in all of them, about.
 BLOCK, BLOCK_KEYS = 256, 1 << 20
 #: Bits of the larger parity sketch at least (a power of two, and no fewer than a set has keys), and of the filter by ids.
@@ -58,7 +59,8 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """A class for each hash bucket: the logarithm of its count where some task saw it often, else 0.
 
     Tasks count all their shingles and report the buckets they saw at least OFTEN times.  The classes only
-    order the keys, so what is reported changes the work to be done and never the links.
+    order the keys, so what is reported changes the work to be done and never the links.  Reports are added up
+    part by part of the table, so the driver gets a byte for each bucket however many tasks report however many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +69,34 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
             for p in pieces(b.column(0)):
                 if len(p.hashes) >= words:
                     np.add.at(total, (_all_shingles(p, words) & np.uint64(BUCKETS - 1)).astype(np.int32), 1)
-        at = np.flatnonzero(total >= OFTEN)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
+        for lo in range(0, BUCKETS, PART):
+            n = total[lo : lo + PART]
+            at = np.flatnonzero(n >= OFTEN)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([n[at].tobytes()], pa.binary())], ["lo", "at", "n"])
 
-    hot = docs.select("text").mapInArrow(lean(run), "bucket int, n bigint").groupBy("bucket").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c")).toPandas()
-    out = np.zeros(BUCKETS, np.uint8)
-    out[hot["bucket"].to_numpy(int)] = hot["c"].to_numpy(int).clip(0, 40)
-    return out
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, np.zeros(PART, np.int64)
+
+        def row() -> pa.RecordBatch:
+            c = np.floor(np.log2(np.maximum(total, 1))).clip(0, 40).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([c.tobytes()], pa.binary())], ["lo", "classes"])
+
+        for b in batches:
+            for lo, at, n in zip(b.column("lo").to_pylist(), b.column("at"), b.column("n")):
+                if lo != last:
+                    if last is not None:
+                        yield row()
+                    last, total = lo, np.zeros(PART, np.int64)
+                total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.int32)
+        if last is not None:
+            yield row()
+
+    hot = docs.select("text").mapInArrow(lean(run), "lo int, at binary, n binary").repartition("lo").sortWithinPartitions("lo")
+    out = np.zeros(-(-BUCKETS // PART) * PART, np.uint8)
+    for r in hot.mapInArrow(lean(added), "lo int, classes binary").collect():
+        out[r["lo"] : r["lo"] + PART] = np.frombuffer(bytes(r["classes"]), np.uint8)
+    return out[:BUCKETS]
 
 
 def _all_shingles(p, words: int) -> np.ndarray:
