@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, latent, licenses, lines, near, pii, quality, toxicity
+from wardline.llm import bpe, common, latent, licenses, lines, near, pii, quality, toxicity
 from wardline.llm.arrowtext import pieces
 from wardline.llm.contract import QUERIES, tokenizer_path
 
@@ -231,6 +231,26 @@ def test_ngram_join_counts_reach_the_driver_as_bytes(spark, monkeypatch):
     assert sum(rows) <= near.BUCKETS // near.PART
 
 
+def test_ngram_join_sends_no_tables_of_ids_through_the_driver(spark, monkeypatch):
+    """Compressed tables of ids look small; none of those that grow with the documents is broadcast."""
+    base = [" ".join(f"w{k}_{i}" for i in range(60)) for k in range(6)]
+    df = docs_of(spark, [b + f" x{j} y{j}" * (j % 3) for b in base for j in range(6)] + ["", None])
+    plans = []
+
+    def noted(df, staged=common.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df)
+
+    monkeypatch.setattr(near, "staged", noted)
+    monkeypatch.setattr(common, "staged", noted)
+    kept = near.keep_one(df, 5, 80)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    by = brute_components({r["doc_id"]: r["text"] for r in df.collect()}, 5, 80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, (_, c) in by.items() if k == c)
+    assert sum(p.count("SortMergeJoin") for p in plans) > 20
+    assert not [p for p in plans if "BroadcastHashJoin" in p and "parts" not in p]
+
+
 def test_ngram_join_odd(spark, odd, empty):
     got = near.join(odd)
     assert got.count() == odd.count()

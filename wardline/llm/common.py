@@ -71,9 +71,15 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def likely(rows: DataFrame, need: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows whose key falls on a bit that some needed key (of the same type) sets: a bitmap of fixed size, so that a join that
-    follows, and is exact, need not shuffle all of them.  Where most bits are set it lets all rows through."""
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join that is always sorted and merged.  Compressed ids take few bytes, so Spark would choose to broadcast, and
+    collect in the driver, tables that are many times as large in memory and grow with the input."""
+    return df.hint("merge")
+
+
+def likely(rows: DataFrame, need: DataFrame, key: str, size: int, others: bool = False) -> DataFrame:
+    """Rows whose key falls on a bit that some needed key (of the same type) sets, or the others: a bitmap of fixed size, so that a
+    join that follows, and is exact, need not shuffle all of them.  Where most bits are set it lets all rows through."""
     spot = F.pmod(F.xxhash64(key), F.lit(size))
     maps = need.select((spot + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
     every = np.zeros(size // 8, np.uint8)
@@ -84,7 +90,7 @@ def likely(rows: DataFrame, need: DataFrame, key: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = np.asarray(b.column("spot"))
-            yield b.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))).drop_columns(["spot"])
+            yield b.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) ^ others)).drop_columns(["spot"])
 
     return rows.withColumn("spot", spot).mapInArrow(lean(run), rows.schema)
 
@@ -107,15 +113,15 @@ def components(edges: DataFrame) -> DataFrame:
         parent = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up"))
         # a node's parent is never larger, so parents form trees; two jumps shorten them
         jump = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        parent = parent.join(jump, "up").select("node", F.col("top").alias("up"))
+        parent = parent.join(merged(jump), "up").select("node", F.col("top").alias("up"))
         parent = staged(parent)
         pa_, pb_ = parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         if found is None:
             found = parent.select("node", F.col("up").alias("component"))
         else:
             nxt = parent.select(F.col("node").alias("component"), "up")
-            found = found.join(nxt, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        left = staged(left.join(pa_, "a").join(pb_, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+            found = found.join(merged(nxt), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        left = staged(left.join(merged(pa_), "a").join(merged(pb_), "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
     if found is None:
         return spark.createDataFrame([], f"node {edges.schema['a'].dataType.simpleString()}, component {edges.schema['a'].dataType.simpleString()}")
     return staged(found)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.arrowtext import mix, pieces, shingles
-from wardline.llm.common import Union, components, lean, likely, runs, staged
+from wardline.llm.common import Union, components, lean, likely, merged, runs, staged
 
 WORDS, PERCENT = 5, 80
 #: Hash buckets of the table of frequent shingles, the count from which a task reports one, and buckets in a row of what it reports
@@ -241,22 +241,22 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     score = tokens.groupBy("gid").agg(F.round(F.sum(F.log("held")), 6).alias("score"))
     # sizes of one band differ by no more than links allow
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int").alias("band")
-    rated = staged(tokens.select("token", "gid").join(score.join(info.select("gid", band), "gid"), "gid"))
+    rated = staged(tokens.select("token", "gid").join(merged(score.join(merged(info.select("gid", band)), "gid")), "gid"))
     lead = rated.groupBy("token", "band").agg(F.max(F.struct(F.col("score"), F.col("gid").alias("lead"))).alias("lead"))
-    led = rated.select("token", "band", "gid").join(lead, ["token", "band"]).select("gid", "lead.*").repartition("gid").groupBy("gid", "lead").agg(F.count("*").alias("votes"), F.max("score").alias("score"))
+    led = rated.select("token", "band", "gid").join(merged(lead), ["token", "band"]).select("gid", "lead.*").repartition("gid").groupBy("gid", "lead").agg(F.count("*").alias("votes"), F.max("score").alias("score"))
     led = led.groupBy("gid").agg(F.max(F.struct("votes", "score", "lead")).alias("led")).select("gid", "led.votes", "led.lead")
     g, h = info.alias("g"), info.select(F.col("gid").alias("lead"), "n", "a1", "a2", "v1", "v2").alias("h")
     near = (apart("g", "h") <= 2 * (F.col("g.n") + F.col("h.n") - 2 * least_overlap(F.col("g.n"), F.col("h.n"), percent))) & (10000 * F.least("g.n", "h.n") >= percent * percent * F.greatest("g.n", "h.n")) & (F.col("votes") * 10000 >= VOTES * (100 - percent) * F.col("g.n"))
-    led = g.join(led, "gid").join(h, "lead").select("gid", F.when(near, F.col("lead")).otherwise(F.col("gid")).alias("lead"))
-    led = staged(info.join(led, "gid", "left").select("gid", "n", "a1", "a2", "v1", "v2", F.coalesce("lead", "gid").alias("lead")))
-    members = staged(classes.select("cid", "n", "ph").join(groups.select("n", "ph", "gid"), ["n", "ph"]).join(led.select("gid", "lead"), "gid").select("cid", "n", "gid", "lead"))
+    led = g.join(merged(led), "gid").join(merged(h), "lead").select("gid", F.when(near, F.col("lead")).otherwise(F.col("gid")).alias("lead"))
+    led = staged(info.join(merged(led), "gid", "left").select("gid", "n", "a1", "a2", "v1", "v2", F.coalesce("lead", "gid").alias("lead")))
+    members = staged(classes.select("cid", "n", "ph").join(merged(groups.select("n", "ph", "gid")), ["n", "ph"]).join(merged(led.select("gid", "lead")), "gid").select("cid", "n", "gid", "lead"))
 
     # crowds, in blocks
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_KEYS)).cast("int").alias("blocks")
     sizes = staged(members.groupBy("lead").agg(F.count("*").alias("size"), blocks).where("size > 1").select("lead", "blocks"))
-    crowd = staged(members.where("cid <> lead").join(sizes, "lead").select("lead", "cid", "n", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("own")))
+    crowd = staged(members.where("cid <> lead").join(merged(sizes), "lead").select("lead", "cid", "n", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("own")))
     # pairs of groups with different leaders
-    side = staged(tokens.select("token", "gid").join(led, "gid"))
+    side = staged(tokens.select("token", "gid").join(merged(led), "gid"))
     # what all groups of a crowd under one key agree on, and the range of their sizes
     same = [F.bit_and(f"a{k}").alias(f"a{k}") for k in (1, 2)] + [F.bit_or(F.col(f"v{k}")).bitwiseOR(F.bit_and(f"a{k}").bitwiseXOR(F.bit_or(f"a{k}"))).alias(f"v{k}") for k in (1, 2)]
     held = staged(side.groupBy("token", "lead").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), *same))
@@ -267,23 +267,23 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
         return (100 * F.col(hi) >= percent * F.col(f"{y}.lo")) & (100 * F.col(f"{y}.hi") >= percent * F.col(lo)) & (apart(x, y) * (100 + percent) <= (F.col(hi) + F.col(f"{y}.hi")) * (100 - percent))
 
     # a crowd under one key meets what has other leaders, and never itself; groups that stand alone there meet one another
-    alone = side.join(held.where("size = 1").select("token", "lead"), ["token", "lead"])
+    alone = side.join(merged(held.where("size = 1").select("token", "lead")), ["token", "lead"])
     x, y = alone.alias("x"), alone.alias("y")
-    one = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & fits).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
+    one = x.join(merged(y), (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & fits).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
     u, v = held.where("size > 1").alias("u"), held.alias("v")
-    meet = u.join(v, (F.col("u.token") == F.col("v.token")) & (F.col("u.lead") != F.col("v.lead")) & ((F.col("v.size") == 1) | (F.col("u.lead") < F.col("v.lead"))) & may_fit("u", "u.lo", "u.hi", "v"))
+    meet = u.join(merged(v), (F.col("u.token") == F.col("v.token")) & (F.col("u.lead") != F.col("v.lead")) & ((F.col("v.size") == 1) | (F.col("u.lead") < F.col("v.lead"))) & may_fit("u", "u.lo", "u.hi", "v"))
     meet = meet.select("u.token", F.col("u.lead").alias("u"), F.col("v.lead").alias("v"), "v.lo", "v.hi", "v.a1", "v.a2", "v.v1", "v.v2")
     x, y = side.alias("x"), side.alias("y")
     # only those groups of the crowd go on that may fit the other side
-    two = x.join(meet.alias("m"), (F.col("x.token") == F.col("m.token")) & (F.col("x.lead") == F.col("m.u")) & may_fit("x", "x.n", "x.n", "m"))
-    two = two.join(y, (F.col("m.token") == F.col("y.token")) & (F.col("m.v") == F.col("y.lead")) & fits).select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
+    two = x.join(merged(meet.alias("m")), (F.col("x.token") == F.col("m.token")) & (F.col("x.lead") == F.col("m.u")) & may_fit("x", "x.n", "x.n", "m"))
+    two = two.join(merged(y), (F.col("m.token") == F.col("y.token")) & (F.col("m.v") == F.col("y.lead")) & fits).select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
     pairs = staged(one.unionByName(two).distinct())
     ma, mb = members.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), members.select(F.col("gid").alias("gb"), F.col("cid").alias("b"))
-    pairs = staged(pairs.join(ma, "ga").join(mb, "gb").select("a", "b"))
+    pairs = staged(pairs.join(merged(ma), "ga").join(merged(mb), "gb").select("a", "b"))
     # the larger sketches of the classes in pairs only
     told = staged(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-    sketch = staged(_likely(full.select(F.col("doc_id").alias("cid"), "n", "big"), told).join(told, "cid", "left_semi").dropDuplicates(["cid"]))
-    pairs = pairs.join(sketch.toDF("a", "na", "p"), "a").join(sketch.toDF("b", "nb", "q"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sketch = staged(_likely(full.select(F.col("doc_id").alias("cid"), "n", "big"), told).join(merged(told), "cid", "left_semi").dropDuplicates(["cid"]))
+    pairs = pairs.join(merged(sketch.toDF("a", "na", "p")), "a").join(merged(sketch.toDF("b", "nb", "q")), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -318,16 +318,17 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
                 yield pa.RecordBatch.from_arrays([t.column("lead").combine_chunks().take(pa.array([0] * len(b), pa.int64())), cid.take(pa.array([x for x, _ in got] + left, pa.int64())), cid.take(pa.array(b, pa.int64()))], ["lead", "a", "b"])
 
         rows = staged(rows)
-        spread = rows.join(_likely(texts, rows), "cid").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").select("lead", "i", "j", "cid", "text")
+        spread = rows.join(merged(_likely(texts, rows)), "cid").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").select("lead", "i", "j", "cid", "text")
         return spread.mapInArrow(lean(run), f"lead {kind}, a {kind}, b {kind}")
 
     each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     heads = sizes.select("lead", F.lit(0).alias("i"), each_block.alias("j"), F.col("lead").alias("cid"))
     within = staged(linked_blocks(crowd.select("lead", F.lit(0).alias("i"), F.col("own").alias("j"), "cid").unionByName(heads)))
     # what no block joined to its leader meets all blocks of its crowd
-    left = within.where("b is null").select("lead", F.col("a").alias("cid")).join(crowd.where("blocks > 1"), ["lead", "cid"])
+    left = within.where("b is null").select("lead", F.col("a").alias("cid")).join(merged(crowd.where("blocks > 1")), ["lead", "cid"])
     parts = left.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_KEYS)).cast("int").alias("parts"))
     parts = staged(parts)
+    # a row for each crowd of several blocks, far fewer than documents
     mine = left.join(parts, "lead").select("lead", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int").alias("i"), each_block.alias("j"), "cid")
     others = crowd.join(parts, "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"), "cid")
     across = linked_blocks(mine.unionByName(others).distinct()).where("b is not null")
@@ -338,7 +339,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     paired = staged(_likely(texts, pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))))
-    checked = pairs.join(paired.select(F.col("cid").alias("a"), F.col("text").alias("p")), "a").join(paired.select(F.col("cid").alias("b"), F.col("text").alias("q")), "b")
+    checked = pairs.join(merged(paired.select(F.col("cid").alias("a"), F.col("text").alias("p"))), "a").join(merged(paired.select(F.col("cid").alias("b"), F.col("text").alias("q"))), "b")
     checked = checked.select("a", "b", "p", "q").mapInArrow(lean(verify), f"a {kind}, b {kind}")
     spanning = within.where("b is not null").select("a", "b").unionByName(across.select("a", "b")).unionByName(checked)
     return every, classes.select("s1", "s2", "n", "cid"), staged(spanning)
@@ -348,13 +349,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     """(doc_id, n_shingles, component_id) for every row."""
     every, classes, found = links(docs, words, percent)
     named = components(found).withColumnRenamed("node", "cid")
-    classes = classes.join(named, "cid", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("_c"))
+    classes = classes.join(merged(named), "cid", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("_c"))
     rows = every.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
-    out = rows.join(classes, ["s1", "s2", "n_shingles"], "left")
+    out = rows.join(merged(classes), ["s1", "s2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("_c")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without those that have a smaller id in their component; rows without an id are kept."""
-    drop = join(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_wl_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_wl_id"), "left_anti").select(docs.columns)
+    drop = staged(join(docs, words, percent).where("component_id <> doc_id").select("doc_id").distinct())
+    maybe = likely(docs, drop, "doc_id", FILTER_BITS)
+    return likely(docs, drop, "doc_id", FILTER_BITS, others=True).unionByName(maybe.join(merged(drop), "doc_id", "left_anti").select(docs.columns))
